@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fencegraph.catalog import entity_queries, fence_queries
+from fencegraph.catalog import entity_queries, fence_queries, relation_queries
 
 QUERIES = {}
 ORACLES = {}
-for _m in (fence_queries, entity_queries):
+for _m in (fence_queries, entity_queries, relation_queries):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)

@@ -17,15 +17,19 @@ NODE_COLS = ["work_id", "node_id", "type", "name", "importance", "first_seen_cha
 EDGE_COLS = ["work_id", "edge_id", "source_id", "target_id", "relation", "tier", "first_seen_chapter", "revealed_chapter"]
 
 
+def star_lines(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, ("star_lines", d), lambda: A.star_lines(spark, d))
+
+
 def star_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, ("star_nodes", d), lambda: A.star_nodes(spark, d))
+    return stored(spark, ("star_nodes", d), lambda: A.star_nodes(star_lines(spark, d)))
 
 
 def star_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges with their effective reveal, laid out by it so that a fence skips row groups."""
     return stored(
         spark, ("star_edges", d),
-        lambda: fence.with_effective_reveal(A.star_edges(spark, d), star_nodes(spark, d)).sortWithinPartitions("effective_reveal"),
+        lambda: fence.with_effective_reveal(A.star_edges(star_lines(spark, d)), star_nodes(spark, d)).sortWithinPartitions("effective_reveal"),
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph import vocab
@@ -184,25 +186,27 @@ def _star_ids() -> dict[str, Column]:
     }
 
 
-def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the star graph; names come out of the key columns, so no second join."""
+def star_nodes(lines: DataFrame) -> DataFrame:
+    """Nodes of the star graph; names come out of the key columns, so no second join.
+
+    One narrow projection of the lines per kind of node, then one aggregation over all of them.
+    """
     i = _star_ids()
 
-    def node(key: str, node_type: str, name: Column) -> Column:
-        return F.struct(i[key].alias("node_id"), F.lit(node_type).alias("type"), name.alias("name"))
+    def node(key: str, node_type: str, name: Column) -> DataFrame:
+        return lines.select("work_id", "chapter", i[key].alias("node_id"), F.lit(node_type).alias("type"), name.alias("name"))
 
     numbered = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     # every fifth customer is written lower-case: a background character
     cust_name = F.when(F.col("o_custkey") % 5 == 0, numbered("customer ", "o_custkey")).otherwise(numbered("Customer ", "o_custkey"))
-    items = F.array(
+    kinds = [
         node("cust", "Character", cust_name), node("supp", "Organization", numbered("Supplier ", "l_suppkey")),
         node("part", "Item", numbered("Part ", "l_partkey")), node("cnat", "Place", numbered("Nation ", "c_nationkey")),
         node("snat", "Place", numbered("Nation ", "s_nationkey")), node("brand", "Ability", F.col("p_brand")),
         node("ptype", "Concept", F.col("p_type")), node("segm", "Title", F.col("c_mktsegment")),
         node("prio", "Event", F.col("o_orderpriority")),
-    )
-    seen = star_lines(spark, sf_dir).select("work_id", "chapter", F.explode(items).alias("x"))
-    n = seen.groupBy("work_id", "x.node_id", "x.type", "x.name").agg(
+    ]
+    n = reduce(DataFrame.unionByName, kinds).groupBy("work_id", "node_id", "type", "name").agg(
         F.min("chapter").alias("first_seen_chapter"), F.count(F.lit(1)).cast("double").alias("importance")
     )
     lag = F.coalesce(vocab.lookup(REVEAL_LAG, F.col("type")), F.lit(0))
@@ -228,19 +232,19 @@ STAR_EDGES = [  # source, target, relation, tier, extra reveal lag, condition on
 ]
 
 
-def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the star graph: one scan of the lines, one partial aggregation."""
+def star_edges(lines: DataFrame) -> DataFrame:
+    """Edges of the star graph: one narrow projection of the lines per kind, one partial aggregation over all."""
     i = _star_ids()
 
-    def edge(s: str, t: str, rel: str, tier: int, lag: int, cond: tuple[str, str] | None) -> Column:
-        made = F.struct(
-            i[s].alias("source_id"), i[t].alias("target_id"), F.lit(rel).alias("relation"), F.lit(tier).alias("tier"), F.lit(lag).alias("lag")
+    def edge(s: str, t: str, rel: str, tier: int, lag: int, cond: tuple[str, str] | None) -> DataFrame:
+        rows = lines if cond is None else lines.filter((F.col("l_returnflag") == cond[0]) & (F.col("l_linestatus") == cond[1]))
+        return rows.select(
+            "work_id", "chapter", i[s].alias("source_id"), i[t].alias("target_id"), F.lit(rel).alias("relation"),
+            F.lit(tier).alias("tier"), F.lit(lag).alias("lag"),
         )
-        return made if cond is None else F.when((F.col("l_returnflag") == cond[0]) & (F.col("l_linestatus") == cond[1]), made)
 
-    items = F.filter(F.array(*[edge(*e) for e in STAR_EDGES]), lambda e: e.isNotNull())
-    seen = star_lines(spark, sf_dir).select("work_id", "chapter", F.explode(items).alias("x"))
-    e = seen.groupBy("work_id", "x.source_id", "x.target_id", "x.relation", "x.tier", "x.lag").agg(F.min("chapter").alias("first_seen_chapter"))
+    seen = reduce(DataFrame.unionByName, [edge(*e) for e in STAR_EDGES])
+    e = seen.groupBy("work_id", "source_id", "target_id", "relation", "tier", "lag").agg(F.min("chapter").alias("first_seen_chapter"))
     key = F.concat_ws("|", F.col("source_id").cast("string"), F.col("target_id").cast("string"), F.col("relation"))
     return e.select(
         "work_id", hex_int(key, 1, 15).alias("edge_id"), "source_id", "target_id", "relation", "tier", "first_seen_chapter",
