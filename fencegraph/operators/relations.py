@@ -67,7 +67,7 @@ def pair_evidence(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
     ).drop("clean_text")
 
 
-def classify(pairs: DataFrame) -> DataFrame:
+def classify(pairs: DataFrame, cues: list[str] | None = None) -> DataFrame:
     """Relation and direction from the type-pair rules; a leadership cue in the quote promotes membership.
 
     The cue test is a substring test, so "led" also fires inside longer words.
@@ -75,7 +75,7 @@ def classify(pairs: DataFrame) -> DataFrame:
     rules = {f"{s}>{t}": r for (s, t), r in vocab.TYPE_PAIR_RELATION.items()}
     ahead = vocab.lookup(rules, F.concat_ws(">", "lo_type", "hi_type"))
     back = vocab.lookup(rules, F.concat_ws(">", "hi_type", "lo_type"))
-    cue = F.lower("evidence").rlike("|".join(vocab.LEADER_CUES))
+    cue = F.lower("evidence").rlike("|".join(cues or vocab.LEADER_CUES))
     r = pairs.withColumn("__a", ahead).withColumn("__b", back)
     rel = F.coalesce("__a", "__b", F.lit("RelatedTo"))
     turned = F.col("__a").isNull() & F.col("__b").isNotNull()

@@ -226,6 +226,7 @@ STAR_EDGES = [  # source, target, relation, tier, extra reveal lag, condition on
     ("cust", "prio", "ParticipatedIn", 1, 0, None),
     ("part", "ptype", "RelatedTo", 1, 0, None),
     ("cust", "brand", "HasAbility", 1, 0, None),
+    ("cnat", "snat", "RelatedTo", 1, 0, None),
     ("supp", "cust", "Serves", 2, 1, ("A", "F")),
     ("cust", "supp", "Ally", 2, 2, ("N", "O")),
     ("cust", "supp", "ALIAS", 3, 4, ("R", "O")),
@@ -283,3 +284,30 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % 20 + 1).cast("int").alias("chapter_ordinal"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"),
         F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding"),
     )
+
+
+RELATION_BLOBS = [  # raw relation fields as a model returns them
+    '"ALIAS"', '["secret identity"]', '{"relation": "SAME_AS"}', '{"x": "reincarnation"}', "42", "null", '"friend"', '{"type": ["Transmigrated-Into"]}',
+]
+
+
+def conv_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic identity verdicts over ``conversations``: the quote is taken from a turn near k,
+    across the seam of two turns, or reversed."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    opening = c.filter("turn = 0").select(
+        "conv_id", F.split("text", " ")[0].alias("name_a"), F.element_at(F.split("text", " "), -1).alias("name_b")
+    )
+    h = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    v = c.select("conv_id", "turn", *[hex_int(h, i, 1).alias(f"d{i}") for i in range(1, 6)])
+    v = v.withColumn("src", F.col("turn") + F.col("d1") % 3 - 1)
+    at = c.select("conv_id", F.col("turn").alias("src"), F.col("text").alias("src_text"))
+    prior = c.select("conv_id", (F.col("turn") + 1).alias("src"), F.col("text").alias("prior_text"))
+    v = v.join(opening, "conv_id").join(at, ["conv_id", "src"], "left").join(prior, ["conv_id", "src"], "left")
+    inside = F.array_join(F.slice(F.split("src_text", " "), 2, 5), " ")
+    seam = F.concat(F.substring("prior_text", -12, 12), F.lit(" "), F.substring("src_text", 1, 12))
+    clue = F.when(F.col("d5") % 4 == 0, F.coalesce(seam, inside)).when(F.col("d2") % 4 == 3, F.reverse(inside)).otherwise(inside)
+    return v.select(
+        F.col("conv_id").alias("work_id"), "name_a", "name_b", (F.col("turn") + 1).cast("int").alias("k"), (F.col("d3") % 4 != 0).alias("same"),
+        F.element_at(F.array(*[F.lit(b) for b in RELATION_BLOBS]), (F.col("d4") % 8 + 1).cast("int")).alias("relation_raw"), clue.alias("clue"),
+    )
