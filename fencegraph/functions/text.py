@@ -84,21 +84,23 @@ def dehyphenate(s: Column) -> Column:
 
 
 def _is_cruft(line: Column, pattern: Column | str) -> Column:
-    hit = line.rlike(f"(?i){pattern}") if isinstance(pattern, str) else F.expr("false") | line.rlike(F.concat(F.lit("(?i)"), pattern))
-    return (strip_ws(line) != "") & hit
+    """A literal pattern compiles once; a per-work pattern comes as a column."""
+    p = F.lit(f"(?i){pattern}") if isinstance(pattern, str) else F.concat(F.lit("(?i)"), pattern)
+    return (strip_ws(line) != "") & F.rlike(line, p)
 
 
-def cruft_lines(s: Column, pattern: str | None) -> Column:
+def cruft_lines(s: Column, pattern: Column | str | None) -> Column:
     """The lines a pattern removes, trimmed (an array)."""
-    if not pattern:
+    if pattern is None:
         return F.array().cast("array<string>")
-    return F.transform(F.filter(F.split(s, "\n"), lambda x: _is_cruft(x, pattern)), strip_ws)
+    found = F.transform(F.filter(F.split(s, "\n"), lambda x: F.coalesce(_is_cruft(x, pattern), F.lit(False))), strip_ws)
+    return found
 
 
-def drop_cruft(s: Column, pattern: str | None) -> Column:
-    if not pattern:
+def drop_cruft(s: Column, pattern: Column | str | None) -> Column:
+    if pattern is None:
         return s
-    return F.array_join(F.filter(F.split(s, "\n"), lambda x: ~_is_cruft(x, pattern)), "\n")
+    return F.array_join(F.filter(F.split(s, "\n"), lambda x: ~F.coalesce(_is_cruft(x, pattern), F.lit(False))), "\n")
 
 
 def any_of(patterns: list[str]) -> str | None:
