@@ -12,10 +12,12 @@ from fencegraph.catalog import (
     relation_queries,
     search_queries,
     social_queries,
+    store_queries,
+    stream_queries,
 )
 
 QUERIES = {}
 ORACLES = {}
-for _m in (fence_queries, analytics_queries, prep_queries, entity_queries, relation_queries, social_queries, identity_queries, search_queries, evaluation_queries):
+for _m in (fence_queries, analytics_queries, prep_queries, entity_queries, relation_queries, social_queries, identity_queries, search_queries, evaluation_queries, store_queries, stream_queries):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)

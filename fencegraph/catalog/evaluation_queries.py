@@ -129,9 +129,9 @@ def relation_scores(spark: SparkSession, d: str) -> DataFrame:
     "h5_pair_coverage",
     query(
         [*TRIPLE_CTES, ACC, EDGES1],
-        """, gp AS (SELECT DISTINCT work_id, least(source, target) AS lo, greatest(source, target) AS hi FROM gt),
+        """, gpp AS (SELECT DISTINCT work_id, least(source, target) AS lo, greatest(source, target) AS hi FROM gt),
         sp AS (SELECT DISTINCT e.work_id, least('n' || source_id, 'n' || target_id) AS lo, greatest('n' || source_id, 'n' || target_id) AS hi FROM edges1 e)
-        SELECT count(*) AS gold_pairs, count(sp.lo) AS covered FROM gp LEFT JOIN sp ON sp.work_id = gp.work_id AND sp.lo = gp.lo AND sp.hi = gp.hi""",
+        SELECT count(*) AS gold_pairs, count(sp.lo) AS covered FROM gpp gp LEFT JOIN sp ON sp.work_id = gp.work_id AND sp.lo = gp.lo AND sp.hi = gp.hi""",
     ),
 )
 def pair_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -112,7 +112,7 @@ def timing_report(targets: DataFrame, confirmed: DataFrame, last: DataFrame, *,
 
 def grade_groups(reply: Column, a: Column, b: Column) -> tuple[Column, Column]:
     """(json_ok, pair asserted) of a reply ``{"same_entity": [[names], {"names": [names]}]}``."""
-    ok = F.is_variant_null(F.try_parse_json(reply)).isNotNull()
+    ok = F.try_parse_json(reply).isNotNull()
     groups = F.from_json(F.get_json_object(reply, "$.same_entity"), "array<string>")
     names = F.transform(groups, lambda g: F.from_json(F.when(g.startswith("{"), F.get_json_object(g, "$.names")).otherwise(g), "array<string>"))
     low = F.transform(names, lambda g: F.transform(g, lambda n: F.lower(F.trim(n))))
