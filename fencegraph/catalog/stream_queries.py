@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.base import DOCS, ENTITY_CTES, TOKENS, query
 from fencegraph.catalog.entity_queries import chapters, linked
+from fencegraph.catalog.identity_queries import cite
 from fencegraph.catalog.prep_queries import stored_chapters
 from fencegraph.catalog.registry import Registry
 from fencegraph.catalog.relation_queries import ACC, PAIRS
@@ -169,9 +170,8 @@ def custom_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "u3_custom_identity_model",
-    """WITH f AS (SELECT conv_id, split_part(text, ' ', 1) AS a FROM conversations WHERE turn = 0),
-    c AS (SELECT c.conv_id, c.turn, array_to_string(string_split(c.text, ' ')[1:4], ' ') AS clue FROM conversations c)
-    SELECT c.conv_id AS work_id, count(*) AS verdicts, count(*) AS same FROM c JOIN f USING (conv_id) GROUP BY ALL""",
+    f"""WITH c AS (SELECT conv_id, {cite("array_to_string(string_split(text, ' ')[1:4], ' ')")} AS clue FROM conversations)
+    SELECT conv_id AS work_id, count(*) AS verdicts, count(*) FILTER (length(clue) >= 8) AS valid FROM c GROUP BY ALL""",
 )
 def custom_identity(spark: SparkSession, d: str) -> DataFrame:
     """A model that answers every (pair, window) with the opening words of the chapter read last."""
@@ -182,8 +182,8 @@ def custom_identity(spark: SparkSession, d: str) -> DataFrame:
         opening = ch.select("work_id", F.col("ordinal").alias("k"), F.array_join(F.slice(F.split("clean_text", " "), 1, 4), " ").alias("clue"))
         return pairs.join(opening, ["work_id", "k"]).select("work_id", "name_a", "name_b", "k", F.lit(True).alias("same"), F.lit('"ALIAS"').alias("relation_raw"), "clue")
 
-    v = model(asked)
-    return v.groupBy("work_id").agg(F.count(F.lit(1)).alias("verdicts"), F.count_if("same").alias("same"))
+    v = T3.judge(model(asked), ch)
+    return v.groupBy("work_id").agg(F.count(F.lit(1)).alias("verdicts"), F.count_if("valid").alias("valid"))
 
 
 @R.add(
