@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fencegraph import vocab
 from fencegraph.catalog.base import DOCS, SPANS, TOKENS, VECTORS, hex_int, norm, query, quoted, sql_list
 from fencegraph.catalog.entity_queries import chapters
 from fencegraph.catalog.prep_queries import CHUNKS
@@ -194,13 +195,22 @@ bw AS (SELECT item_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM (SE
 bp AS (SELECT a, coalesce(lead(a) OVER (PARTITION BY item_id ORDER BY i), '') AS b FROM bw),
 lx AS (SELECT norm, {sql_list(A.LABELS)}[{hex_int("norm", 1, 1)} + 1] AS label FROM (SELECT DISTINCT {norm("s")} AS norm FROM (
         SELECT a AS s FROM bp WHERE regexp_matches(a, '^[A-Z]') UNION ALL SELECT a || ' ' || b FROM bp WHERE regexp_matches(a, '^[A-Z]'))) WHERE norm <> '')"""
+_p = "[" + "".join("\\" + c if c.isascii() else c for c in vocab.OUTER_PUNCTUATION) + "]"
+
+
+def core(w: str) -> str:
+    return f"regexp_replace(regexp_replace({w}, {quoted('^' + _p + '+')}, ''), {quoted(_p + '+$')}, '')"
+
+
+
 TAGS = f"""
 tw AS (SELECT work_id, ordinal, clean_text, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT work_id, ordinal, clean_text, regexp_split_to_array(clean_text, '[ \\n]') AS ws FROM ch)),
 tp AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY work_id, ordinal ORDER BY i) - length(w) - 1 AS INTEGER) AS s FROM tw),
-tf AS (SELECT * FROM tp WHERE w <> ''),
-t2 AS (SELECT work_id, ordinal, clean_text, s, s + length(w) AS e1, lead(s + length(w)) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS e2 FROM tf),
-tg AS (SELECT work_id, ordinal, s, substr(clean_text, s + 1, e1 - s) AS raw FROM t2 UNION ALL SELECT work_id, ordinal, s, substr(clean_text, s + 1, e2 - s) FROM t2 WHERE e2 IS NOT NULL),
-tb AS (SELECT *, regexp_replace(raw, '^[\\p{{P}}\\s]+|[\\p{{P}}\\s]+$', '', 'g') AS surface, s + length(raw) - length(regexp_replace(raw, '^[\\p{{P}}\\s]+', '')) AS char_start FROM tg),
+tf AS (SELECT *, {core("w")} <> '' AS solid, lead({core("w")} <> '') OVER (PARTITION BY work_id, ordinal ORDER BY i) AS solid2 FROM tp WHERE w <> ''),
+t2 AS (SELECT work_id, ordinal, clean_text, s, s + length(w) AS e1, solid, solid2, lead(s + length(w)) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS e2 FROM tf),
+tg AS (SELECT work_id, ordinal, s, substr(clean_text, s + 1, e1 - s) AS raw FROM t2 WHERE solid
+       UNION ALL SELECT work_id, ordinal, s, substr(clean_text, s + 1, e2 - s) FROM t2 WHERE solid AND solid2),
+tb AS (SELECT *, {core("raw")} AS surface, s + length(raw) - length(regexp_replace(raw, {quoted('^' + _p + '+')}, '')) AS char_start FROM tg),
 ta AS (SELECT t.work_id, t.ordinal AS chapter_ordinal, t.surface, l.label, CAST(t.char_start AS INTEGER) AS char_start FROM tb t JOIN lx l ON l.norm = {norm("t.surface")})"""
 
 

@@ -21,42 +21,45 @@ EVIDENCE_PAD = 40
 def tag_gazetteer(chunks: DataFrame, lexicon: DataFrame, max_words: int = 3) -> DataFrame:
     """Candidate spans: word n-grams of every chunk that equal a lexicon entry.
 
-    ``chunks`` needs work_id, chapter_ordinal, ordinal, text; ``lexicon`` needs norm, label.
-    The lexicon join is left to Catalyst: it broadcasts only if the measured size allows.
+    ``chunks`` needs work_id, chapter_ordinal, ordinal, text; ``lexicon`` needs norm, label. Words are trimmed and
+    lower-cased once each, n-grams carry only offsets and their normal form, and the text is looked up for hits
+    alone. The lexicon join is left to Catalyst: it broadcasts only if the measured size allows.
     """
-    words = F.filter(
-        F.zip_with("__w", "__s", lambda w, s: F.struct(w.alias("w"), s.alias("s"))), lambda x: F.length(x["w"]) > 0
-    )
-    t = chunks.withColumn("__w", F.split("text", X.WS, -1)).withColumn(
-        "__s", running_starts(F.transform("__w", lambda w: F.length(w) + 1))
-    ).withColumn("__x", words)
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("__x") - n + 1, F.lit(1))),
-                lambda i: F.struct(
-                    F.col("__x")[i - 1]["s"].alias("s"),
-                    (F.try_element_at("__x", i + n - 1)["s"] + F.length(F.try_element_at("__x", i + n - 1)["w"])).alias("e"),
-                ),
-            ),
+    p = F.lit(vocab.OUTER_PUNCTUATION)
+
+    def word(x: Column) -> Column:
+        w, left, right = x["w"], F.ltrim(x["w"], p), F.rtrim(x["w"], p)
+        return F.struct(
+            F.lower(w).alias("m"), F.lower(left).alias("l"), F.lower(right).alias("r"), F.lower(F.btrim(w, p)).alias("c"),
+            (x["s"] + F.length(w) - F.length(left)).alias("s"), (x["s"] + F.length(right)).alias("e"),
         )
-    )
-    spans = t.filter(F.size("__x") > 0).select(
-        "work_id", "chapter_ordinal", "ordinal", F.explode(F.filter(grams, lambda g: g["e"].isNotNull())).alias("g"), "text"
-    ).select(
-        "work_id", "chapter_ordinal", "ordinal", F.col("g.s").alias("raw_start"),
-        F.expr("substring(text, g.s + 1, g.e - g.s)").alias("raw"),
-    )
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^[\p{P}\s]+", ""))
-    bare = F.regexp_replace("raw", r"^[\p{P}\s]+|[\p{P}\s]+\z", "")
-    found = spans.select(
-        "work_id", "chapter_ordinal", F.col("ordinal").alias("chunk_ordinal"), bare.alias("surface"),
-        (F.col("raw_start") + lead).alias("char_start"),
-    ).withColumn("norm", X.normalize_surface(F.col("surface"))).filter(F.col("norm") != "")
-    return found.join(lexicon.select("norm", "label"), "norm").select(
-        "work_id", "chapter_ordinal", "chunk_ordinal", "surface", "label", F.lit(None).cast("string").alias("subtype"),
-        "char_start", (F.col("char_start") + F.length("surface")).alias("char_end"), F.lit(1.0).alias("score"),
+
+    t = chunks.withColumn("__w", F.split("text", X.WS, -1)).withColumn("__s", running_starts(F.transform("__w", lambda w: F.length(w) + 1)))
+    pairs = F.zip_with("__w", "__s", lambda w, s: F.struct(w.alias("w"), s.alias("s")))
+    t = t.select("work_id", "chapter_ordinal", "ordinal", F.transform(F.filter(pairs, lambda x: x["w"] != ""), word).alias("__x"))
+    x = F.col("__x")
+
+    def gram(i: Column, n: int) -> Column:
+        first, last = x[i], x[i + (n - 1)]
+        if n == 1:
+            norm = first["c"]
+        else:
+            rest = F.concat_ws(" ", *[x[i + k]["m"] for k in range(1, n - 1)], last["r"])
+            norm = F.when(first["l"].isin("the", "a", "an"), rest).otherwise(F.concat_ws(" ", first["l"], rest))
+        # a gram that begins or ends with bare punctuation is a shorter gram already
+        return F.when((first["c"] != "") & (last["c"] != ""), F.struct(first["s"].alias("s"), last["e"].alias("e"), norm.alias("norm")))
+
+    def grams(n: int) -> Column:
+        places = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.size(x) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: gram(i, n))
+
+    every = F.filter(F.concat(*[grams(n) for n in range(1, max_words + 1)]), lambda g: g.isNotNull())
+    found = t.select("work_id", "chapter_ordinal", "ordinal", F.explode(every).alias("g")).select("work_id", "chapter_ordinal", "ordinal", "g.*")
+    hits = found.join(lexicon.select("norm", "label"), "norm")
+    at = hits.join(chunks.select("work_id", "chapter_ordinal", "ordinal", "text"), ["work_id", "chapter_ordinal", "ordinal"])
+    return at.select(
+        "work_id", "chapter_ordinal", F.col("ordinal").alias("chunk_ordinal"), F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("surface"),
+        "label", F.lit(None).cast("string").alias("subtype"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), F.lit(1.0).alias("score"),
     )
 
 
