@@ -16,6 +16,7 @@ from fencegraph.operators import entities as E
 from fencegraph.operators import fence
 from fencegraph.operators import prep as P
 from fencegraph.operators import search as S
+from fencegraph.plans import build
 from fencegraph.sources import adaptors as A
 
 R = Registry()
@@ -230,12 +231,8 @@ bt AS (SELECT *, row_number() OVER (PARTITION BY work_id, chapter_ordinal, char_
 def rebased(spark: SparkSession, d: str) -> DataFrame:
     """Spans as a tagger sees them, once per chunk that holds them, odd chunks with twice the score."""
     k = text_index(spark, d).select("work_id", "chapter_ordinal", (F.col("chunk_id") % 1000000).cast("int").alias("ordinal"), "char_start", "char_end")
-    own = k.select("work_id", "chapter_ordinal", F.col("ordinal").alias("chunk_ordinal"), F.col("char_start").alias("ks"), F.col("char_end").alias("ke"))
-    s = A.doc_spans(spark, d).join(own, ["work_id", "chapter_ordinal"]).filter("char_start >= ks AND char_end <= ke")
-    local = s.select(
-        "work_id", "chapter_ordinal", "chunk_ordinal", "surface", F.col("label").alias("type"), "subtype", (F.col("char_start") - F.col("ks")).alias("char_start"),
-        (F.col("char_end") - F.col("ks")).alias("char_end"), F.round(F.col("score") * (1 + F.col("chunk_ordinal") % 2), 9).alias("score"),
-    )
+    score = F.round(F.col("score") * (1 + F.col("chunk_ordinal") % 2), 9)
+    local = build.chunk_positions(A.doc_spans(spark, d), k).withColumn("score", score).withColumnRenamed("label", "type")
     return E.rebase_spans(local, k).drop("subtype")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
@@ -25,7 +25,7 @@ class GraphStore:
 
     def _write(self, table: str, df: DataFrame, dynamic: bool) -> None:
         typed = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[table].split(", ")])
-        placed = typed.withColumn("work_bucket", F.pmod("work_id", F.lit(self.buckets)).cast("int"))
+        placed = typed.withColumn("work_bucket", self.bucket())
         # rebalance: one writer per partition, and a bucket that is too large is split over several
         placed = placed.hint("rebalance", *self._layout(table))
         w = placed.write.mode("overwrite").partitionBy(*self._layout(table))
@@ -64,10 +64,18 @@ class GraphStore:
             p = jvm.org.apache.hadoop.fs.Path(self.path(table) + "".join(f"/{c}={row[c]}" for c in layout))
             p.getFileSystem(conf).delete(p, True)
 
+    def bucket(self) -> Column:
+        return F.pmod("work_id", F.lit(self.buckets)).cast("int")
+
+    def read_works(self, table: str, rows: DataFrame) -> DataFrame:
+        """Only the partitions that hold the works of ``rows``; the list is bounded by the number of buckets."""
+        wanted = [r[0] for r in rows.select(self.bucket()).distinct().collect()]
+        return self.read(table).filter(F.col("work_bucket").isin(wanted))
+
     def delete_rows(self, table: str, keys: DataFrame) -> None:
         """Delete rows that match ``keys`` on all its columns."""
         on = keys.columns
-        now = self.read(table)
+        now = self.read_works(table, keys) if "work_id" in on else self.read(table)
         gone = now.join(keys.distinct(), on, "left_semi")
         self.rewrite(table, now.join(keys.distinct(), on, "left_anti"), gone.select(*self._layout(table)))
 
@@ -100,7 +108,7 @@ class GraphStore:
 
     def replace_tier(self, tier: int, edges: DataFrame) -> None:
         """Rebuild one tier of all its works; other tiers keep their files. Staged before the swap."""
-        new = edges.filter(F.col("tier") == tier).withColumn("work_bucket", F.pmod("work_id", F.lit(self.buckets)).cast("int"))
+        new = edges.filter(F.col("tier") == tier).withColumn("work_bucket", self.bucket())
         old = self.read("edges").filter(F.col("tier") == tier).select("tier", "work_bucket")
         self.rewrite("edges", new, old.unionByName(new.select("tier", "work_bucket")))
 

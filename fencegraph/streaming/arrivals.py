@@ -24,17 +24,16 @@ def drain(query: StreamingQuery) -> None:
 def upsert_chapters(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
     """Chapter arrivals into the chapters table: same hash skipped, other hash replaced, new ones added.
 
-    Only the partitions of changed works are rewritten. A batch that is run again finds its own
+    Only the partitions of arriving works are read, and those of changed works rewritten. A batch that is run again finds its own
     hashes and changes nothing, so a restart after a lost driver is safe.
     """
 
     def apply(batch: DataFrame, _id: int) -> None:
         arriving = cut(prep.first_per_ordinal(batch)[0].drop("src_pos"), "arriving")
-        diff = prep.diff_chapters(arriving, store.rows("chapters"))
-        bucket = F.pmod("work_id", F.lit(store.buckets)).cast("int").alias("work_bucket")
-        touched = cut(diff.filter("action IN ('added', 'updated')").select(bucket).distinct(), "touched")
-        now = store.read("chapters").join(touched, "work_bucket", "left_semi").drop("work_bucket")
-        merged = prep.upsert_chapters(arriving, now).withColumn("work_bucket", F.pmod("work_id", F.lit(store.buckets)).cast("int"))
+        now = store.read_works("chapters", arriving)
+        diff = prep.diff_chapters(arriving, now)
+        touched = cut(diff.filter("action IN ('added', 'updated')").select(store.bucket().alias("work_bucket")).distinct(), "touched")
+        merged = prep.upsert_chapters(arriving, now.drop("work_bucket")).withColumn("work_bucket", store.bucket())
         store.rewrite("chapters", merged, touched)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
