@@ -122,9 +122,9 @@ def hashed_words(spark: SparkSession, d: str) -> DataFrame:
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark passage is a query to one work, read up to a chapter that depends on the item; item 0 reads nothing."""
     b = A.table(spark, d, "benchmark")
-    works = chapters(spark, d).agg(F.max("work_id").alias("works"))
-    return b.join(F.broadcast(works)).select(  # one row
-        F.col("item_id").alias("q_id"), (F.col("item_id") % F.col("works") + 1).alias("work_id"), (F.col("item_id") * 7 % 60).cast("int").alias("n"), F.col("text").alias("query")
+    works = chapters(spark, d).agg(F.max("work_id")).scalar()
+    return b.select(
+        F.col("item_id").alias("q_id"), (F.col("item_id") % works + 1).alias("work_id"), (F.col("item_id") * 7 % 60).cast("int").alias("n"), F.col("text").alias("query")
     )
 
 
@@ -146,8 +146,7 @@ bs AS (SELECT q.item_id AS q_id, s.work_id, s.ordinal, s.s, row_number() OVER (P
 def best_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Every chapter answers the one benchmark passage assigned to its ordinal."""
     b = A.table(spark, d, "benchmark")
-    size = b.agg((F.max("item_id") + 1).alias("items"))
-    c = chapters(spark, d).join(F.broadcast(size)).withColumn("q_id", F.col("ordinal") % F.col("items"))  # one row
+    c = chapters(spark, d).withColumn("q_id", F.col("ordinal") % b.agg(F.max("item_id") + 1).scalar())
     q = b.select(F.col("item_id").alias("q_id"), S.keywords(F.col("text")).alias("words"))
     return c.join(q, "q_id").select("q_id", "work_id", "ordinal", S.best_sentence(F.col("clean_text"), F.col("words")).alias("sentence"))
 

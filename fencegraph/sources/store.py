@@ -119,7 +119,7 @@ def get_or_create_works(works: DataFrame, wanted: DataFrame) -> DataFrame:
 
     new = wanted.groupBy("slug").agg(F.min("title").alias("title")).join(works.select("slug"), "slug", "left_anti")
     numbered = number_by_range(new.withColumn("__all", F.lit(1)), ["__all"], ["slug"], "no").drop("__all")
-    top = works.agg(F.coalesce(F.max("work_id"), F.lit(0)).alias("__top"))  # one row
+    top = works.agg(F.coalesce(F.max("work_id"), F.lit(0))).scalar()
     return works.select("work_id", "slug", "title").unionByName(
-        numbered.join(F.broadcast(top)).select((F.col("__top") + F.col("no")).alias("work_id"), "slug", "title")
+        numbered.select((top + F.col("no")).alias("work_id"), "slug", "title")
     )
