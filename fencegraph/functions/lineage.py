@@ -43,10 +43,16 @@ _STORED: dict[tuple[str, ...], tuple[str, StructType]] = {}
 def stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table built once per application and read many times, as a graph build is."""
     full = (spark.sparkContext.applicationId, *key)
-    if full not in _STORED:
+    if full not in _STORED or not _complete(spark, _STORED[full][0]):
         df = build()
         path = scratch(spark, key[0])
         df.write.parquet(path)
         _STORED[full] = (path, df.schema)
     path, schema = _STORED[full]
     return spark.read.schema(schema).parquet(path)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is still there (scratch folders may be cleared between reads)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -197,7 +197,7 @@ def entity_clusters(mentions: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def build_nodes(clusters: DataFrame, chapters: DataFrame | None) -> DataFrame:
-    """Nodes in reference order (first chapter, most mentioned, name), with the evidence quote.
+    """Nodes in listing order (first chapter, most mentioned, name), with the evidence quote.
 
     Rows are numbered per first chapter, which the text of one chapter bounds.
     """
