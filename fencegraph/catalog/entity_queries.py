@@ -88,9 +88,6 @@ def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return E.entity_clusters(mentions(spark, d), folds(spark, d)).select("work_id", "host", "type", "name")
 
 
-SUBTYPED = MENTION_CTES[-1]
-
-
 @R.add(
     "c10_cluster_attributes",
     query(

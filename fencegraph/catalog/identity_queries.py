@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencegraph import vocab
 from fencegraph.catalog.base import ENTITY_CTES, hex_int, query, sql_list
 from fencegraph.catalog.entity_queries import doc_nodes, linked
 from fencegraph.catalog.registry import Registry

@@ -46,10 +46,6 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("chunk_id", F.round(S.norm2(F.col("embedding")), 6).alias("before"), F.round(S.norm2(F.col("unit")), 6).alias("after"))
 
 
-NEXT = """
-nx AS (SELECT *, lead(embedding) OVER (PARTITION BY work_id ORDER BY chunk_id) AS nxt, lead(chunk_id) OVER (PARTITION BY work_id ORDER BY chunk_id) AS next_id FROM vec)"""
-
-
 @R.add("f4_neighbour_cosines", query([VECTORS], f", p AS (SELECT a.chunk_id, b.chunk_id AS other_id, a.embedding AS x, b.embedding AS y FROM vec a JOIN vec b ON b.chunk_id = a.chunk_id + 1) SELECT chunk_id, other_id, round({COS.format(a='x', b='y')}, 6) AS cosine FROM p"))
 def neighbour_cosines(spark: SparkSession, d: str) -> DataFrame:
     v = A.vector_chunks(spark, d)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fencegraph.functions.lineage import cut
 from fencegraph.schema import TABLES
 
-DEPENDENTS = {"chapters": [("chunks", ["work_id", "chapter_ordinal"]), ("mentions", ["work_id", "chapter_ordinal"])]}
+CHAPTER_DEPENDENTS = ["chunks", "mentions"]
 
 
 class GraphStore:
@@ -36,8 +36,7 @@ class GraphStore:
         self._write(table, df, dynamic=False)
 
     def read(self, table: str) -> DataFrame:
-        df = self.spark.read.schema(TABLES[table] + ", work_bucket int").parquet(self.path(table))
-        return df
+        return self.spark.read.schema(TABLES[table] + ", work_bucket int").parquet(self.path(table))
 
     def rows(self, table: str) -> DataFrame:
         return self.read(table).drop("work_bucket")
@@ -89,7 +88,7 @@ class GraphStore:
         """Remove chapters with their chunks and mentions; keys are (work_id, ordinal)."""
         k = cut(keys.select("work_id", "ordinal").distinct(), "gone")
         self.delete_rows("chapters", k)
-        for t, _ in DEPENDENTS["chapters"]:
+        for t in CHAPTER_DEPENDENTS:
             self.delete_rows(t, k.withColumnRenamed("ordinal", "chapter_ordinal"))
 
     def delete_nodes(self, ids: DataFrame) -> None:
