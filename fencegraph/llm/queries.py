@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
-from fencegraph.llm import langid
+from fencegraph.functions.lineage import scratch
+from fencegraph.llm import bpe, langid, secrets, sharding, simhash, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -24,3 +26,54 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = langid.predict(docs, "text", language_model(spark, sf_dir))
     return labelled.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@R.add("op3_simhash_groups")
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@R.add("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *how)
+    back = bpe.decode(coded, "ids", *how)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@R.add("op2_simple8b_tokens")
+def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    wordpack.write(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), path, end=1)
+    return wordpack.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@R.add(
+    "op5_extendible_shards",
+    f"""
+WITH d AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h,
+                  coalesce(strlen(text), 0) AS b FROM documents),
+lv AS (SELECT i AS depth, h >> (60 - i) AS bits, CAST(sum(b) AS BIGINT) AS shard_bytes, count(*) AS shard_rows
+       FROM d, range(0, 61) r(i) GROUP BY ALL),
+fit AS (SELECT a.* FROM lv a LEFT JOIN lv u ON u.depth = a.depth - 1 AND u.bits = a.bits >> 1
+        WHERE (a.shard_bytes <= {SHARD_BYTES} OR a.depth = 60) AND (u.depth IS NULL OR u.shard_bytes > {SHARD_BYTES}))
+SELECT doc_id, CASE WHEN depth = 0 THEN '*' ELSE substr(lpad(bin(bits), 64, '0'), 65 - depth) END AS shard,
+       CAST(depth AS INTEGER) AS shard_depth, shard_bytes, shard_rows
+FROM d JOIN fit ON fit.bits = d.h >> (60 - fit.depth)
+""",
+)
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return sharding.assign(docs, ["doc_id"], F.col("size"), SHARD_BYTES).drop("size")
+
+
+@R.add("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    every = F.array_sort(F.concat("base", "added"))
+    return seen.select("doc_id", *count, F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(every).alias("spans"))
