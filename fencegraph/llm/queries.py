@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import scratch
-from fencegraph.llm import bpe, langid, secrets, sharding, simhash, wordpack
+from fencegraph.llm import bpe, decontaminate, langid, secrets, sharding, simhash, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -77,3 +77,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     every = F.array_sort(F.concat("base", "added"))
     return seen.select("doc_id", *count, F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(every).alias("spans"))
+
+
+@R.add("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item that leaked into it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.score", "l.first", "l.stop")
