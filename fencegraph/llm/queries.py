@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import scratch
-from fencegraph.llm import bpe, decontaminate, langid, secrets, sharding, simhash, wordpack
+from fencegraph.llm import bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, warc, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -85,3 +85,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.score", "l.first", "l.stop")
+
+
+@R.add("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic", ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@R.add("op4_warc_records")
+def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams, members = scratch(spark, "warc"), scratch(spark, "warc-members")
+    warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", streams)
+    warc.rewrite(spark, streams, members)
+    return warc.read(spark, members).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
