@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import scratch
-from fencegraph.llm import bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, warc, wordpack
+from fencegraph.llm import ann, bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, warc, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -100,3 +100,8 @@ def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", streams)
     warc.rewrite(spark, streams, members)
     return warc.read(spark, members).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+@R.add("op1_learned_partitions")
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
