@@ -26,13 +26,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once (of rows that repeat the id, the one whose
-    text sorts first). Rows without an id stand for no group and stay."""
-    found = simhash.groups(docs, "doc_id", "text")
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near copies the document with the smallest id stays, once (of rows that repeat its id in the group,
+    the text with the smallest hash). Rows without an id stand for no group and stay."""
+    mark = F.xxhash64("text").alias("__text")
+    found = simhash.groups(docs, "doc_id", "text", mark)
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id"), "fp").agg(F.min("__text").alias("__text"))
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(first.withColumnRenamed("__text", "__kept"), (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__kept")))
+    one = Window.partitionBy("doc_id", "__text").orderBy("lang", "source", "n_chars")
+    rows = rows.withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
