@@ -97,21 +97,21 @@ def links(distinct: DataFrame, fp: str) -> DataFrame:
     return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(stars).distinct()
 
 
-def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str, text: str, *also: Column) -> DataFrame:
     """A row per document: ``doc_id``, ``fp`` (signed long), ``component_id`` (smallest id reachable over links of at most
-    two differing bits, its own included).
+    two differing bits, its own included), and the columns ``also``.
 
     Equal fingerprints are one node, so copies are never expanded into pairs. Documents without words have fingerprint 0 and
     are linked like any other. Repeated ids stay as rows. Null ids are answered, but are no component id unless all are null.
     """
-    prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp"), "prints")
+    prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *also), "text", "fp"), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     parts = connected(links(nodes, "fp"), "a", "b")
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
     named = cut(named, "parts")
     ids = named.groupBy("part").agg(F.min("first").alias("component_id"))
     of_print = named.join(ids, "part").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id", *prints.drop("doc_id", "fp").columns)
 
 
 def hexadecimal(fp: Column) -> Column:
