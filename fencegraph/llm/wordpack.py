@@ -34,7 +34,7 @@ WIDTHS = (0, 64) + tuple(60 // n for n in COUNTS[2:])
 ESCAPE = 1
 BLOCK = 8192
 SEGMENT = 1 << 20  # ids after which a segment is closed
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
@@ -173,10 +173,10 @@ class Coder(dict):
             return
         plain = [w for w in words if self.whole and w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
         rest = list(words.difference(plain))
-        for lo in range(0, len(plain), 2048):
-            some = plain[lo : lo + 2048]
-            line = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some)
-            ids = np.array(self.bare.encode(line, add_special_tokens=False).ids, np.uint32)
+        groups = [plain[lo : lo + 2048] for lo in range(0, len(plain), 2048)]
+        lines = [" ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some) for some in groups]
+        for some, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             data, begin = ids.tobytes(), 0
             for w, stop in zip(some, ends.tolist(), strict=True):
@@ -205,13 +205,13 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
         c, shard, number = coder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        held = 0
+        held = before = 0
 
         def segment() -> pa.RecordBatch:
             data = pack(np.concatenate(ids))
             sizes = [len(x) for x in ids]
-            columns = [[shard], [number], [names], [sizes], [held], [data]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=_FIELDS)
+            columns = [[shard], [number], [names], [sizes], [before], [held], [data]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()))], names=_FIELDS)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -222,7 +222,7 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
                     held += len(x)
                     if held >= SEGMENT:
                         yield segment()
-                        ids, names, held, number = [], [], 0, number + 1
+                        ids, names, held, before, number = [], [], 0, before + held, number + 1
         if ids:
             yield segment()
 
@@ -231,18 +231,16 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
     ordered.mapInArrow(work, _TYPES).write.parquet(path)
 
 
-_FIELDS = ["shard", "number", "docs", "sizes", "n_ids", "data"]
-_TYPES = "shard int, number long, docs array<long>, sizes array<long>, n_ids long, data binary"
+_FIELDS = ["shard", "number", "docs", "sizes", "before", "n_ids", "data"]
+_TYPES = "shard int, number long, docs array<long>, sizes array<long>, before long, n_ids long, data binary"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids as bytes of little-endian unsigned 32-bit integers) from the files at ``path``."""
     files = spark.read.schema(_TYPES).parquet(path)
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))  # a row per shard
-    inside = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard", "number", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("at")).join(shards, "shard").select("shard", "number", (F.col("at") + F.col("shard_start")).alias("start"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = sums.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))  # a row per writing task
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,4 +257,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return files.join(starts, ["shard", "number"]).select("docs", "sizes", "data", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
+    placed = files.join(F.broadcast(shards), "shard").select("docs", "sizes", "data", (F.col("shard_start") + F.col("before")).alias("start"))
+    return placed.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
