@@ -213,7 +213,7 @@ ta AS (SELECT t.work_id, t.ordinal AS chapter_ordinal, t.surface, l.label, CAST(
 @R.add("c1_gazetteer_spans", query([DOCS, LEX, TAGS], "SELECT work_id, chapter_ordinal, surface, label, char_start FROM ta"))
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     c = chapters(spark, d).select("work_id", F.col("ordinal").alias("chapter_ordinal"), F.lit(0).alias("ordinal"), F.col("clean_text").alias("text"))
-    return E.tag_gazetteer(c, lexicon(spark, d), 2).select("work_id", "chapter_ordinal", "surface", "label", "char_start")
+    return E.tag_gazetteer(c, lexicon(spark, d)).select("work_id", "chapter_ordinal", "surface", "label", "char_start")
 
 
 C4 = f"""

@@ -86,14 +86,14 @@ def node_size(degree: Column) -> Column:
     return F.floor(F.lit(20) + F.lit(8) * F.sqrt(degree) + F.lit(0.5))
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, *, max_hops: int = 16) -> DataFrame:
+def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest undirected path of every request (request_id, start_id, end_id) over payload edges.
 
     Breadth first, level by level, for all requests at once; requests with the same start share one
     search. Of several shortest paths it gives the one a queue-based search would: the smallest sequence
     of edge places, an edge's place being (source, first edge id of its ordered pair). Each level is
-    written out, and the loop ends when no request is open or no node is new. ``hops`` is null when the
-    ends are not connected.
+    written out, and the loop ends when no request is open or no node is new, however far that is. ``hops``
+    is null when the ends are not connected.
     """
     place = F.struct("source_id", F.col("first_edge_id").alias("at"), "edge_id", "target_id") if "first_edge_id" in edges.columns else F.struct(
         "source_id", F.col("edge_id").alias("at"), "edge_id", "target_id"
@@ -105,7 +105,7 @@ def shortest_paths(requests: DataFrame, edges: DataFrame, *, max_hops: int = 16)
     seen = cut(level, "level")
     frontier = seen
     open_requests = requests.filter("start_id <> end_id").select(F.col("start_id").alias("root"), F.col("end_id").alias("node")).distinct()
-    for _ in range(max_hops):
+    while True:
         open_requests = cut(open_requests.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "open")
         if open_requests.isEmpty():
             break

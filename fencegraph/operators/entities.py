@@ -18,14 +18,17 @@ DEFAULT_THRESHOLD = 0.4
 EVIDENCE_PAD = 40
 
 
-def tag_gazetteer(chunks: DataFrame, lexicon: DataFrame, max_words: int = 3) -> DataFrame:
+def tag_gazetteer(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Candidate spans: word n-grams of every chunk that equal a lexicon entry.
 
-    ``chunks`` needs work_id, chapter_ordinal, ordinal, text; ``lexicon`` needs norm, label. Words are trimmed and
+    ``chunks`` needs work_id, chapter_ordinal, ordinal, text; ``lexicon`` needs norm, label. The n-grams are those of
+    the lengths its entries have, and one word more, as a leading article is no part of an entry. Words are trimmed and
     lower-cased once each, n-grams carry only offsets and their normal form, and the text is looked up for hits
     alone. The lexicon join is left to Catalyst: it broadcasts only if the measured size allows.
     """
     p = F.lit(vocab.OUTER_PUNCTUATION)
+    own = {r[0] for r in lexicon.select(F.size(F.split("norm", " "))).distinct().collect()}  # lengths, not entries
+    lengths = sorted(own | {n + 1 for n in own}) or [1]
 
     def word(x: Column) -> Column:
         w, left, right = x["w"], F.ltrim(x["w"], p), F.rtrim(x["w"], p)
@@ -53,7 +56,7 @@ def tag_gazetteer(chunks: DataFrame, lexicon: DataFrame, max_words: int = 3) ->
         places = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.size(x) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: gram(i, n))
 
-    every = F.filter(F.concat(*[grams(n) for n in range(1, max_words + 1)]), lambda g: g.isNotNull())
+    every = F.filter(F.concat(*[grams(n) for n in lengths]), lambda g: g.isNotNull())
     found = t.select("work_id", "chapter_ordinal", "ordinal", F.explode(every).alias("g")).select("work_id", "chapter_ordinal", "ordinal", "g.*")
     hits = found.join(lexicon.select("norm", "label"), "norm")
     at = hits.join(chunks.select("work_id", "chapter_ordinal", "ordinal", "text"), ["work_id", "chapter_ordinal", "ordinal"])

@@ -23,9 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a table that arrives in fewer partitions than there are cores; a no-op at cluster scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a driver table, which may lie in one file, over tasks; adaptive execution sets their number."""
+    return df.repartition("doc_id") if "doc_id" in df.columns else df.repartition("work_id", "chapter_ordinal")
 
 
 def hex_int(s: Column, start: int, length: int) -> Column:

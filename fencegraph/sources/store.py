@@ -12,10 +12,23 @@ CHAPTER_DEPENDENTS = ["chunks", "mentions"]
 
 
 class GraphStore:
-    """Typed tables under one folder. Parquet has no row deletes: a delete rewrites the partitions it touches."""
+    """Typed tables under one folder. Parquet has no row deletes: a delete rewrites the partitions it touches.
+
+    The number of buckets is kept beside the tables, so whoever opens a store finds its rows: ``buckets`` counts only for a
+    folder that holds no store yet.
+    """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root, buckets
+        self.spark, self.root = spark, root
+        self.buckets = self._kept_buckets(buckets)
+
+    def _kept_buckets(self, buckets: int) -> int:
+        path = self.path("_layout.parquet")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(path)
+            return buckets
+        return self.spark.read.parquet(path).first()["buckets"]
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -105,11 +118,14 @@ class GraphStore:
         ).drop("__gone")
         self.rewrite("mentions", unlinked, hit.select("work_bucket"))
 
-    def replace_tier(self, tier: int, edges: DataFrame) -> None:
-        """Rebuild one tier of all its works; other tiers keep their files. Staged before the swap."""
+    def replace_tier(self, tier: int, edges: DataFrame, works: DataFrame | None = None) -> None:
+        """Rebuild one tier of ``works`` (those of ``edges`` if not given; a work that is named and has no new edge loses the
+        tier). Other works and tiers keep their rows. Staged before the swap."""
         new = edges.filter(F.col("tier") == tier).withColumn("work_bucket", self.bucket())
-        old = self.read("edges").filter(F.col("tier") == tier).select("tier", "work_bucket")
-        self.rewrite("edges", new, old.unionByName(new.select("tier", "work_bucket")))
+        rebuilt = cut((works if works is not None else new).select("work_id").distinct(), "rebuilt")
+        touched = rebuilt.select(F.lit(tier).cast("int").alias("tier"), self.bucket().alias("work_bucket"))
+        old = self.read_works("edges", rebuilt).filter(F.col("tier") == tier).join(rebuilt, "work_id", "left_anti")
+        self.rewrite("edges", old.unionByName(new.select(*old.columns)), touched)
 
 
 def get_or_create_works(works: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def test_paths_match_a_queue_search(spark):
         return ns[::-1], ids[::-1]
 
     asks = [(k, rnd.randint(1, 30), rnd.randint(1, 32)) for k in range(40)]
-    got = G.shortest_paths(spark.createDataFrame(asks, "request_id int, start_id long, end_id long"), e, max_hops=30).collect()
+    got = G.shortest_paths(spark.createDataFrame(asks, "request_id int, start_id long, end_id long"), e).collect()
     assert len(got) == 40
     for r in got:
         want = search(r.start_id, r.end_id)

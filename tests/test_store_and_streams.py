@@ -75,10 +75,19 @@ def test_deletes_cascade(spark, store):
 def test_tier_replace_keeps_other_tiers(spark, store):
     new = store.rows("edges").filter("tier = 2 AND work_id = 2").withColumn("evidence", F.lit("new"))
     store.replace_tier(2, new)
-    assert sorted((r.work_id, r.tier, r.evidence) for r in store.rows("edges").collect()) == [(1, 1, None), (2, 1, None), (2, 2, "new"), (5, 1, None)]
+    assert sorted((r.work_id, r.tier, r.evidence) for r in store.rows("edges").collect()) == [(1, 1, None), (1, 2, None), (2, 1, None), (2, 2, "new"), (5, 1, None), (5, 2, None)]
+    store.replace_tier(2, new.filter("false"), spark.createDataFrame([(5,)], "work_id long"))
+    assert sorted((r.work_id, r.tier) for r in store.rows("edges").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (5, 1)]
     assert [r.ordinal for r in store.scan("chapters", 2, ["ordinal"]).collect()] == [1, 2]
 
 
+def test_a_store_knows_its_buckets(spark, store):
+    again = GraphStore(spark, store.root, 64)
+    assert again.buckets == 4 and [r.ordinal for r in again.scan("chapters", 5, ["ordinal"]).collect()] == [1, 2]
+    again.delete_works(spark.createDataFrame([(5,)], "work_id long"))
+    assert works(again, "chapters") == [1, 2]
+
+
 def test_get_or_create(spark):
     have = spark.createDataFrame([(4, "b", "B")], "work_id long, slug string, title string")
     want = spark.createDataFrame([("c", "C"), ("b", "other"), ("a", "A"), ("a", "A")], "slug string, title string")
@@ -108,7 +117,7 @@ def lexicon_tagger(chunks):
 
     spark = chunks.sparkSession
     lex = [("mara", "person"), ("ashford", "Place"), ("guild", "faction"), ("prince oren", "Character"), ("i", "person"), ("you", "person")]
-    return tag_gazetteer(chunks, spark.createDataFrame(lex, "norm string, label string"), 2)
+    return tag_gazetteer(chunks, spark.createDataFrame(lex, "norm string, label string"))
 
 
 def test_whole_build(spark, tmp_path):
