@@ -110,37 +110,35 @@ def type_isolation(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EMPTY_PATH = "CAST([] AS STRUCT(s BIGINT, fp BIGINT, e BIGINT, t BIGINT)[])"
-_LEVELS = 4
-
-
-def _bfs_sql() -> str:
-    parts = [
-        """rq AS (SELECT a.work_id, a.node_id AS start_id, b.node_id AS end_id FROM vn a JOIN vn b ON a.work_id = b.work_id AND a.type = 'Title' AND b.type IN ('Event', 'Concept'))""",
-        """adj AS (SELECT source_id AS u, target_id AS v, {'s': source_id, 'fp': first_edge_id, 'e': edge_id, 't': target_id} AS p FROM col
-           UNION ALL SELECT target_id, source_id, {'s': source_id, 'fp': first_edge_id, 'e': edge_id, 't': target_id} FROM col)""",
-        f"l0 AS (SELECT DISTINCT start_id AS root, start_id AS node, {_EMPTY_PATH} AS path FROM rq)",
-        "s0 AS (SELECT * FROM l0)",
-    ]
-    for i in range(1, _LEVELS + 1):
-        parts.append(
-            f"""l{i} AS MATERIALIZED (SELECT root, v AS node, min(list_append(path, p)) AS path FROM l{i - 1} JOIN adj ON node = u
-                WHERE NOT EXISTS (SELECT 1 FROM s{i - 1} z WHERE z.root = l{i - 1}.root AND z.node = v) GROUP BY root, v)"""
-        )
-        parts.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM l{i})")
-    return query(
-        [*CTES, *["\n" + p for p in parts]],
-        f"""SELECT rq.work_id, rq.start_id, rq.end_id, CAST(len(path) AS INTEGER) AS hops, list_transform(path, lambda x: x.e) AS edge_ids
-        FROM rq LEFT JOIN s{_LEVELS} z ON z.root = rq.start_id AND z.node = rq.end_id""",
-    )
-
-
-@R.add("g7_shortest_paths", _bfs_sql())
+
+
+@R.add(
+    "g7_shortest_paths",
+    query(
+        [
+            *CTES,
+            """
+rq AS (SELECT a.work_id, a.node_id AS start_id, b.node_id AS end_id FROM vn a JOIN vn b ON a.work_id = b.work_id AND a.type = 'Title' AND b.type IN ('Event', 'Concept'))""",
+            """
+adj AS (SELECT source_id AS u, target_id AS v, {'s': source_id, 'fp': first_edge_id, 'e': edge_id, 't': target_id} AS p FROM col
+  UNION ALL SELECT target_id, source_id, {'s': source_id, 'fp': first_edge_id, 'e': edge_id, 't': target_id} FROM col)""",
+            f"""
+found(root, node, path) USING KEY (root, node) AS (
+  SELECT DISTINCT start_id, start_id, {_EMPTY_PATH} FROM rq
+  UNION SELECT f.root, adj.v, min(list_append(f.path, adj.p)) FROM found f JOIN adj ON f.node = adj.u
+  LEFT JOIN recurring.found z ON z.root = f.root AND z.node = adj.v WHERE z.root IS NULL GROUP BY f.root, adj.v)""",
+        ],
+        """SELECT rq.work_id, rq.start_id, rq.end_id, CAST(len(path) AS INTEGER) AS hops, list_transform(path, lambda x: x.e) AS edge_ids
+        FROM rq LEFT JOIN found z ON z.root = rq.start_id AND z.node = rq.end_id""",
+        recursive=True,
+    ),
+)
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every title to every event and concept of its work."""
+    """Every title to every event and concept of its work, however far."""
     vn, ve = payload(spark, d)
     a = vn.filter("type = 'Title'").select("work_id", F.col("node_id").alias("start_id"))
     b = vn.filter("type IN ('Event', 'Concept')").select("work_id", F.col("node_id").alias("end_id"))
-    p = G.shortest_paths(a.join(b, "work_id"), ve, max_hops=_LEVELS)
+    p = G.shortest_paths(a.join(b, "work_id"), ve)
     return p.select("work_id", "start_id", "end_id", "hops", "edge_ids")
 
 

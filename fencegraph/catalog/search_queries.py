@@ -202,10 +202,13 @@ def core(w: str) -> str:
 TAGS = f"""
 tw AS (SELECT work_id, ordinal, clean_text, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT work_id, ordinal, clean_text, regexp_split_to_array(clean_text, '[ \\n]') AS ws FROM ch)),
 tp AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY work_id, ordinal ORDER BY i) - length(w) - 1 AS INTEGER) AS s FROM tw),
-tf AS (SELECT *, {core("w")} <> '' AS solid, lead({core("w")} <> '') OVER (PARTITION BY work_id, ordinal ORDER BY i) AS solid2 FROM tp WHERE w <> ''),
-t2 AS (SELECT work_id, ordinal, clean_text, s, s + length(w) AS e1, solid, solid2, lead(s + length(w)) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS e2 FROM tf),
+tf AS (SELECT *, {core("w")} <> '' AS solid, lead({core("w")} <> '') OVER (PARTITION BY work_id, ordinal ORDER BY i) AS solid2,
+         lead({core("w")} <> '', 2) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS solid3 FROM tp WHERE w <> ''),
+t2 AS (SELECT work_id, ordinal, clean_text, s, s + length(w) AS e1, solid, solid2, solid3, lead(s + length(w)) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS e2,
+         lead(s + length(w), 2) OVER (PARTITION BY work_id, ordinal ORDER BY i) AS e3 FROM tf),
 tg AS (SELECT work_id, ordinal, s, substr(clean_text, s + 1, e1 - s) AS raw FROM t2 WHERE solid
-       UNION ALL SELECT work_id, ordinal, s, substr(clean_text, s + 1, e2 - s) FROM t2 WHERE solid AND solid2),
+       UNION ALL SELECT work_id, ordinal, s, substr(clean_text, s + 1, e2 - s) FROM t2 WHERE solid AND solid2
+       UNION ALL SELECT work_id, ordinal, s, substr(clean_text, s + 1, e3 - s) FROM t2 WHERE solid AND solid3),
 tb AS (SELECT *, {core("raw")} AS surface, s + length(raw) - length(regexp_replace(raw, {quoted('^' + _p + '+')}, '')) AS char_start FROM tg),
 ta AS (SELECT t.work_id, t.ordinal AS chapter_ordinal, t.surface, l.label, CAST(t.char_start AS INTEGER) AS char_start FROM tb t JOIN lx l ON l.norm = {norm("t.surface")})"""
 

@@ -177,8 +177,10 @@ def deleted_works(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "a9_deleted_chapters",
     query(
-        [*ENTITY_CTES],
-        """SELECT 'chapters' AS name, work_id, count(*) AS n FROM ch WHERE ordinal % 3 <> 0 GROUP BY ALL UNION ALL SELECT 'mentions', work_id, count(*) FROM men WHERE chapter_ordinal % 3 <> 0 GROUP BY ALL""",
+        [*CHUNKS, *ENTITY_CTES[1:]],
+        """SELECT 'chapters' AS name, work_id, count(*) AS n FROM ch WHERE ordinal % 3 <> 0 GROUP BY ALL UNION ALL SELECT 'mentions', work_id, count(*) FROM men WHERE chapter_ordinal % 3 <> 0 GROUP BY ALL
+        UNION ALL SELECT 'chunks', work_id, count(*) FROM ck WHERE chapter_ordinal % 3 <> 0 GROUP BY ALL""",
+        recursive=True,
     ),
 )
 def deleted_chapters(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +189,7 @@ def deleted_chapters(spark: SparkSession, d: str) -> DataFrame:
     s.write("chunks", P.chunk_chapters(chapters(spark, d)))
     s.write("mentions", linked(spark, d))
     s.delete_chapters(chapters(spark, d).filter("ordinal % 3 = 0").select("work_id", "ordinal"))
-    return per_table(s, ["chapters", "mentions"])
+    return per_table(s, ["chapters", "chunks", "mentions"])
 
 
 @R.add(
@@ -205,13 +207,18 @@ def deleted_nodes(spark: SparkSession, d: str) -> DataFrame:
     return per_table(s, ["nodes", "edges", "node_properties"])
 
 
-@R.add("a10_replaced_tier", query(STAR_CTES, "SELECT tier, count(*) FILTER (tier <> 2 OR edge_id % 2 = 0) AS edges, count(*) FILTER (tier = 2 AND edge_id % 2 = 0) AS fresh FROM sedges GROUP BY ALL"))
+@R.add(
+    "a10_replaced_tier",
+    query(STAR_CTES, """SELECT work_id % 2 = 1 AS rebuilt, tier, count(*) FILTER (tier <> 2 OR work_id % 2 = 0 OR edge_id % 2 = 0) AS edges, count(*) FILTER (tier = 2 AND work_id % 2 = 1 AND edge_id % 2 = 0) AS fresh
+    FROM sedges GROUP BY ALL"""),
+)
 def replaced_tier(spark: SparkSession, d: str) -> DataFrame:
-    """Tier 2 rebuilt with half of its edges; the other tiers keep theirs."""
+    """Tier 2 of every other work rebuilt with half of its edges; the other works and tiers keep theirs."""
     s = new_store(spark)
     s.write("edges", star_edges(spark, d))
-    s.replace_tier(2, star_edges(spark, d).filter("tier = 2 AND edge_id % 2 = 0").withColumn("evidence", F.lit("fresh")))
-    return s.rows("edges").groupBy("tier").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("evidence") == "fresh").alias("fresh"))
+    odd = star_edges(spark, d).filter("work_id % 2 = 1")
+    s.replace_tier(2, odd.filter("tier = 2 AND edge_id % 2 = 0").withColumn("evidence", F.lit("fresh")), odd)
+    return s.rows("edges").groupBy((F.col("work_id") % 2 == 1).alias("rebuilt"), "tier").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("evidence") == "fresh").alias("fresh"))
 
 
 @R.add("a11_rebuilt_nodes", query(ENTITY_CTES, "SELECT work_id, count(*) AS n FROM nodes GROUP BY ALL"))
