@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.base import STAR_CTES, STAR_PROPS, query
 from fencegraph.catalog.registry import Registry
-from fencegraph.functions.lineage import stored
+from fencegraph.functions.lineage import stored, scratch
 from fencegraph.operators import fence
 from fencegraph.sources import adaptors as A
+from fencegraph.sources.store import GraphStore
 
 R = Registry()
 N = 24
@@ -205,10 +206,32 @@ def bloom(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "e12_fence_audit",
-    query(STAR_CTES, "SELECT work_id, count(*) AS edges, CAST(0 AS BIGINT) AS violations, max(effective_reveal) AS last_position FROM seff GROUP BY ALL"),
+    query(
+        STAR_CTES,
+        """, bad AS (SELECT e.*, CAST(CASE WHEN e.edge_id % 7 = 0 THEN effective_reveal - 1 - e.edge_id % 5 ELSE effective_reveal END AS INTEGER) AS stored, s.revealed_chapter AS sr, t.revealed_chapter AS tr
+          FROM seff e JOIN snodes s ON s.node_id = e.source_id JOIN snodes t ON t.node_id = e.target_id)
+        SELECT work_id, count(*) AS edges, CAST(sum(greatest(0, revealed_chapter - stored) + greatest(0, sr - stored) + greatest(0, tr - stored)) AS BIGINT) AS violations, max(stored) AS last_position FROM bad GROUP BY ALL""",
+    ),
 )
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    return fence.audit(star_edges(spark, d).drop("effective_reveal"), star_nodes(spark, d))
+    """Every seventh stamp is set too early; the audit must find just these positions."""
+    stamped = fence.with_effective_reveal(star_edges(spark, d).drop("effective_reveal"), star_nodes(spark, d))
+    early = F.when(F.col("edge_id") % 7 == 0, F.col("effective_reveal") - 1 - F.col("edge_id") % 5).otherwise(F.col("effective_reveal"))
+    return fence.audit(stamped.withColumn("effective_reveal", early.cast("int")), star_nodes(spark, d))
+
+
+@R.add(
+    "e12_stored_fence",
+    query(STAR_CTES, f"SELECT work_id, tier, count(*) AS edges, CAST(sum(effective_reveal) AS BIGINT) AS reveal_sum, CAST(0 AS BIGINT) AS violations FROM seff WHERE effective_reveal <= {N} GROUP BY ALL"),
+)
+def stored_fence(spark: SparkSession, d: str) -> DataFrame:
+    """A read at a position through the store, whose stamps were made when the edges were written, and the audit of what came back."""
+    s = GraphStore(spark, scratch(spark, "store"))
+    s.write("nodes", star_nodes(spark, d))
+    s.write("edges", star_edges(spark, d).drop("effective_reveal"))
+    shown = s.visible_edges(N)
+    found = fence.audit(shown, s.rows("nodes")).select("work_id", "violations")
+    return shown.groupBy("work_id", "tier").agg(F.count(F.lit(1)).alias("edges"), F.sum("effective_reveal").alias("reveal_sum")).join(found, "work_id")
 
 
 @R.add(

@@ -24,14 +24,16 @@ def visible_nodes(nodes: DataFrame, n: int | Column) -> DataFrame:
     return nodes.filter(F.col("revealed_chapter") <= position(n))
 
 
-def with_effective_reveal(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_effective_reveal(edges: DataFrame, nodes: DataFrame, *, dangling: bool = False) -> DataFrame:
     """Add ``effective_reveal``: the first position at which the edge and both its ends are revealed.
 
-    Stored once per graph build, it turns every later edge fence into one pushed-down comparison.
+    Stored once per graph build, it turns every later edge fence into one pushed-down comparison. Edges without an end
+    among the nodes go, or with ``dangling`` stay with what else is known.
     """
+    how = "left" if dangling else "inner"
     ends = nodes.select(F.col("node_id").alias("__n"), F.col("revealed_chapter").alias("__r"))
-    s = edges.join(ends.withColumnRenamed("__r", "__s"), F.col("source_id") == F.col("__n")).drop("__n")
-    st = s.join(ends.withColumnRenamed("__r", "__t"), F.col("target_id") == F.col("__n")).drop("__n")
+    s = edges.join(ends.withColumnRenamed("__r", "__s"), F.col("source_id") == F.col("__n"), how).drop("__n")
+    st = s.join(ends.withColumnRenamed("__r", "__t"), F.col("target_id") == F.col("__n"), how).drop("__n")
     return st.withColumn("effective_reveal", F.greatest("revealed_chapter", "__s", "__t")).drop("__s", "__t")
 
 
@@ -171,12 +173,13 @@ def bloom_delta(elements: DataFrame, reveal: str, key: str, old: int, new: int)
 
 
 def audit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Positions at which an edge would show although a stamp of it or its ends is later; 0 everywhere.
+    """Positions at which an edge shows although a stamp of it or its ends is later, per work; 0 in a sound graph.
 
-    Closed form per edge: it shows from ``effective_reveal`` on, a stamp forbids every position before
-    the stamp, so the forbidden positions that show are ``max(0, stamp - effective_reveal)``.
+    What is audited is the stored ``effective_reveal`` (computed only where edges have none). Closed form per edge: it
+    shows from ``effective_reveal`` on, a stamp forbids every position before the stamp, so the forbidden positions
+    that show are ``max(0, stamp - effective_reveal)``.
     """
-    e = with_effective_reveal(edges, nodes)
+    e = edges if "effective_reveal" in edges.columns else with_effective_reveal(edges, nodes)
     ends = nodes.select(F.col("node_id").alias("__n"), F.col("revealed_chapter").alias("__r"))
     both = e.join(ends.withColumnRenamed("__r", "s_reveal"), F.col("source_id") == F.col("__n")).drop("__n")
     both = both.join(ends.withColumnRenamed("__r", "t_reveal"), F.col("target_id") == F.col("__n")).drop("__n")

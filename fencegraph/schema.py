@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# What a store adds to its rows when it writes them.
+STORED: dict[str, str] = {"edges": "effective_reveal int"}
+
 TABLES: dict[str, str] = {
     "works": "work_id long, slug string, title string",
     "chapters": "work_id long, ordinal int, title string, clean_text string, content_hash string, source_path string",

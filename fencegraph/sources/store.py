@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
-from fencegraph.schema import TABLES
+from fencegraph.operators.fence import visible_edges, with_effective_reveal
+from fencegraph.schema import STORED, TABLES
 
 CHAPTER_DEPENDENTS = ["chunks", "mentions"]
 
@@ -37,23 +38,40 @@ class GraphStore:
         return ["tier", "work_bucket"] if table == "edges" else ["work_bucket"]
 
     def _write(self, table: str, df: DataFrame, dynamic: bool) -> None:
-        typed = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[table].split(", ")])
+        typed = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in self.schema(table).split(", ")])
         placed = typed.withColumn("work_bucket", self.bucket())
         # rebalance: one writer per partition, and a bucket that is too large is split over several
         placed = placed.hint("rebalance", *self._layout(table))
+        if table in STORED:  # row groups then cover few positions each, which a fence skips by their statistics
+            placed = placed.sortWithinPartitions(*self._layout(table), "effective_reveal")
         w = placed.write.mode("overwrite").partitionBy(*self._layout(table))
         (w.option("partitionOverwriteMode", "dynamic") if dynamic else w.option("partitionOverwriteMode", "static")).parquet(self.path(table))
 
+    def schema(self, table: str) -> str:
+        return ", ".join([TABLES[table], *([STORED[table]] if table in STORED else [])])
+
+    def stamped(self, edges: DataFrame) -> DataFrame:
+        """Edges with ``effective_reveal`` from the nodes in the store; without nodes, their own reveal."""
+        plain = edges.drop("effective_reveal")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("nodes"))
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return plain.withColumn("effective_reveal", F.col("revealed_chapter"))
+        return with_effective_reveal(plain, self.rows("nodes"), dangling=True)
+
     def write(self, table: str, df: DataFrame) -> None:
-        """Replace a whole derived table."""
-        self._write(table, df, dynamic=False)
+        """Replace a whole derived table. Edges are stamped with the nodes that are stored by then."""
+        self._write(table, self.stamped(df) if table == "edges" else df, dynamic=False)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table] + ", work_bucket int").parquet(self.path(table))
+        return self.spark.read.schema(self.schema(table) + ", work_bucket int").parquet(self.path(table))
 
     def rows(self, table: str) -> DataFrame:
         return self.read(table).drop("work_bucket")
 
+    def visible_edges(self, n: int) -> DataFrame:
+        """Edges that show at a reading position: one comparison on a stored column, which reaches the scan."""
+        return visible_edges(self.rows("edges"), self.rows("nodes"), n)
+
     def scan(self, table: str, work_id: int, order: list[str]) -> DataFrame:
         """Ordered scan of one work: the bucket predicate prunes partitions."""
         return self.read(table).filter((F.col("work_bucket") == work_id % self.buckets) & (F.col("work_id") == work_id)).drop("work_bucket").orderBy(*order)
@@ -121,7 +139,7 @@ class GraphStore:
     def replace_tier(self, tier: int, edges: DataFrame, works: DataFrame | None = None) -> None:
         """Rebuild one tier of ``works`` (those of ``edges`` if not given; a work that is named and has no new edge loses the
         tier). Other works and tiers keep their rows. Staged before the swap."""
-        new = edges.filter(F.col("tier") == tier).withColumn("work_bucket", self.bucket())
+        new = self.stamped(edges.filter(F.col("tier") == tier)).withColumn("work_bucket", self.bucket())
         rebuilt = cut((works if works is not None else new).select("work_id").distinct(), "rebuilt")
         touched = rebuilt.select(F.lit(tier).cast("int").alias("tier"), self.bucket().alias("work_bucket"))
         old = self.read_works("edges", rebuilt).filter(F.col("tier") == tier).join(rebuilt, "work_id", "left_anti")
