@@ -67,7 +67,7 @@ spans AS (SELECT work_id, chapter_ordinal, surface,
 
 MENTIONS = f"""
 typed AS (SELECT *, {sql_case("label", vocab.LABEL_TYPES)} AS type FROM spans),
-men AS (SELECT *, work_id * 1000000000000000 + CAST(chapter_ordinal AS BIGINT) * 1000000 + ordinal AS mention_id
+men AS (SELECT *, CAST(chapter_ordinal AS BIGINT) * 2147483648 + ordinal AS mention_id
         FROM (SELECT work_id, chapter_ordinal, surface, type, char_start, char_end, score,
                      CAST(row_number() OVER (PARTITION BY work_id, chapter_ordinal ORDER BY char_start, char_end, type) - 1 AS INTEGER) AS ordinal
               FROM typed WHERE type IS NOT NULL AND score >= 0.4))"""
@@ -107,7 +107,7 @@ clu AS (SELECT a.work_id, a.host, o.type, b.name, a.first_seen_chapter, a.mentio
         JOIN best b ON b.work_id = a.work_id AND b.host = a.host AND b.rk = 1
         JOIN ev e ON e.work_id = a.work_id AND e.host = a.host AND e.rk = 1
         JOIN fold o ON o.work_id = a.work_id AND o.norm = a.host),
-nodes AS (SELECT work_id, work_id * 1000000000000 + row_number() OVER (PARTITION BY work_id ORDER BY first_seen_chapter, mention_count DESC, name,
+nodes AS (SELECT work_id, work_id * 268435456 + row_number() OVER (PARTITION BY work_id ORDER BY first_seen_chapter, mention_count DESC, name,
                  n_tokens DESC, members DESC, first_pos) AS node_id, type, name, CAST(mention_count AS DOUBLE) AS importance,
                  first_seen_chapter, first_seen_chapter AS revealed_chapter, host, ev_ch, ev_s, ev_e FROM clu),
 lm AS (SELECT m.*, n.node_id, n.type AS node_type FROM mn m

@@ -115,7 +115,7 @@ def conv_pairs(j: DataFrame) -> DataFrame:
         [VERDICTS],
         """, p AS (SELECT *, CASE WHEN work_id % 2 = 1 THEN work_id * 10 + 2 ELSE work_id * 10 + 1 END AS s, CASE WHEN work_id % 2 = 1 THEN work_id * 10 + 1 ELSE work_id * 10 + 2 END AS t,
           row_number() OVER (PARTITION BY work_id ORDER BY k) AS no FROM cf)
-        SELECT work_id, work_id * 10000000000000 + 3000000000000 + 8 + no AS edge_id, CASE WHEN relation = 'SAME_AS' THEN least(s, t) ELSE s END AS source_id,
+        SELECT work_id, work_id * 34359738368 + 25769803776 + 8 + no AS edge_id, CASE WHEN relation = 'SAME_AS' THEN least(s, t) ELSE s END AS source_id,
           CASE WHEN relation = 'SAME_AS' THEN greatest(s, t) ELSE t END AS target_id, relation, 3 AS tier, 1 AS first_seen_chapter, k AS revealed_chapter, 'llm' AS method, clue AS evidence FROM p""",
     ),
 )

@@ -32,7 +32,7 @@ EDGES1 = f"""
 e0 AS (SELECT a.*, {snippet("c.clean_text", "least(a_s, b_s)", "greatest(a_e, b_e)", 30)} AS evidence,
               {sql_case("lo_type || '>' || hi_type", _rules)} AS ra, {sql_case("hi_type || '>' || lo_type", _rules)} AS rb
        FROM ac a JOIN ch c ON c.work_id = a.work_id AND c.ordinal = a.chapter),
-edges1 AS (SELECT work_id, work_id * 10000000000000 + 1000000000000 + row_number() OVER (PARTITION BY work_id ORDER BY chapter, a_s, a_id, b_s, b_id) AS edge_id,
+edges1 AS (SELECT work_id, work_id * 34359738368 + 8589934592 + row_number() OVER (PARTITION BY work_id ORDER BY chapter, a_s, a_id, b_s, b_id) AS edge_id,
               CASE WHEN ra IS NULL AND rb IS NOT NULL THEN hi ELSE lo END AS source_id, CASE WHEN ra IS NULL AND rb IS NOT NULL THEN lo ELSE hi END AS target_id,
               CASE WHEN coalesce(ra, rb, 'RelatedTo') = 'MemberOf' AND ({_cues}) THEN 'LeaderOf' ELSE coalesce(ra, rb, 'RelatedTo') END AS relation,
               1 AS tier, chapter AS first_seen_chapter, chapter AS revealed_chapter, evidence, cooccurrences FROM e0)"""

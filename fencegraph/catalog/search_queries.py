@@ -109,10 +109,10 @@ def index_sizes(spark: SparkSession, d: str) -> DataFrame:
     return text_index(spark, d).groupBy("work_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("chapter_ordinal").alias("last_chapter"))
 
 
-@R.add("f2_hashed_words", query([*CHUNKS, SLOTS], "SELECT work_id * 1000000000000000 + chapter_ordinal * 1000000 + ordinal AS chunk_id, slot, n FROM sl", recursive=True))
+@R.add("f2_hashed_words", query([*CHUNKS, SLOTS], "SELECT work_id, CAST(chapter_ordinal AS BIGINT) * 2147483648 + ordinal AS chunk_id, slot, n FROM sl", recursive=True))
 def hashed_words(spark: SparkSession, d: str) -> DataFrame:
-    x = text_index(spark, d).select("chunk_id", F.posexplode("embedding").alias("slot", "n")).filter("n > 0")
-    return x.select("chunk_id", F.col("slot").cast("long").alias("slot"), F.col("n").cast("long").alias("n"))
+    x = text_index(spark, d).select("work_id", "chunk_id", F.posexplode("embedding").alias("slot", "n")).filter("n > 0")
+    return x.select("work_id", "chunk_id", F.col("slot").cast("long").alias("slot"), F.col("n").cast("long").alias("n"))
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ bt AS (SELECT *, row_number() OVER (PARTITION BY work_id, chapter_ordinal, char_
 @R.add("c4_rebased_spans", query([*CHUNKS, TOKENS, SPANS, C4], "SELECT work_id, chapter_ordinal, chunk_ordinal, surface, label AS type, char_start, char_end, score FROM bt WHERE rk = 1", recursive=True))
 def rebased(spark: SparkSession, d: str) -> DataFrame:
     """Spans as a tagger sees them, once per chunk that holds them, odd chunks with twice the score."""
-    k = text_index(spark, d).select("work_id", "chapter_ordinal", (F.col("chunk_id") % 1000000).cast("int").alias("ordinal"), "char_start", "char_end")
+    k = text_index(spark, d).select("work_id", "chapter_ordinal", (F.col("chunk_id") % (1 << 31)).cast("int").alias("ordinal"), "char_start", "char_end")
     score = F.round(F.col("score") * (1 + F.col("chunk_ordinal") % 2), 9)
     local = build.chunk_positions(A.doc_spans(spark, d), k).withColumn("score", score).withColumnRenamed("label", "type")
     return E.rebase_spans(local, k).drop("subtype")

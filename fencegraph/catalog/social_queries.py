@@ -44,7 +44,7 @@ sa AS (SELECT work_id, source_id, target_id, relation, chapter_ordinal AS first_
               first_value(evidence) OVER (w ORDER BY score DESC, chapter_ordinal, a_s, a_id, b_s, b_id, phrase) AS evidence,
               row_number() OVER (w ORDER BY chapter_ordinal, a_s, a_id, b_s, b_id, phrase) AS rk
        FROM dr WINDOW w AS (PARTITION BY work_id, source_id, target_id, relation)),
-se AS (SELECT work_id, work_id * 10000000000000 + 2000000000000 + row_number() OVER (PARTITION BY work_id ORDER BY first_ch, a_s, a_id, b_s, b_id, phrase, relation) AS edge_id,
+se AS (SELECT work_id, work_id * 34359738368 + 17179869184 + row_number() OVER (PARTITION BY work_id ORDER BY first_ch, a_s, a_id, b_s, b_id, phrase, relation) AS edge_id,
               source_id, target_id, relation, first_seen_chapter, evidence FROM sa WHERE rk = 1)"""
 CTES = [*ENTITY_CTES, PAIRS, SPANS2, INDEX, VALID]
 

@@ -188,13 +188,13 @@ def custom_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "u4_custom_embedder",
-    query([DOCS], """SELECT work_id * 1000000000000000 + ordinal * 1000000 AS chunk_id, length(clean_text) - length(replace(clean_text, 'a', '')) AS a, length(clean_text) - length(replace(clean_text, 'e', '')) AS e FROM ch"""),
+    query([DOCS], """SELECT work_id, CAST(ordinal AS BIGINT) * 2147483648 AS chunk_id, length(clean_text) - length(replace(clean_text, 'a', '')) AS a, length(clean_text) - length(replace(clean_text, 'e', '')) AS e FROM ch"""),
 )
 def custom_embedder(spark: SparkSession, d: str) -> DataFrame:
     """An embedder as a plain column expression: letter counts."""
     counts = lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c)))).cast("double") for c in "ae"])
     i = S.index_chunks(whole_chunks(spark, d), counts)
-    return i.select("chunk_id", F.col("embedding")[0].cast("long").alias("a"), F.col("embedding")[1].cast("long").alias("e"))
+    return i.select("work_id", "chunk_id", F.col("embedding")[0].cast("long").alias("a"), F.col("embedding")[1].cast("long").alias("e"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

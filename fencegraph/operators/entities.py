@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fencegraph import vocab
+from fencegraph.functions import keys
 from fencegraph.functions import text as X
 from fencegraph.functions.arrays import running_starts
 from fencegraph.functions.lineage import cut
 from fencegraph.functions.ranking import number_rows
 
-NODE_STRIDE = 10**12
 DEFAULT_THRESHOLD = 0.4
 EVIDENCE_PAD = 40
 
@@ -98,11 +98,9 @@ def rebase_spans(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def number_mentions(spans: DataFrame) -> DataFrame:
     """Mention ordinal by (start, end) inside its chapter (bounded by the text of one chapter)."""
-    from fencegraph.sources.adaptors import mention_ids
-
     w = Window.partitionBy("work_id", "chapter_ordinal").orderBy("char_start", "char_end", "type")
     m = spans.withColumn("ordinal", F.row_number().over(w) - 1)
-    return mention_ids(m).withColumn("method", F.lit("gliner"))
+    return m.withColumn("mention_id", keys.in_work(F.col("chapter_ordinal"), F.col("ordinal"))).withColumn("method", F.lit("gliner"))
 
 
 def names(mentions: DataFrame) -> DataFrame:
@@ -214,7 +212,7 @@ def build_nodes(clusters: DataFrame, chapters: DataFrame | None) -> DataFrame:
     else:
         n = n.withColumn("evidence", F.lit(None).cast("string"))
     return n.select(
-        "work_id", (F.col("work_id") * F.lit(NODE_STRIDE) + F.col("no")).alias("node_id"), "type", "name", "subtype",
+        "work_id", keys.node_id(F.col("work_id"), F.col("no")).alias("node_id"), "type", "name", "subtype",
         F.col("mention_count").cast("double").alias("importance"), "first_seen_chapter",
         F.col("first_seen_chapter").alias("revealed_chapter"), F.lit("gliner").alias("method"), "evidence", F.col("host").alias("norm"),
     )

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph import vocab
+from fencegraph.functions import keys
 from fencegraph.functions import text as X
 from fencegraph.functions.ranking import number_rows
 
-EDGE_STRIDE = 10**13
-TIER_STRIDE = 10**12
 WINDOW = 250
 EVIDENCE_PAD = 30
 
@@ -90,9 +89,7 @@ def classify(pairs: DataFrame, cues: list[str] | None = None) -> DataFrame:
 def edge_ids(edges: DataFrame, tier: int, order: list[Column]) -> DataFrame:
     """Edge ids that follow the order of first appearance; numbered per first chapter (bounded by its text)."""
     n = number_rows(edges, ["work_id"], F.col("first_seen_chapter"), order, "no")
-    return n.withColumn(
-        "edge_id", F.col("work_id") * F.lit(EDGE_STRIDE) + F.lit(tier * TIER_STRIDE) + F.col("no")
-    ).drop("no")
+    return n.withColumn("edge_id", keys.edge_id(F.col("work_id"), tier, F.col("no"))).drop("no")
 
 
 def build_structural(linked: DataFrame, chapters: DataFrame, *, window: int = WINDOW, min_cooccurrences: int = 1) -> DataFrame:

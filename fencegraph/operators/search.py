@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from fencegraph.functions import keys
 from fencegraph.functions import text as X
 from fencegraph.functions.ranking import top_rows
 
@@ -49,8 +50,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def index_chunks(chunks: DataFrame, embed: Callable[[Column], Column] = hashed_words) -> DataFrame:
-    """Stored chunks of a chunk table; ``embed`` is any text -> array<double> column function."""
-    cid = F.col("work_id") * F.lit(10**15) + F.col("chapter_ordinal").cast("long") * F.lit(10**6) + F.col("ordinal")
+    """Stored chunks of a chunk table, told apart by (work_id, chunk_id); ``embed`` is any text -> array<double> column function."""
+    cid = keys.in_work(F.col("chapter_ordinal"), F.col("ordinal"))
     return chunks.select(cid.alias("chunk_id"), "work_id", "chapter_ordinal", "char_start", "char_end", "text", embed(F.col("text")).alias("embedding"))
 
 
@@ -60,8 +61,8 @@ def replace_works(index: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(index: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Index after adding chunks; the same chunk id is replaced."""
-    return index.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
+    """Index after adding chunks; the same chunk of a work is replaced."""
+    return index.join(fresh.select("work_id", "chunk_id"), ["work_id", "chunk_id"], "left_anti").unionByName(fresh)
 
 
 _HITS = StructType([StructField("q_id", ArrayType(LongType())), StructField("chunk_id", ArrayType(LongType())), StructField("score", ArrayType(DoubleType()))])
@@ -95,8 +96,15 @@ def _pack(df: DataFrame, keys: list[str], id_col: str, at: str, prefix: str) ->
     )
 
 
-def _search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str], block: Column) -> DataFrame:
-    c = chunks.withColumn("block", block).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+def _blocked(chunks: DataFrame, on: list[str]) -> DataFrame:
+    """``block`` of each chunk: as many of equal size as the chunks of its key fill, whatever their ids look like."""
+    sizes = chunks.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("__blocks"))
+    return chunks.join(sizes, on).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("__blocks"))).drop("__blocks")
+
+
+def _search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str], block: Column | None) -> DataFrame:
+    c = _blocked(chunks, on) if block is None else chunks.withColumn("block", block)
+    c = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
     q = queries.withColumn("q_block", F.floor(F.col("q_id") / BLOCK_ROWS))
     cb = _pack(c, [*on, "block", "salt"], "chunk_id", "chapter_ordinal", "c")
     qb = _pack(q, [*on, "q_block"], "q_id", "n", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -115,7 +123,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, block: Column | None =
     most k rows per query from one matrix product. No pair of query and chunk ever becomes a row. The
     fence is applied before ranking. Scores are rounded to 9 places; ties go to the lower chunk id.
     """
-    flat = _search(queries, chunks, k, ["work_id"], block if block is not None else F.floor(F.col("chunk_id") / BLOCK_ROWS))
+    flat = _search(queries, chunks, k, ["work_id"], block)
     return top_rows(flat, ["q_id", "work_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -142,7 +150,7 @@ def approx_top_k(queries: DataFrame, chunks: DataFrame, k: int, *, bits: int = 3
     own = cell(F.col("embedding"), bits)
     probes = F.transform(F.array(own), lambda o: F.concat(F.array(o), F.array(*[o.bitwiseXOR(F.lit(1 << b)) for b in range(bits)])))[0]
     q = queries.withColumn("cell", F.explode(probes))
-    flat = _search(q, c, k, ["work_id", "cell"], block if block is not None else F.floor(F.col("chunk_id") / BLOCK_ROWS))
+    flat = _search(q, c, k, ["work_id", "cell"], block)
     return top_rows(flat, ["q_id", "work_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -167,7 +175,7 @@ def compose_answers(queries: DataFrame, hits: DataFrame, chunks: DataFrame, max_
     ``queries``: q_id, work_id, query; ``hits``: q_id, work_id, chunk_id, rank.
     """
     used = hits.filter(F.col("rank") <= max_passages).join(
-        chunks.select("chunk_id", "chapter_ordinal", "char_start", "char_end", "text"), "chunk_id"
+        chunks.select("work_id", "chunk_id", "chapter_ordinal", "char_start", "char_end", "text"), ["work_id", "chunk_id"]
     ).join(queries.select("q_id", "work_id", keywords(F.col("query")).alias("words")), ["q_id", "work_id"])
     part = F.concat(best_sentence(F.col("text"), F.col("words")), F.lit(" [ch"), F.col("chapter_ordinal").cast("string"), F.lit("]"))
     rows = used.groupBy("q_id", "work_id").agg(  # at most max_passages rows each

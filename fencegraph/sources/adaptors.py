@@ -12,8 +12,6 @@ from fencegraph.functions import text as X
 from fencegraph.functions.arrays import running_starts
 from fencegraph.functions.ranking import number_by_position
 
-WORK_STRIDE = 10**15
-CHAPTER_STRIDE = 10**6
 LABELS = [*vocab.LABEL_TYPES, "gadget", "mood"]  # 16 labels, the last two unknown to the model
 REVEAL_LAG = {"Organization": 1, "Ability": 2, "Concept": 3, "Event": 1, "Title": 2}
 
@@ -122,14 +120,6 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mention_ids(mentions: DataFrame) -> DataFrame:
-    """Order-preserving unique id from (work, chapter, ordinal)."""
-    return mentions.withColumn(
-        "mention_id",
-        F.col("work_id") * F.lit(WORK_STRIDE) + F.col("chapter_ordinal").cast("long") * F.lit(CHAPTER_STRIDE) + F.col("ordinal"),
-    )
-
-
 def doc_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered, typed mentions over ``documents``."""
     from fencegraph.operators import entities as E
