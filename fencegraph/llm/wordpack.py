@@ -34,7 +34,7 @@ WIDTHS = (0, 64) + tuple(60 // n for n in COUNTS[2:])
 ESCAPE = 1
 BLOCK = 8192
 SEGMENT = 1 << 20  # ids after which a segment is closed
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
@@ -171,7 +171,7 @@ class Coder(dict):
             self._learn({w[:-1] for w in stopped}.difference(self, words) | words | {w[-1] for w in stopped}.difference(self))
             self.update((w, self[w[:-1]] + self[w[-1]]) for w in stopped)
             return
-        plain = [w for w in words if self.whole and w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
+        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))] if self.whole else []
         rest = list(words.difference(plain))
         groups = [plain[lo : lo + 2048] for lo in range(0, len(plain), 2048)]
         lines = [" ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some) for some in groups]
