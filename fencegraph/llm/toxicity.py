@@ -222,18 +222,15 @@ def restored_words(docs: DataFrame, text: str, costs: list[float]) -> DataFrame:
 
 
 def lexicon(labelled: DataFrame, label: str, *, least: int = 5, z: float = 6.0, ratio: float = 4.0, most: int = 20_000) -> dict[int, float]:
-    """Word hashes that mark label 1 with their log ratio of document shares; the ``most`` surest, by z and hash.
-
-    Only words of ``least`` toxic documents are counted among the rest; they are joined by hash."""
+    """Word hashes that mark label 1 with their log ratio of document shares; the ``most`` surest, by z and hash, of those in
+    ``least`` toxic documents. Words are counted under both labels in the map tasks before anything is shuffled."""
     sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}
-    exploded = labelled.select(F.col(label).alias("y"), F.explode("words").alias("w"))
-    ones = exploded.where("y = 1").groupBy("w").agg(F.count(F.lit(1)).alias("n1")).where(F.col("n1") >= least)
-    zeros = exploded.where("y = 0").join(ones.select("w"), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n0"))
-    share = (F.coalesce("n0", F.lit(0)) + 1) / (clean + 2)
-    scored = ones.join(zeros, "w", "left").select("w", (F.col("n1") / toxic / share).alias("r"), ((F.col("n1") - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z"))
+    counts = labelled.select(F.col(label).alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    share = (F.col("n0") + 1) / (clean + 2)
+    scored = counts.where(F.col("n1") >= least).select("w", (F.col("n1") / toxic / share).alias("r"), ((F.col("n1") - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z"))
     top = scored.where((F.col("z") >= z) & (F.col("r") >= ratio)).orderBy(F.desc("z"), "w").limit(most).collect()
     return {r["w"]: float(min(6.0, np.log(r["r"]))) for r in top}
 
@@ -289,7 +286,8 @@ def score(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
     costs = costs_of(count_trigrams(texts, "text"))
     words = cut(restored_words(texts, "text", costs), "words")
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(learn).groupBy("doc_id").agg(F.max("y").alias("y"))
-    marks = lexicon(words.join(known, "doc_id"), "y")
+    # labels may be as many as documents: one plan at any size, no broadcast, and no sort of the word lists
+    marks = lexicon(words.join(known.hint("shuffle_hash"), "doc_id").select("y", "words"), "y")
     found = cut(marked(words, marks), "marked")
     fitted = found.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = [tuple(r) for r in fitted.select(*[c.alias(f"x{i}") for i, c in enumerate(_features())], F.col("y").cast("double").alias("y")).collect()]
