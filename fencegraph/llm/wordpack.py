@@ -138,7 +138,10 @@ class Coder(dict):
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.library.model)
+        model = self.library.model
+        if hasattr(model, "_resize_cache"):  # words are remembered here, and each is seen once by the model
+            model._resize_cache(0)
+        self.bare = Tokenizer(model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         letters = byte_letters()
         self.letters = {i: c for i, c in enumerate(letters)}
@@ -173,7 +176,7 @@ class Coder(dict):
             return
         plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))] if self.whole else []
         rest = list(words.difference(plain))
-        groups = [plain[lo : lo + 2048] for lo in range(0, len(plain), 2048)]
+        groups = [plain[lo : lo + 128] for lo in range(0, len(plain), 128)]
         lines = [" ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some) for some in groups]
         for some, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
