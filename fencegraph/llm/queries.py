@@ -94,7 +94,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@R.add("op4_warc_records")
+@R.add(
+    "op4_warc_records",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS head FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p JOIN m USING (h)
+""",
+)
 def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams, members = scratch(spark, "warc"), scratch(spark, "warc-members")
     warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", streams)
