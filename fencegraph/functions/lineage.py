@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -41,16 +42,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 _STORED: dict[tuple[str, ...], tuple[str, StructType]] = {}
+BUILD_SECONDS: dict[str, float] = {}  # of derived tables, without those built inside them
+_inner: list[float] = []
 
 
 def stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table built once per application and read many times, as a graph build is."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _STORED or not _complete(spark, _STORED[full][0]):
+        began = time.time()
+        _inner.append(0.0)
         df = build()
         path = scratch(spark, key[0])
         df.write.parquet(path)
         _STORED[full] = (path, df.schema)
+        took = time.time() - began
+        BUILD_SECONDS[key[0]] = BUILD_SECONDS.get(key[0], 0.0) + took - _inner.pop()
+        if _inner:
+            _inner[-1] += took
     path, schema = _STORED[full]
     return spark.read.schema(schema).parquet(path)
 
