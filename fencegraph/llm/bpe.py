@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
-from fencegraph.llm.common import tasks
+from fencegraph.llm.common import small_batches, tasks
 
 CHUNK, OVERLAP = 32768, 1024
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 
 
@@ -39,9 +39,17 @@ class Codec(dict):
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.pattern_text = pattern
+
+    @cached_property
+    def library(self) -> tiktoken.Encoding:
+        """Only where something is encoded: decoding needs the bytes alone."""
+        return tiktoken.Encoding("file", pat_str=self.pattern_text, mergeable_ranks={b: i for i, b in self.bytes_of.items()}, special_tokens={})
+
+    @cached_property
+    def pattern(self) -> regex.Pattern:
+        return regex.compile(self.pattern_text)
 
     def __missing__(self, cell: str) -> list[int]:
         if len(self) >= REMEMBERED:
@@ -132,6 +140,7 @@ def encode(docs: DataFrame, text: str, path: str, pattern: str, out: str = "ids"
     Null and empty texts have no ids. Repeated rows are encoded each; special tokens are ordinary text. Columns whose name
     clashes with ``out`` are replaced. ``path`` names the rank file, which every executor must find.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(text, out)
     names = [f"c{i}" for i in range(len(kept.columns))]
     plain = docs.select(docs[text].alias("text"), *[docs[c].alias(n) for n, c in zip(names, kept.columns)])
@@ -165,6 +174,7 @@ def decode(coded: DataFrame, ids: str, path: str, pattern: str, out: str = "byte
                 data = [c.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*part.schema.names, out])
 
+    small_batches(coded.sparkSession)
     kept = coded.drop(out)
     at = kept.columns.index(ids)
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{out}` binary"])

@@ -18,3 +18,8 @@ def id_remainder(col: Column, mod: int) -> Column:
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand rows at a time: ten thousand, the default, may be a hundred megabytes on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

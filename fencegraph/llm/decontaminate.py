@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fencegraph.llm.common import small_batches
+
 
 N, LEAST_SEEDS = 3, 8
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
@@ -164,6 +166,7 @@ def find(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_te
     Null and empty texts are clean; items without a word are in no document; items of up to eight words must be there in
     full. Repeated rows are answered each; an item id with several texts is found by any of them. No items, no leaks.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(out)
     names = [f"c{i}" for i in range(len(kept.columns))]
     at = kept.columns.index(text)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph.functions.ranking import top_rows
+from fencegraph.llm.common import small_batches
 
 UNKNOWN = "und"
 CORE, WARM, LANES = 992, 16, 512
@@ -221,6 +222,7 @@ def predict(docs: DataFrame, text: str, net: Network, *, lang_col: str = "lang_p
                 rest = batch.slice(lo, hi - lo).select(range(1, batch.num_columns))
                 yield pa.RecordBatch.from_arrays([*rest.columns, answer, score], names=[*rest.schema.names, "__lang", "__score"])
 
+    small_batches(docs.sparkSession)
     kept = docs.drop(lang_col, score_col)
     inner = [f"c{i}" for i in range(len(kept.columns))]
     at = kept.columns.index(text)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
-from fencegraph.llm.common import tasks
+from fencegraph.llm.common import small_batches, tasks
 from fencegraph.llm.components import connected
 
 SEED, BUCKET = 42, 64
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, text: str, out: str = "fingerprint") -> DataFr
             rest = batch.select(range(1, batch.num_columns))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(values.view(np.int64))], names=[*rest.schema.names, "__fp"])
 
+    small_batches(docs.sparkSession)
     kept = docs.drop(text, out)
     plain = docs.select(F.col(text).cast("binary").alias("__bytes"), *[docs[c].alias(f"c{i}") for i, c in enumerate(kept.columns)])
     types = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema)] + ["__fp long"])

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
+from fencegraph.llm.common import small_batches
 
 # Which letters a sign may stand for.
 SIGNS = {
@@ -34,7 +35,7 @@ SIGNS = {
 SIGN_COST, SKIP_COST, KEEP_COST, PART_COST, REPEAT_COST, DOUBLE_COST = 1.0, 2.0, 7.0, 1.0, 0.5, 5.0
 VOWELS, VOWEL_COST = "aeiou", 1.0  # what an asterisk or number sign inside a word may hide
 K = 28  # symbols: between words, a to z, any other letter
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 STEM = 6
 _WORD_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in SIGNS) + "“”‘’«»…¿¡–—"
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]|[@$!|+])(?:[ \t]{1,2}(?:[^\W_]|[@$!|+])){2,}(?=[.,;:?]?(?:\s|$))")
@@ -282,6 +283,7 @@ def score(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
     of the regression are fitted to the first ``sample`` by a hash of the id. Null and empty texts have no words and are
     scored alike. An id with two labels is toxic if either is. Without labels of both kinds the score is the share of toxic labels.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     costs = costs_of(count_trigrams(texts, "text"))
     words = cut(restored_words(texts, "text", costs), "words")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
+from fencegraph.llm.common import small_batches
 
 ARCHIVE_BYTES = 4 << 20  # payload after which an archive is closed
 STEP = 1 << 20  # bytes inflated at a time
@@ -130,6 +131,7 @@ def write(pages: DataFrame, page_id: str, url: str, html: str, path: str, *, lea
     revisit; rows that repeat id and payload of the response are responses as well, and a null id revisits any other. Null
     html is an empty payload, a null url an empty one.
     """
+    small_batches(pages.sparkSession)
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.col(html).alias("html"))
     heads = _heads(plain).where(F.col("n") >= least_bytes).groupBy("page_id", "digest").agg(F.max("head").alias("head"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from fencegraph.llm.common import tasks
+from fencegraph.llm.common import small_batches, tasks
 
 # Fixed values of the code: how many ids a word of each selector holds. The width follows. Selector 1 is the escape.
 COUNTS = (240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -229,6 +229,7 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
         if ids:
             yield segment()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(tasks(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(work, _TYPES).write.parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fencegraph.llm import bpe
 
 HOW = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-LETTERS = st.text(alphabet=st.sampled_from(list("ab'sT1 2 \n\t 　\x1c\x85é.,<|>-")) | st.characters(), max_size=60)
+LETTERS = st.text(alphabet=st.sampled_from(list("ab'sT1 2 \n\t 　\x1c\x85é.,<|>-")) | st.characters(exclude_categories=["Cs"]), max_size=60)
 
 
 @settings(max_examples=400, deadline=None)
@@ -17,10 +17,7 @@ LETTERS = st.text(alphabet=st.sampled_from(list("ab'sT1 2 \n\t 　\x1c\x85é.,<
 def test_cells_encode_as_the_whole_text(text):
     c = bpe.codec(*HOW)
     assert "".join(bpe.cells(text)) == text
-    try:
-        whole = c.library.encode_ordinary(text)
-    except UnicodeEncodeError:
-        return
+    whole = c.library.encode_ordinary(text)
     assert c.encode(text).tolist() == whole
     assert c.decode(whole) == text.encode()
 
