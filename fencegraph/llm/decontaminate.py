@@ -1,18 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-All n-grams of the test items are counted in all documents, and each item keeps its rarest half (eight at least) as seeds, so
-an item has seeds however often it leaked. A seed in a passage puts item and passage side by side; their local alignment
-(match 1, mismatch and gap -1) over a window around the seed's diagonal scores copies with words changed, dropped or added.
-The score is the alignment's share of the item's words.
+Every 3-gram of an item is a seed, however often it occurs. A seed in a passage puts item and passage side by side; their local
+alignment (match 1, mismatch and gap -1) over a window around the seed's diagonal scores copies with words changed, dropped or
+added. The score is the alignment's share of the item's words. Before aligning, item and passage are dropped only where too few
+of the item's words are there for the bar to be reached.
 
-Texts are read where they lie, once to count and once to align; only counts and findings are shuffled. Items are broadcast in
-blocks of at most ``BLOCK_BYTES``, each with its own two readings, so the size of a broadcast is bounded for any benchmark.
+An alignment that reaches the bar with e edits between its first and last match has more than 2 (e + 1) matches, so three in a
+row, whenever e + 2 is less than the bar: always if words were only changed or dropped. Words added after every second or third
+word of an item (about half as many as it has) may leave no seed, and such a copy is not found.
+
+Texts are read where they lie, once per block of items, and nothing is shuffled. Items are broadcast in blocks of at most
+``BLOCK_BYTES``, so the size of a broadcast is bounded for any benchmark.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from fencegraph.llm.common import small_batches
 
 
-N, LEAST_SEEDS = 3, 8
+N = 3
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
 BLOCK_BYTES = 8 << 20
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -45,19 +49,23 @@ def grams_of(words: list[bytes]) -> Iterator[tuple[bytes, ...]]:
 Item = tuple[int, list[bytes]]
 
 
-def choose_seeds(items: list[Item], found: dict[tuple[bytes, ...], int]) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
-    """Seeds with the (place of the item, position in it) they occur at: per item the rarest, ties by position."""
-    seeds: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
+Seeds = dict[tuple[bytes, ...], list[tuple[int, int]]]
+
+
+def seeds_of(items: list[Item]) -> Seeds:
+    """All n-grams of the items with the (place of the item, position in it) they occur at."""
+    seeds: Seeds = defaultdict(list)
     for at, (_, words) in enumerate(items):
-        grams = list(grams_of(words))
-        order = sorted(range(len(grams)), key=lambda i: (found.get(grams[i], 0), i))
-        chosen = {grams[i] for i in order[: max(LEAST_SEEDS, (len(grams) + 1) // 2)]}
-        for i, g in enumerate(grams):
-            if g in chosen:
-                seeds[g].append((at, i))
+        for i, g in enumerate(grams_of(words)):
+            seeds[g].append((at, i))
     return dict(seeds)
 
 
+def bar_of(n: int) -> float:
+    """The least score that makes a leak of an item of ``n`` words."""
+    return max(LEAST_SCORE * n, min(LEAST_WORDS, n))
+
+
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of ``item`` (m, word numbers) with each row of ``windows`` (b, w): score, begin and end in the
     row. The earliest end wins a tie, then the earliest begin.
@@ -90,7 +98,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best // unit, w + 1 - best % unit, end
 
 
-def leaks_of(words: list[bytes], items: list[Item], seeds: dict[tuple[bytes, ...], list[tuple[int, int]]]) -> list[tuple[int, float, int, int]]:
+def leaks_of(words: list[bytes], items: list[Item], seeds: Seeds) -> list[tuple[int, float, int, int]]:
     """(item id, score, first word, word after the last) of the best alignment of each item that leaked into the words."""
     spots: dict[int, set[int]] = defaultdict(set)
     short = {len(g) for g in seeds} - {N}
@@ -101,14 +109,18 @@ def leaks_of(words: list[bytes], items: list[Item], seeds: dict[tuple[bytes, ...
             if gram in seeds:
                 for at, position in seeds[gram]:
                     spots[at].add((place - position) // max(len(items[at][1]), LEAST_WORDS))
-    out = []
+    out, here = [], set(words) if spots else set()
     for at in sorted(spots):
         name, item = items[at]
+        distinct, bar = set(item), bar_of(len(item))
+        repeats = len(item) - len(distinct)
+        if repeats + len(distinct & here) < bar:
+            continue  # a score is at most the number of the item's words that are there
         size, slack = max(len(item), LEAST_WORDS), len(item) // 2 + 4
         number = {w: i for i, w in enumerate(dict.fromkeys(item))}
         wide = 2 * size + 2 * slack
         best = (-1, 0, 0)
-        spans = sorted(spots[at])
+        spans = [s for s in sorted(spots[at]) if repeats + len(distinct.intersection(words[max(0, s * size - slack) : max(0, s * size - slack) + wide])) >= bar]
         for lo in range(0, len(spans), 256):
             windows = np.full((len(spans[lo : lo + 256]), wide), -1, np.int32)
             begins = []
@@ -121,32 +133,11 @@ def leaks_of(words: list[bytes], items: list[Item], seeds: dict[tuple[bytes, ...
             for s, f, e, begin in zip(score.tolist(), first.tolist(), last.tolist(), begins):
                 best = max(best, (s, -(begin + f), -(begin + e)))
         score, first, last = best[0], -best[1], -best[2]
-        if score >= max(LEAST_SCORE * len(item), min(LEAST_WORDS, len(item))):
+        if score >= bar:
             out.append((name, score / len(item), first, last))
     return out
 
 
-def _count(docs: DataFrame, text: str, items: list[Item]) -> dict[tuple[bytes, ...], int]:
-    """In how many documents each n-gram of the items occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(list(dict.fromkeys(g for _, w in items for g in grams_of(w))))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {g: i for i, g in enumerate(sent.value)}
-        short = {len(g) for g in number} - {N}
-        seen: Counter[int] = Counter()
-        for batch in batches:
-            for x in batch.column(0):
-                words = words_of(x.as_py() or "")
-                here = set(grams_of(words)) if len(words) >= N else set()
-                for n in short:
-                    here.update(zip(*(words[i:] for i in range(n))))
-                seen.update(number[g] for g in here.intersection(number))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
-
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(work, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {sent.value[r["gram"]]: r["n"] for r in rows}
-
-
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[Item]]:
     """Items in blocks of bounded size (a single item may be larger)."""
     sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
@@ -172,8 +163,7 @@ def find(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_te
     at = kept.columns.index(text)
     done = kept.toDF(*names).withColumn("leaks", F.array().cast(_LEAKS))
     for block in _blocks(benchmark, item_id, item_text):
-        found = _count(kept, text, block)
-        sent = docs.sparkSession.sparkContext.broadcast((block, choose_seeds(block, found)))
+        sent = docs.sparkSession.sparkContext.broadcast((block, seeds_of(block)))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, seeds = sent.value

@@ -67,3 +67,35 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(dec, "BLOCK_BYTES", 400)
     assert set(find(spark, docs, items)) == {(i, i) for i in range(9)}
     assert find(spark, docs, []) == {} and find(spark, [], items) == {}
+
+
+def test_edited_and_half_copies_without_a_verbatim_one(spark):
+    rng = random.Random(4)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (20, 30, 40, 60, 100)]
+    filler = lambda: [f"f{rng.randrange(500)}" for _ in range(80)]
+    docs, want = [], set()
+    for n, words in items:
+        copies = [[w if k % every != every - 1 else "changed" for k, w in enumerate(words)] for every in (4, 5, 6)]
+        if n >= 40:
+            copies += [words[: n // 2], words[n // 2 :]]
+        for j, copy in enumerate(copies):
+            docs.append((1000 * j + n, " ".join(filler() + copy + filler()), 0))
+            # every fourth word changed scores one half at its best only where the copy ends in a match
+            if j or (n - n // 4) - (n // 4 - 1 if n % 4 == 0 else n // 4) >= n / 2:
+                want.add((1000 * j + n, n))
+        docs.append((9000 + n, " ".join(filler() + words[: n // 3] + filler()), 0))
+    assert len(want) == 21
+    assert set(find(spark, docs, [(n, " ".join(w)) for n, w in items])) == want
+
+
+def test_what_is_dropped_before_aligning_is_below_the_bar(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, [b"%d" % rng.randrange(30) for _ in range(rng.randrange(3, 30))]) for i in range(20)]
+    seeds, full = dec.seeds_of(items), dec.bar_of
+    for _ in range(40):
+        words = [b"%d" % rng.randrange(30) for _ in range(60)]
+        words[20:20] = [w for w in items[rng.randrange(20)][1] if rng.random() < 0.85]
+        monkeypatch.setattr(dec, "bar_of", lambda n: -1)
+        every = {x[0]: x for x in dec.leaks_of(words, items, seeds)}
+        monkeypatch.setattr(dec, "bar_of", full)
+        assert dec.leaks_of(words, items, seeds) == [x for i, x in sorted(every.items()) if round(x[1] * len(items[i][1])) >= full(len(items[i][1]))]
