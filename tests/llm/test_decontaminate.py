@@ -99,3 +99,12 @@ def test_what_is_dropped_before_aligning_is_below_the_bar(monkeypatch):
         every = {x[0]: x for x in dec.leaks_of(words, items, seeds)}
         monkeypatch.setattr(dec, "bar_of", full)
         assert dec.leaks_of(words, items, seeds) == [x for i, x in sorted(every.items()) if round(x[1] * len(items[i][1])) >= full(len(items[i][1]))]
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    nine = [f"n{k}" for k in range(9)]
+    changed = " ".join([*nine[:4], "other", *nine[5:]])
+    docs = [(1, "before it " + changed + " behind it", 0), (2, "before it " + " ".join([*nine[:3], "other", "other", *nine[5:]]), 0)]
+    docs += [(3, "これは長い文の中にある東京は日本の首都である。そして続く", 0), (4, "東京は大きい", 0), (5, "คำตอบกรุงเทพเป็นเมืองหลวงของไทยครับ", 0)]
+    got = find(spark, docs, [(9, " ".join(nine)), (10, "東京は日本の首都である"), (11, "กรุงเทพเป็นเมืองหลวงของไทย")])
+    assert set(got) == {(1, 9), (3, 10), (5, 11)} and got[3, 10][0] == 1.0 and got[1, 9][0] == 7 / 9
