@@ -11,6 +11,7 @@ counted from the labels over these; the score is a logistic regression on a docu
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -35,6 +36,7 @@ SIGNS = {
 SIGN_COST, SKIP_COST, KEEP_COST, PART_COST, REPEAT_COST, DOUBLE_COST = 1.0, 2.0, 7.0, 1.0, 0.5, 5.0
 VOWELS, VOWEL_COST = "aeiou", 1.0  # what an asterisk or number sign inside a word may hide
 K = 28  # symbols: between words, a to z, any other letter
+EVEN_COST = SIGN_COST + math.log(K)  # of a sign and the letter it stands for where all letters are alike
 REMEMBERED = 200_000
 STEM = 6
 _WORD_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in SIGNS) + "“”‘’«»…¿¡–—"
@@ -92,11 +94,12 @@ def costs_of(counts: np.ndarray) -> list[float]:
 
 
 Choice = tuple[str, float]  # letters written to the restored text, cost
+Link = tuple["Link", str] | None  # the path before and the letters of the last step
 
 
-def lattice(noisy: str) -> list[list[Choice]]:
+def lattice(noisy: str, bare: bool = False) -> list[list[Choice]]:
     """Choices place by place. Signs may be letters, be skipped inside a word, or part words; drawn-out letters may be one or
-    two; single letters may join over the spaces between them."""
+    two; single letters may join over the spaces between them. In a ``bare`` word every sign is a letter."""
     out: list[list[Choice]] = []
     i, noisy = 0, noisy.lower()
     while i < len(noisy):
@@ -108,7 +111,7 @@ def lattice(noisy: str) -> list[list[Choice]]:
             out.append([(" ", PART_COST), ("", 0.0)])
         elif c in SIGNS:
             meant = [(x * k, SIGN_COST * k + REPEAT_COST * (n > k)) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
-            out.append([*meant, (" ", KEEP_COST), *([] if c.isalnum() else [("", SKIP_COST)])])
+            out.append(meant if bare else [*meant, (" ", KEEP_COST), *([] if c.isalnum() else [("", SKIP_COST)])])
         elif symbol(c):
             out.append([(c, 0.0 if n == 1 else DOUBLE_COST if n == 2 else REPEAT_COST)] + ([(c * 2, 0.0 if n == 2 else REPEAT_COST)] if n > 1 else []))
         elif c in "*#" and n == 1 and 0 < i < len(noisy) - 1:
@@ -120,11 +123,16 @@ def lattice(noisy: str) -> list[list[Choice]]:
 
 
 def viterbi(choices: list[list[Choice]], costs: list[float]) -> str:
-    """The cheapest text: at each place the best path of each pair of last symbols goes on. Ties go to the text that sorts first."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    return cheapest(choices, costs)[1]
+
+
+def cheapest(choices: list[list[Choice]], costs: list[float]) -> tuple[float, str]:
+    """Cost and text of the cheapest path: at each place the best path of each pair of last symbols goes on, linked back to where it came from,
+    so time and memory are linear in the places. Ties go to the path reached first."""
+    best: dict[tuple[int, int], tuple[float, Link]] = {(0, 0): (0.0, None)}
     for place in [*choices, [(" ", 0.0)]]:
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, text) in best.items():
+        now: dict[tuple[int, int], tuple[float, Link]] = {}
+        for (a, b), (spent, link) in best.items():
             for letters, price in place:
                 x, y, total = a, b, spent + price
                 for c in letters:
@@ -133,11 +141,15 @@ def viterbi(choices: list[list[Choice]], costs: list[float]) -> str:
                         continue  # words are parted once
                     total += costs[(x * K + y) * K + s]
                     x, y = y, s
-                step = (total, text + letters)
-                if (x, y) not in now or step < now[x, y]:
-                    now[x, y] = step
+                if (x, y) not in now or total < now[x, y][0]:
+                    now[x, y] = (total, (link, letters) if letters else link)
         best = now
-    return " ".join(min(best.values())[1].split())
+    parts: list[str] = []
+    spent, link = min(best.values(), key=lambda v: v[0])
+    while link:
+        link, letters = link
+        parts.append(letters)
+    return spent, " ".join("".join(reversed(parts)).split())
 
 
 class Restorer:
@@ -151,20 +163,26 @@ class Restorer:
         """Restored words, space-joined; plain words lower-cased without outer punctuation."""
         w = raw.strip(_WORD_EDGE)
         if not w.isalpha():
-            w = w.strip("".join(c for c in "!|+(<") if any(c.isalpha() for c in w) else "")
+            w = w.strip("!|+(<")
         if w.isalpha() and not _DRAWN.search(w.lower()):
             return w.lower()
-        if not any(c.isalpha() for c in w) or len(w) > 64:
-            return " ".join(re.findall(r"[^\W\d_]+", w.lower()))
-        return viterbi(lattice(w), self.costs)
+        if any(c.isalpha() for c in w):
+            return viterbi(lattice(w), self.costs)
+        # only signs and digits: nothing else tells that a word is meant, so they must spell better than letters taken evenly
+        signs = sum(c in SIGNS and w[max(0, i - 2) : i] != c * 2 for i, c in enumerate(w))
+        spent, letters = cheapest(lattice(w, True), self.costs) if signs else (0.0, "")
+        return letters if spent < EVEN_COST * signs else ""
+
+    def joined(self, text: str) -> str:
+        """The text with its runs of single letters restored."""
+        return _SPACED.sub(lambda m: viterbi(lattice(m[0]), self.costs), text)
 
     def restore(self, text: str) -> str:
         """The whole text, restored."""
         return " ".join(chain.from_iterable(self.words(text)))
 
     def words(self, text: str) -> Iterator[list[str]]:
-        text = _SPACED.sub(lambda m: viterbi(lattice(m[0]), self.costs) if len(m[0]) < 400 else m[0], text)
-        for raw in text.split():
+        for raw in self.joined(text).split():
             got = self.known.get(raw)
             if got is None:
                 if len(self.known) >= REMEMBERED:
@@ -186,9 +204,8 @@ class _Hashed(Restorer):
         self.hashes: dict[str, list[int]] = {}
 
     def count(self, text: str) -> Counter[int]:
-        text = _SPACED.sub(lambda m: viterbi(lattice(m[0]), self.costs) if len(m[0]) < 400 else m[0], text)
         out: Counter[int] = Counter()
-        raw = Counter(text.split())
+        raw = Counter(self.joined(text).split())
         for w, n in raw.items():
             got = self.hashes.get(w)
             if got is None:

@@ -92,3 +92,13 @@ def test_no_labels_and_no_documents(spark):
 
 def test_hash_is_that_of_the_stem():
     assert tox._hash("worthless") == zlib.crc32(b"worthl") - (1 << 31)
+
+
+def test_long_runs_and_words_of_signs_only_are_restored():
+    r = tox.Restorer(model("you are an idiot and a stupid loser with no class at all you ass " * 9))
+    long = "you are a stupid loser and an idiot " * 30
+    apart = r.restore("  ".join(" ".join(w) for w in long.split()))
+    assert len(apart) > 600 and apart.count("stupid") == 30 and apart.count("loser") == 30
+    assert r.restore(".".join("stupid" * 20)).count("stupid") == 20
+    assert r.restore("you @$$ and 455 (!) + 1984 !!!") == "you ass and ass"
+    assert len(r.restore("a b " * 50_000)) > 50_000
