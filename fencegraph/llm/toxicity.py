@@ -6,7 +6,8 @@ so. The Viterbi path under a character trigram model of the whole corpus is the
 stay as they are.
 
 Each document is restored once and kept as the hashes of its distinct words with their counts. What marks toxic documents is
-counted from the labels over these; the score is a logistic regression on a document's share of such words.
+counted from the labels over words and over stems: a word with documents enough is judged by itself, others by their stem. The
+score is a logistic regression on a document's share of such words.
 """
 
 from __future__ import annotations
@@ -196,8 +197,16 @@ def _hash(word: str) -> int:
     return zlib.crc32(word[:STEM].encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
+STEM_BITS = -(1 << 32)
+
+
+def _key(word: str) -> int:
+    """The hash of the stem in the upper half, that of the whole word in the lower, whose last bit is set: a stem alone has 0 there."""
+    return _hash(word) << 32 | zlib.crc32(word.encode("utf-8", "surrogatepass")) | 1
+
+
 class _Hashed(Restorer):
-    """Hashes of the restored words instead of the words."""
+    """Keys of the restored words instead of the words."""
 
     def __init__(self, costs: list[float]) -> None:
         super().__init__(costs)
@@ -211,14 +220,14 @@ class _Hashed(Restorer):
             if got is None:
                 if len(self.hashes) >= REMEMBERED:
                     self.hashes.clear()
-                self.hashes[w] = got = [_hash(x) for x in self.word(w).split()]
+                self.hashes[w] = got = [_key(x) for x in self.word(w).split()]
             for h in got:
                 out[h] += n
         return out
 
 
 def restored_words(docs: DataFrame, text: str, costs: list[float]) -> DataFrame:
-    """``docs`` without its text, with ``words`` (hashes of the distinct restored stems), ``times`` and ``n_words``."""
+    """``docs`` without its text, with ``words`` (keys of the distinct restored words), ``times`` and ``n_words``."""
     sent = docs.sparkSession.sparkContext.broadcast(costs)  # 21,952 numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,33 +237,41 @@ def restored_words(docs: DataFrame, text: str, costs: list[float]) -> DataFrame:
                 part = batch.slice(lo, 512)
                 counts = [r.count(x.as_py() or "") for x in part.column(0)]
                 ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
-                words = pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(counts), np.int32)))
+                words = pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(counts), np.int64)))
                 times = pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(c.values() for c in counts), np.int32)))
                 n = pa.array([sum(c.values()) for c in counts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], words, times, n], names=[*part.schema.names[1:], "words", "times", "n_words"])
 
     kept = docs.drop(text, "words", "times", "n_words")
     names = [f"c{i}" for i in range(len(kept.columns))]
-    types = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept.schema)] + ["words array<int>", "times array<int>", "n_words long"])
+    types = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept.schema)] + ["words array<long>", "times array<int>", "n_words long"])
     return docs.select(docs[text].alias("t"), *[docs[c].alias(n) for n, c in zip(names, kept.columns)]).mapInArrow(work, types).toDF(*kept.columns, "words", "times", "n_words")
 
 
 def lexicon(labelled: DataFrame, label: str, *, least: int = 5, z: float = 6.0, ratio: float = 4.0, most: int = 20_000) -> dict[int, float]:
-    """Word hashes that mark label 1 with their log ratio of document shares; the ``most`` surest, by z and hash, of those in
-    ``least`` toxic documents. Words are counted under both labels in the map tasks before anything is shuffled."""
+    """Keys of words and stems that mark label 1 with their log ratio of document shares; the ``most`` surest, by z and key, of
+    those in ``least`` toxic documents. A word in ``least`` documents that falls below ``ratio`` by itself has 0, which
+    clears it of what its stem says. Both are counted under both labels in the map tasks before anything is shuffled."""
     sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}
-    counts = labelled.select(F.col(label).alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    stems = F.array_distinct(F.transform("words", lambda w: w.bitwiseAND(F.lit(STEM_BITS))))
+    both = labelled.select(F.col(label).alias("y"), F.explode(F.concat("words", stems)).alias("w"))
+    counts = both.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
     share = (F.col("n0") + 1) / (clean + 2)
-    scored = counts.where(F.col("n1") >= least).select("w", (F.col("n1") / toxic / share).alias("r"), ((F.col("n1") - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z"))
-    top = scored.where((F.col("z") >= z) & (F.col("r") >= ratio)).orderBy(F.desc("z"), "w").limit(most).collect()
-    return {r["w"]: float(min(6.0, np.log(r["r"]))) for r in top}
+    scored = cut(counts.where(F.col("n1") + F.col("n0") >= least).select("w", "n1", (F.col("n1") / toxic / share).alias("r"), ((F.col("n1") - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z")), "scored")
+    top = scored.where((F.col("n1") >= least) & (F.col("z") >= z) & (F.col("r") >= ratio)).orderBy(F.desc("z"), "w").limit(most).collect()
+    marks = {r["w"]: float(min(6.0, np.log(r["r"]))) for r in top}
+    stem = F.col("w").bitwiseAND(F.lit(STEM_BITS))
+    marked_stems = labelled.sparkSession.createDataFrame([(w,) for w in marks if w & ~STEM_BITS == 0], "s long")
+    cleared = scored.where((F.col("r") < ratio) & (F.col("w") != stem)).join(marked_stems, stem == F.col("s"), "left_semi").select("w").collect()
+    return marks | {r["w"]: 0.0 for r in cleared}
 
 
 def marked(words: DataFrame, marks: dict[int, float]) -> DataFrame:
-    """``words`` with the columns of the regression in place of its arrays: weight and number of marked words, distinct ones."""
+    """``words`` with the columns of the regression in place of its arrays: weight and number of marked words, distinct ones.
+    A word is looked up whole, and by its stem where the lexicon does not have it whole."""
     keys = np.array(sorted(marks), np.int64)
     weights = np.array([marks[k] for k in keys.tolist()])
     sent = words.sparkSession.sparkContext.broadcast((keys, weights))  # bounded by the lexicon
@@ -265,8 +282,11 @@ def marked(words: DataFrame, marks: dict[int, float]) -> DataFrame:
             lists = batch.column(0)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             flat, times = lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            at, hit = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+            for sought in (flat & STEM_BITS, flat) if len(keys) else ():
+                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+                there = keys[place] == sought
+                at[there], hit[there] = place[there], weights[place[there]] > 0
             columns = [np.bincount(doc[hit], v, batch.num_rows).astype(float) for v in ((weights[at] * times)[hit] if len(keys) else np.zeros(0), times[hit], np.ones(hit.sum()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *map(pa.array, columns)], names=[*batch.schema.names[2:], "weight", "hits", "kinds"])
 

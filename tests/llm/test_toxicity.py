@@ -102,3 +102,24 @@ def test_long_runs_and_words_of_signs_only_are_restored():
     assert r.restore(".".join("stupid" * 20)).count("stupid") == 20
     assert r.restore("you @$$ and 455 (!) + 1984 !!!") == "you ass and ass"
     assert len(r.restore("a b " * 50_000)) > 50_000
+
+
+def test_words_are_judged_whole_and_by_stem(spark):
+    rng = random.Random(3)
+    plain = ["river", "stone", "houses", "window", "paper", "summer"]
+    docs = []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(12)] + ["motherly" if i % 2 else "bookish"]
+        if i % 5 == 0:
+            words += ["motherfucker"] + ["assholery"] * (i % 10 == 0) + [f"worthle{i}x".translate(str.maketrans("0123456789", "abcdefghij"))]
+        elif i % 40 == 1:
+            words.append("worthley")
+        docs.append((i, " ".join(words), int(i % 5 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, y int")
+    words = tox.restored_words(df, "text", tox.costs_of(tox.count_trigrams(df, "text")))
+    marks = tox.lexicon(words, "y")
+    assert marks[tox._key("motherfucker")] > 0 and tox._key("motherfucker") & tox.STEM_BITS not in marks
+    assert marks[tox._key("worthlex") & tox.STEM_BITS] > 0 and marks[tox._key("worthley")] == 0
+    seen = spark.createDataFrame([(1, "motherfucker twice motherfucker", 0), (2, "motherly", 0), (3, "worthley", 0), (4, "worthlessness", 0)], df.schema)
+    got = {r.doc_id: (r.hits, r.kinds, r.n_words) for r in tox.marked(tox.restored_words(seen, "text", tox.costs_of(tox.count_trigrams(df, "text"))), marks).collect()}
+    assert got == {1: (2, 1, 3), 2: (0, 0, 1), 3: (0, 0, 1), 4: (1, 1, 1)}
