@@ -10,6 +10,7 @@ nothing is labelled, so every byte of every text is labelled once and a window c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,11 +89,14 @@ def position_probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
 
 
 def train(
-    windows: list[bytes], labels: list[int], languages: tuple[str, ...], *, hidden: int = 8, span: int = 64, lanes: int = 64, steps: int = 500, rate: float = 0.02, seed: int = 7
+    windows: list[bytes], labels: list[int], languages: tuple[str, ...], *, hidden: int = 0, span: int = 64, lanes: int = 64, steps: int = 500, rate: float = 0.02, seed: int = 7
 ) -> Network:
-    """Adam over random windows of ``span`` bytes; the loss is the cross entropy of every position."""
+    """Adam over random windows of ``span`` bytes; the loss is the cross entropy of every position. Each step has ``lanes``
+    windows, or the next multiple of the number of languages, so every step sees every language alike; without ``hidden`` the
+    states are 8 wide, wider for more than 16 languages."""
     rng = np.random.default_rng(seed)
     k = len(languages)
+    hidden, lanes = hidden or max(8, 2 * math.ceil(math.sqrt(k))), k * -(-lanes // k)
     p = [rng.normal(0, 0.1, (2, PAD + 1, hidden)) for _ in range(3)] + [rng.normal(0, 0.3, (2, hidden, hidden)) for _ in range(3)]
     p += [rng.normal(0, 0.3, (2, hidden, k)), np.zeros(k)]
     p[0] += 0.5
@@ -174,8 +178,9 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     padded = [np.frombuffer(edge + t + edge, np.uint8) for t in texts]
     length = np.minimum(CORE, sizes[doc] - first)
     order = np.argsort(length, kind="stable")  # lanes of like length share a block
-    for lo in range(0, len(order), LANES):
-        lanes = order[lo : lo + LANES]
+    wide = max(1, LANES * 4 // max(4, len(net.languages)))  # probabilities of a block stay as large for any number of languages
+    for lo in range(0, len(order), wide):
+        lanes = order[lo : lo + wide]
         span = int(length[lanes].max()) + 2 * WARM
         codes = np.full((span, len(lanes)), PAD, np.int16)
         for j, w in enumerate(lanes):
@@ -191,16 +196,22 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, text: str, lang: str, order: Column, *, per_language: int = 400, chars: int = 1500, most_languages: int = 64, **how: int) -> Network:
-    """Train on a bounded sample: of each of the ``most_languages`` commonest labels, the first ``per_language`` texts in
-    the order of a hash, of each of which the first ``chars`` characters. Rows with null text or label take no part."""
+def fit(docs: DataFrame, text: str, lang: str, order: Column, *, per_language: int = 400, chars: int = 1500, pieces: int = 3, texts: int = 25_600, **how: int) -> Network:
+    """Train on a bounded sample of every label: the first ``per_language`` texts in the order of a hash (16 at least, fewer
+    than ``per_language`` where all labels together would have more than ``texts``), of longer texts ``pieces`` at hashed places
+    of the whole text, ``chars`` characters together. Rows with null text or label take no part."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    names = sorted(r[0] for r in rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect())
+    names = sorted(r[0] for r in rows.select(lang).distinct().collect())
     if not names:
         raise ValueError("no labelled text to learn languages from")
-    short = rows.where(F.col(lang).isin(names)).select(F.col(lang).alias("l"), order.alias("o"), F.substring(text, 1, chars).alias("t"))
+    n, size = F.length(text), chars // pieces
+    places = [(F.pmod(F.xxhash64(order, n, F.lit(i)), n - size + 1) + 1).cast("int") for i in range(pieces)]
+    piece = F.when(n <= chars, F.col(text)).otherwise(F.concat_ws("\n", *[F.substring(F.col(text), at, F.lit(size)) for at in places]))
+    short = rows.select(F.col(lang).alias("l"), order.alias("o"), piece.alias("t"))
+    per_language = min(per_language, max(16, texts // len(names)))
     sample = sorted((r["l"], r["o"], r["t"]) for r in top_rows(short, ["l"], [F.col("o"), F.col("t")], per_language).collect())
-    return train([t.encode() for _, _, t in sample], [names.index(x) for x, _, _ in sample], tuple(names), **how)
+    number = {x: i for i, x in enumerate(names)}
+    return train([t.encode() for _, _, t in sample], [number[x] for x, _, _ in sample], tuple(names), **how)
 
 
 def predict(docs: DataFrame, text: str, net: Network, *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
