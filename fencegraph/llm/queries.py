@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import scratch
-from fencegraph.llm import ann, bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, warc, wordpack
+from fencegraph.llm import ann, bpe, decontaminate, langid, pivots, secrets, sharding, simhash, toxicity, warc, whitening, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -115,3 +115,13 @@ def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op1_learned_partitions")
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
+@R.add("op11_pivot_permutations")
+def op11_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", least=0.98)
+
+
+@R.add("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("deviation", F.col("deviation").cast("long"))
