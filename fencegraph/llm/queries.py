@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import scratch
-from fencegraph.llm import ann, bpe, decontaminate, langid, pivots, secrets, sharding, simhash, toxicity, warc, whitening, wordpack
+from fencegraph.llm import ann, bpe, decontaminate, langid, phrases, pivots, secrets, sharding, simhash, toxicity, warc, whitening, wordpack
 from fencegraph.llm.common import id_remainder, table
 
 R = Registry()
@@ -125,3 +125,27 @@ def op11_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@R.add(
+    "op12_phrases",
+    r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, s.s AS size, unnest(list_transform(range(1, len(w) - s.s + 2), lambda i: array_to_string(w[i:i + s.s - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS s) s WHERE len(w) >= s.s),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT c.lang, c.phrase, c.a, c.size, t.k, array_to_string(w[1:t.k], ' ') AS head, array_to_string(w[t.k + 1:], ' ') AS tail FROM c, (SELECT unnest([1, 2]) AS k) t WHERE t.k < c.size),
+s AS (SELECT k.lang, k.phrase, k.a, k.size, k.k, l.f AS l, r.f AS r, (1000000 * k.a * k.a) // (l.f * r.f) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.head JOIN f r ON r.lang = k.lang AND r.phrase = k.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE size = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.b IS NULL OR 100 * i.b < 50 * b.a)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+""",
+)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang")
