@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
 from fencegraph.functions.ranking import top_rows
+from fencegraph.llm.bytewords import Bytes, mix, words_between
 
 UNKNOWN = "und"
 SHARDS = 4  # at most 4: a key's two lowest bits name its shard
@@ -38,14 +39,6 @@ BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 15, 27  # of a bitmap: 16 MB at most
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = re.compile(b"[" + re.escape(ENDS) + b"]")
 _TABLE = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-_LONG = 4096  # bytes of a word that is hashed apart
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
 
 
 class Words:
@@ -59,28 +52,9 @@ class Words:
         doubled[1:] &= part[:-1]
         if doubled.any():
             b, part = b[~doubled], part[~doubled]
-        edge = np.diff(np.concatenate(([0], (~part).view(np.int8), [0])))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.bytes = np.concatenate((b, np.zeros(8, np.uint8)))
-        self.eight = np.ndarray((len(b) + 1,), "<u8", self.bytes, strides=(1,))
-        self.next = (self.start[1:] == self.end[:-1] + 1) & (self.bytes[self.end[:-1]] == 32)  # the following word is a neighbour
-
-    def hashes(self, seed: int) -> np.ndarray:
-        length = self.end - self.start
-        h = np.full(len(length), seed, np.uint64) + length.astype(np.uint64)
-        at, left = np.arange(len(length)), length
-        large = np.flatnonzero(length > _LONG)
-        if len(large):
-            at = np.flatnonzero(length <= _LONG)
-            left = length[at]
-        place = self.start[at]
-        while len(at):
-            h[at] = _mix(h[at] ^ (self.eight[place] & _MASKS[np.minimum(left, 8)]))
-            more = left > 8
-            at, left, place = at[more], left[more] - 8, place[more] + 8
-        for i in large:
-            h[i] ^= np.uint64(xxhash.xxh64_intdigest(self.bytes[self.start[i] : self.end[i]].tobytes()))
-        return h
+        self.start, self.end = words_between(part)
+        self.text = Bytes(b)
+        self.next = (self.start[1:] == self.end[:-1] + 1) & (self.text.data[self.end[:-1]] == 32)  # the following word is a neighbour
 
     def runs(self, size: int) -> np.ndarray:
         """Whether ``size`` words from each on are neighbours."""
@@ -98,14 +72,8 @@ class Words:
         new = np.concatenate(([True], np.diff(keys[order]) != 0)) if len(order) else np.zeros(0, bool)
         group, lead = np.cumsum(new) - 1, order[new]
         alike = lead[group]
-        same = end[order] - start[order] == end[alike] - start[alike]
-        at = np.flatnonzero(same)
-        a, b, left = start[order[at]], start[alike[at]], (end - start)[order[at]]
-        while len(at):
-            unequal = ((self.eight[a] ^ self.eight[b]) & _MASKS[np.minimum(left, 8)]) != 0
-            same[at[unequal]] = False
-            more = (left > 8) & ~unequal
-            at, a, b, left = at[more], a[more] + 8, b[more] + 8, left[more] - 8
+        same = self.text.equal(start[order], end[order], start[alike], end[alike])
+        raw = self.text.data.tobytes()
         raw = self.bytes.tobytes()
         odd = Counter(raw[start[i] : end[i]] for i in order[~same].tolist())
         return [raw[s:e] for s, e in zip(start[lead].tolist(), end[lead].tolist(), strict=True)], np.bincount(group[same], minlength=len(lead)), odd
@@ -157,14 +125,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Words]]:
 
 def _keyed(words: Words, lang: str, shard: int, longest: int, sieves: list[Sieve]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(size, first words, keys) of phrases up to ``longest`` words, of which all parts of each shorter size pass its sieve."""
-    word = words.hashes(xxhash.xxh64_intdigest(lang.encode()))
+    word = words.text.hashes(words.start, words.end, xxhash.xxh64_intdigest(lang.encode()))
     h = word
     passed = np.ones(0, bool)
     for size in range(1, longest + 1):
         n = max(0, len(word) - size + 1)
         ok = words.runs(size)
         if size > 1:
-            h = _mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + word[size - 1 :])
+            h = mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + word[size - 1 :])
             ok &= passed[:n] & passed[1 : n + 1]
         first = np.flatnonzero(ok)
         keys = (h[first] & ~np.uint64(3)) | np.uint64(shard)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
+from fencegraph.llm.bytewords import Bytes, words_between
 from fencegraph.llm.common import small_batches, tasks
 
 # Fixed values of the code: how many ids a word of each selector holds. The width follows. Selector 1 is the escape.
@@ -34,7 +35,8 @@ WIDTHS = (0, 64) + tuple(60 // n for n in COUNTS[2:])
 ESCAPE = 1
 BLOCK = 8192
 SEGMENT = 1 << 20  # ids after which a segment is closed
-REMEMBERED = 500_000
+REMEMBERED = 400_000  # words in either half
+CHUNK = 4 << 20  # bytes of text taken at once
 _HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
@@ -128,12 +130,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class Coder(dict):
-    """Packed 32-bit ids by word of a tokenizer that lower-cases and drops white space, remembered for a bounded number of words.
+class Coder:
+    """32-bit ids of texts, by words of a tokenizer that lower-cases and drops white space.
 
     A text is cut at spaces and line ends, and a new word before a full stop or comma at its end, where the tokenizer's own
     pre-tokens end as well. Lower-case words of letters alone pass the tokenizer's normalisers unchanged and are one
     pre-token each, so they go many at a time to its bare model; all others go through the whole tokenizer one by one.
+
+    Texts are taken a few megabytes at a time: their different words are found by array operations, looked up once each, and
+    their ids laid out for every place at once. Words are remembered in two halves: where the newer one is full the older one
+    is forgotten, so words that keep occurring stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -144,51 +150,115 @@ class Coder(dict):
         self.bare = Tokenizer(model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         letters = byte_letters()
-        self.letters = {i: c for i, c in enumerate(letters)}
+        self.letters = {i: c for i, c in enumerate(letters) if i != 32}  # spaces part words
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.whole = all(c in vocabulary and f"{c}</w>" in vocabulary for c in letters)  # no byte is unknown to the model
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        if "<|" not in text and not set("\u03a3\u0130").intersection(text) and unicodedata.is_normalized("NFC", text):
+    def plain(self, text: str) -> bytes:
+        """Lower-cased where the tokenizer would do no more than that, with spaces for line ends."""
+        if "<|" not in text and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
             text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        return text.encode().replace(b"\n", b" ")
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text with ``end`` behind."""
-        cut = [self.words(t) for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        unknown = wanted.difference(self)
-        if len(self) + len(unknown) > REMEMBERED:
-            self.clear()
-            unknown = wanted
-        self._learn(unknown)
-        tail = np.array([end], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)) + tail, np.uint32) for words in cut]
-
-    def _learn(self, words: set[str]) -> None:
-        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()]
+        held: list[bytes] = []
+        size = 0
+        for text in map(self.plain, texts):
+            if len(text) > CHUNK:
+                yield from self._ids(held, end)
+                held, size = [], 0
+                yield np.concatenate(self._pieces(text, end))
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._ids(held, end)
+                held, size = [], 0
+        yield from self._ids(held, end)
+
+    def _pieces(self, text: bytes, end: int) -> list[np.ndarray]:
+        """Ids of a long text, cut at spaces."""
+        out, lo = [], 0
+        while lo < len(text):
+            hi = text.find(b" ", lo + CHUNK)
+            hi = hi if hi >= 0 else len(text)
+            out.append(self._ids([text[lo:hi]], end)[0])
+            lo = hi
+        return [x[:-1] for x in out[:-1]] + out[-1:]
+
+    def _ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        """Ids of texts without line ends, each with ``end`` behind."""
+        if not texts:
+            return []
+        flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        stop = flat == 10
+        start, last = words_between(stop | (flat == 32))
+        packed = Bytes(flat)
+        keys, lead, group = np.unique(packed.hashes(start, last, 0), return_index=True, return_inverse=True)
+        raw, lead = flat.tobytes(), lead.tolist()
+        for i in np.flatnonzero(~packed.equal(start, last, start[lead][group], last[lead][group])).tolist():  # words of one hash
+            group[i] = len(lead)
+            lead.append(i)
+        words = [raw[a:b] for a, b in zip(start[lead].tolist(), last[lead].tolist(), strict=True)]
+        ids = self.look_up(words)
+        # every line end stands for one more word, whose id is ``end``
+        sizes = np.array([len(x) // 4 for x in ids] + [1])
+        begin = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(ids) + np.uint32(end).tobytes(), np.uint32)
+        line = np.searchsorted(start, np.flatnonzero(stop))  # words before each line end
+        at = np.insert(group, line, len(words))
+        n = sizes[at]
+        stops = np.cumsum(n)
+        out = table[np.repeat(begin[at] - (stops - n), n) + np.arange(stops[-1])]
+        return np.split(out, stops[line + np.arange(len(line))][:-1])
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of different words."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        unknown = [w for w in words if w not in known]
+        for w in unknown:
+            if w in before:
+                known[w] = before[w]
+        self._learn({w for w in unknown if w not in known} if before else set(unknown))
+        return list(map(known.__getitem__, words))
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        stopped = [w for w in words if w.endswith((b".", b",")) and w[:-1].decode()[-1:].isalnum()]
         if stopped:
-            words = words.difference(stopped)
-            self._learn({w[:-1] for w in stopped}.difference(self, words) | words | {w[-1] for w in stopped}.difference(self))
-            self.update((w, self[w[:-1]] + self[w[-1]]) for w in stopped)
+            bare = {w[:-1] for w in stopped} | {b".", b","}
+            known.update((w, self.before[w]) for w in bare if w in self.before)
+            self._learn((words.difference(stopped) | bare).difference(known))
+            known.update((w, known[w[:-1]] + known[w[-1:]]) for w in stopped)
             return
-        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))] if self.whole else []
+        plain = [w for w in words if w.isalpha() and w.islower()] if self.whole else []  # of bytes: a to z
         rest = list(words.difference(plain))
-        groups = [plain[lo : lo + 128] for lo in range(0, len(plain), 128)]
-        lines = [" ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some) for some in groups]
-        for some, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            data, begin = ids.tobytes(), 0
-            for w, stop in zip(some, ends.tolist(), strict=True):
-                self[w] = data[begin:stop]
-                begin = stop
+        self._model(plain, [b" ".join(plain[lo : lo + 128]).decode() for lo in range(0, len(plain), 128)])
+        if self.whole:
+            strings = [w.decode() for w in rest]
+            odd = [w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w) for w in strings]
+            letters = [w for w, o in zip(rest, odd) if o]
+            self._model(letters, [b" ".join(letters[lo : lo + 128]).decode("latin-1").translate(self.letters) for lo in range(0, len(letters), 128)])
+            rest = [w for w, o in zip(rest, odd) if not o]
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self[w] = np.array(e.ids, np.uint32).tobytes()
+            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def _model(self, words: list[bytes], lines: list[str]) -> None:
+        """Words and the same words in lines of 128, through the bare model."""
+        for lo in range(0, len(lines), 128):
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(lines[lo : lo + 128], add_special_tokens=False)), np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(words[lo * 128 : (lo + 128) * 128], map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -217,15 +287,13 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()))], names=_FIELDS)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for name, x in zip(part.column(0).to_pylist(), c.encode([t or "" for t in part.column(1).to_pylist()], end)):
-                    ids.append(x)
-                    names.append(name)
-                    held += len(x)
-                    if held >= SEGMENT:
-                        yield segment()
-                        ids, names, held, before, number = [], [], 0, before + held, number + 1
+            for name, x in zip(batch.column(0).to_pylist(), c.encode([t or "" for t in batch.column(1).to_pylist()], end), strict=True):
+                ids.append(x)
+                names.append(name)
+                held += len(x)
+                if held >= SEGMENT:
+                    yield segment()
+                    ids, names, held, before, number = [], [], 0, before + held, number + 1
         if ids:
             yield segment()
 
