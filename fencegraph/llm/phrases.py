@@ -74,7 +74,6 @@ class Words:
         alike = lead[group]
         same = self.text.equal(start[order], end[order], start[alike], end[alike])
         raw = self.text.data.tobytes()
-        raw = self.bytes.tobytes()
         odd = Counter(raw[start[i] : end[i]] for i in order[~same].tolist())
         return [raw[s:e] for s, e in zip(start[lead].tolist(), end[lead].tolist(), strict=True)], np.bincount(group[same], minlength=len(lead)), odd
 
