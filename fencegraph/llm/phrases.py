@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from fencegraph.functions.lineage import cut
 from fencegraph.functions.ranking import top_rows
 from fencegraph.llm.bytewords import Bytes, mix, words_between
+from fencegraph.llm.sieve import MOST_BITS, Sieve, sieve
 
 UNKNOWN = "und"
 SHARDS = 4  # at most 4: a key's two lowest bits name its shard
 CHUNK = 8 << 20  # bytes of text worked on at once
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 15, 27  # of a bitmap: 16 MB at most
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = re.compile(b"[" + re.escape(ENDS) + b"]")
 _TABLE = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -78,29 +78,6 @@ class Words:
         return [raw[s:e] for s, e in zip(start[lead].tolist(), end[lead].tolist(), strict=True)], np.bincount(group[same], minlength=len(lead)), odd
 
 
-class Sieve:
-    """A bitmap of keys. A key's place is its leading bits, moved by its shard."""
-
-    def __init__(self, bits: int, data: bytes) -> None:
-        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> np.uint64(64 - self.bits)) ^ ((keys & np.uint64(3)) << np.uint64(self.bits - 2))
-        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def sieve(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> Sieve:
-    """Of a column of keys. Only the bitmap comes to the driver, two bytes a key and never more than 2^most_bits bits."""
-    count = keys.count()
-    bits = min(most_bits, max(LEAST_BITS, (BITS_PER_KEY * max(1, count) - 1).bit_length()))
-    place = F.shiftrightunsigned(F.col(key), 64 - bits).bitwiseXOR(F.shiftleft(F.col(key).bitwiseAND(F.lit(3)), bits - 2)) + 1  # the bitmap functions count from one
-    maps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    data = bytearray(1 << bits - 3)
-    for r in maps.collect():
-        data[(r.b - 1) * 4096 : r.b * 4096] = r.m
-    return Sieve(bits, bytes(data))
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Words]]:
     """Words of texts of about CHUNK bytes, by all columns but the text (the first). Longer texts are cut where a piece ends."""
     held: dict[tuple, list[bytes]] = {}

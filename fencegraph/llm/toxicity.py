@@ -6,8 +6,8 @@ so. The Viterbi path under a character trigram model of the whole corpus is the
 stay as they are.
 
 Each document is restored once and kept as the hashes of its distinct words with their counts. What marks toxic documents is
-counted from the labels over words and over stems: a word with documents enough is judged by itself, others by their stem. The
-score is a logistic regression on a document's share of such words.
+counted from the labels over words and over stems: a word with documents enough is judged by itself, others by their stem. The lexicon is a table of any size, joined to what a bounded bitmap of it lets pass.
+The score is a logistic regression on a document's share of such words.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.functions.lineage import cut
 from fencegraph.llm.common import small_batches
+from fencegraph.llm.sieve import Sieve, sieve
 
 # Which letters a sign may stand for.
 SIGNS = {
@@ -248,51 +249,91 @@ def restored_words(docs: DataFrame, text: str, costs: list[float]) -> DataFrame:
     return docs.select(docs[text].alias("t"), *[docs[c].alias(n) for n, c in zip(names, kept.columns)]).mapInArrow(work, types).toDF(*kept.columns, "words", "times", "n_words")
 
 
-def lexicon(labelled: DataFrame, label: str, *, least: int = 5, z: float = 6.0, ratio: float = 4.0, most: int = 20_000) -> dict[int, float]:
-    """Keys of words and stems that mark label 1 with their log ratio of document shares; the ``most`` surest, by z and key, of
-    those in ``least`` toxic documents. A word in ``least`` documents that falls below ``ratio`` by itself has 0, which
-    clears it of what its stem says. Both are counted under both labels in the map tasks before anything is shuffled."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all lists, and the list each is in."""
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _counted(words: DataFrame, ids: DataFrame, out: str, among: Sieve | None = None, by_stem: bool = False) -> DataFrame:
+    """(w, ``out``): in how many of the documents ``ids`` each word and stem occurs; of those that pass ``among`` or, with
+    ``by_stem``, of the words whose stem passes. A document and its words leave their task where a bitmap of the ids lets them
+    pass; an exact join follows."""
+    sent = words.sparkSession.sparkContext.broadcast((sieve(ids.select(F.xxhash64("doc_id").alias("k")), "k"), among))  # bounded bitmaps
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, among = sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.holds(batch.column("k").to_numpy().view(np.uint64))))
+            keys, doc = _flat(batch.column("words"))
+            stems = keys & STEM_BITS
+            if by_stem:
+                some = among.holds(stems.view(np.uint64))
+                keys, doc = keys[some], doc[some]
+            else:
+                own = np.unique(doc << 32 | (stems >> 32) + (1 << 31))  # each stem once a document
+                keys, doc = np.concatenate([keys, (own & 0xFFFFFFFF) - (1 << 31) << 32]), np.concatenate([doc, own >> 32])
+                if among is not None:
+                    some = among.holds(keys.view(np.uint64))
+                    keys, doc = keys[some], doc[some]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(doc, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "words"])
+
+    id_type = words.schema["doc_id"].dataType.simpleString()
+    few = words.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("k"), "doc_id", "words").mapInArrow(work, f"doc_id {id_type}, words array<long>")
+    return few.join(ids.hint("shuffle_hash"), "doc_id").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias(out))
+
+
+def lexicon(words: DataFrame, known: DataFrame, *, least: int = 5, z: float = 6.0, ratio: float = 4.0) -> DataFrame:
+    """(w, weight): keys of words and stems that mark label 1, in ``least`` documents of it or more, with their log ratio of
+    document shares; and with weight 0 words that a marked stem would mark and that fall below ``ratio`` by themselves, in
+    ``least`` documents or more. ``known``: doc_id, y.
+
+    Documents of label 1 are counted first, the others for the keys alone that reached ``least`` there.
+    """
+    nothing = words.sparkSession.createDataFrame([], "w long, weight double")
+    labelled = {r.y: r.n for r in words.select("doc_id").join(known, "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = labelled.get(1, 0), labelled.get(0, 0)
     if not toxic or not clean:
-        return {}
-    stems = F.array_distinct(F.transform("words", lambda w: w.bitwiseAND(F.lit(STEM_BITS))))
-    both = labelled.select(F.col(label).alias("y"), F.explode(F.concat("words", stems)).alias("w"))
-    counts = both.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
-    share = (F.col("n0") + 1) / (clean + 2)
-    scored = cut(counts.where(F.col("n1") + F.col("n0") >= least).select("w", "n1", (F.col("n1") / toxic / share).alias("r"), ((F.col("n1") - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z")), "scored")
-    top = scored.where((F.col("n1") >= least) & (F.col("z") >= z) & (F.col("r") >= ratio)).orderBy(F.desc("z"), "w").limit(most).collect()
-    marks = {r["w"]: float(min(6.0, np.log(r["r"]))) for r in top}
+        return nothing
+    marking, plain = known.where("y = 1").select("doc_id"), known.where("y = 0").select("doc_id")
+
+    def scored(counts: DataFrame) -> DataFrame:
+        """Of ``w``, ``n1`` and ``n0``, null for none."""
+        n1, n0 = F.coalesce("n1", F.lit(0)), F.coalesce("n0", F.lit(0))
+        share = (n0 + 1) / (clean + 2)
+        return counts.select("w", n1.alias("n1"), n0.alias("n0"), (n1 / toxic / share).alias("r"), ((n1 - toxic * share) / F.sqrt(toxic * share * (1 - share))).alias("z"))
+
+    all_marking = cut(_counted(words, marking, "n1"), "toxic-words")
+    often = all_marking.where(F.col("n1") >= least)
+    judged = scored(often.join(_counted(words, plain, "n0", sieve(often, "w")), "w", "left"))
+    marks = cut(judged.where((F.col("z") >= z) & (F.col("r") >= ratio)).select("w", F.least(F.lit(6.0), F.log("r")).alias("weight")), "marks")
     stem = F.col("w").bitwiseAND(F.lit(STEM_BITS))
-    marked_stems = labelled.sparkSession.createDataFrame([(w,) for w in marks if w & ~STEM_BITS == 0], "s long")
-    cleared = scored.where((F.col("r") < ratio) & (F.col("w") != stem)).join(marked_stems, stem == F.col("s"), "left_semi").select("w").collect()
-    return marks | {r["w"]: 0.0 for r in cleared}
+    stems = marks.where(stem == F.col("w")).select(F.col("w").alias("s"))
+    inside = all_marking.join(_counted(words, plain, "n0", sieve(stems, "s"), by_stem=True), "w", "full").where(stem != F.col("w")).join(stems, stem == F.col("s"), "left_semi")
+    cleared = scored(inside).where((F.col("n1") + F.col("n0") >= least) & (F.col("r") < ratio)).select("w", F.lit(0.0).alias("weight"))
+    return cut(marks.unionAll(cleared), "lexicon")
 
 
-def marked(words: DataFrame, marks: dict[int, float]) -> DataFrame:
-    """``words`` with the columns of the regression in place of its arrays: weight and number of marked words, distinct ones.
-    A word is looked up whole, and by its stem where the lexicon does not have it whole."""
-    keys = np.array(sorted(marks), np.int64)
-    weights = np.array([marks[k] for k in keys.tolist()])
-    sent = words.sparkSession.sparkContext.broadcast((keys, weights))  # bounded by the lexicon
+def marked(words: DataFrame, marks: DataFrame) -> DataFrame:
+    """(row, weight, hits, kinds) of rows that hold marked words: their weights and their number, with repeats, and how many
+    different ones. A word is looked up whole, and by its stem where the lexicon does not have it whole. What passes a bitmap
+    of the lexicon is joined with it."""
+    sent = words.sparkSession.sparkContext.broadcast(sieve(marks, "w"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights = sent.value
         for batch in batches:
-            lists = batch.column(0)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            flat, times = lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-            at, hit = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-            for sought in (flat & STEM_BITS, flat) if len(keys) else ():
-                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-                there = keys[place] == sought
-                at[there], hit[there] = place[there], weights[place[there]] > 0
-            columns = [np.bincount(doc[hit], v, batch.num_rows).astype(float) for v in ((weights[at] * times)[hit] if len(keys) else np.zeros(0), times[hit], np.ones(hit.sum()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *map(pa.array, columns)], names=[*batch.schema.names[2:], "weight", "hits", "kinds"])
-
-    rest = words.drop("words", "times")
-    types = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rest.schema] + ["weight double", "hits double", "kinds double"])
-    return words.select("words", "times", *rest.columns).mapInArrow(work, types)
+            keys, doc = _flat(batch.column("words"))
+            stems = keys & STEM_BITS
+            some = np.flatnonzero(sent.value.holds(keys.view(np.uint64)) | sent.value.holds(stems.view(np.uint64)))
+            rows = batch.column("row").to_numpy()[doc[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(keys[some]), pa.array(stems[some]), batch.column("times").flatten().take(pa.array(some))], names=["row", "w", "s", "times"])
+
+    met = words.select("row", "words", "times").mapInArrow(work, "row long, w long, s long, times int")
+    whole = marks.select("w", F.col("weight").alias("own"))
+    stems = marks.select(F.col("w").alias("s"), F.col("weight").alias("of_stem"))
+    met = met.join(whole, "w", "left").join(stems, "s", "left").withColumn("weight", F.coalesce("own", "of_stem")).where("weight > 0")
+    return met.groupBy("row").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.sum("times").cast("double").alias("hits"), F.count(F.lit(1)).cast("double").alias("kinds"))
 
 
 def _features() -> list[Column]:
@@ -323,11 +364,12 @@ def score(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     costs = costs_of(count_trigrams(texts, "text"))
-    words = cut(restored_words(texts, "text", costs), "words")
+    words = cut(restored_words(texts, "text", costs).withColumn("row", F.monotonically_increasing_id()), "words")
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(learn).groupBy("doc_id").agg(F.max("y").alias("y"))
-    # labels may be as many as documents: one plan at any size, no broadcast, and no sort of the word lists
-    marks = lexicon(words.join(known.hint("shuffle_hash"), "doc_id").select("y", "words"), "y")
-    found = cut(marked(words, marks), "marked")
+    known = cut(known, "known")
+    hits = marked(words, lexicon(words, known)).withColumnRenamed("row", "__row")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    found = cut(words.select("row", "doc_id", "n_words").join(hits, F.col("row") == F.col("__row"), "left").select("doc_id", "n_words", zero("weight"), zero("hits"), zero("kinds")), "marked")
     fitted = found.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = [tuple(r) for r in fitted.select(*[c.alias(f"x{i}") for i, c in enumerate(_features())], F.col("y").cast("double").alias("y")).collect()]
     data = np.array(rows, float).reshape(len(rows), len(_features()) + 1)

@@ -2,8 +2,10 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fencegraph.llm import toxicity as tox
@@ -116,10 +118,40 @@ def test_words_are_judged_whole_and_by_stem(spark):
             words.append("worthley")
         docs.append((i, " ".join(words), int(i % 5 == 0)))
     df = spark.createDataFrame(docs, "doc_id long, text string, y int")
-    words = tox.restored_words(df, "text", tox.costs_of(tox.count_trigrams(df, "text")))
-    marks = tox.lexicon(words, "y")
-    assert marks[tox._key("motherfucker")] > 0 and tox._key("motherfucker") & tox.STEM_BITS not in marks
-    assert marks[tox._key("worthlex") & tox.STEM_BITS] > 0 and marks[tox._key("worthley")] == 0
+    costs = tox.costs_of(tox.count_trigrams(df, "text"))
+    words = tox.restored_words(df, "text", costs).cache()
+    marks = tox.lexicon(words, df.select("doc_id", "y"))
+    weight = {r.w: r.weight for r in marks.collect()}
+    assert weight == lexicon_of({r.doc_id: list(r.words) for r in words.collect()}, {i: y for i, _, y in docs})
+    assert weight[tox._key("motherfucker")] > 0 and tox._key("motherfucker") & tox.STEM_BITS not in weight
+    assert weight[tox._key("worthlex") & tox.STEM_BITS] > 0 and weight[tox._key("worthley")] == 0
     seen = spark.createDataFrame([(1, "motherfucker twice motherfucker", 0), (2, "motherly", 0), (3, "worthley", 0), (4, "worthlessness", 0)], df.schema)
-    got = {r.doc_id: (r.hits, r.kinds, r.n_words) for r in tox.marked(tox.restored_words(seen, "text", tox.costs_of(tox.count_trigrams(df, "text"))), marks).collect()}
-    assert got == {1: (2, 1, 3), 2: (0, 0, 1), 3: (0, 0, 1), 4: (1, 1, 1)}
+    rows = tox.restored_words(seen, "text", costs).withColumn("row", F.col("doc_id"))
+    assert {r.row: (r.hits, r.kinds) for r in tox.marked(rows, marks).collect()} == {1: (2, 1), 4: (1, 1)}
+
+
+def lexicon_of(words, y, least=5, z=6.0, ratio=4.0):
+    """The rule of the lexicon, over all words in memory."""
+    toxic, clean = sum(y.values()), len(y) - sum(y.values())
+    counts = (Counter(), Counter())
+    for d, keys in words.items():
+        if d in y:
+            counts[y[d]].update(set(keys) | {k & tox.STEM_BITS for k in keys})
+
+    def judge(k):
+        share = (counts[0][k] + 1) / (clean + 2)
+        return counts[1][k] / toxic / share, (counts[1][k] - toxic * share) / math.sqrt(toxic * share * (1 - share))
+
+    marks = {k: min(6.0, math.log(judge(k)[0])) for k, n in counts[1].items() if n >= least and judge(k)[0] >= ratio and judge(k)[1] >= z}
+    cleared = {k: 0.0 for k in counts[0] | counts[1] if k & ~tox.STEM_BITS and marks.get(k & tox.STEM_BITS) and counts[0][k] + counts[1][k] >= least and judge(k)[0] < ratio}
+    return {k: pytest.approx(w) for k, w in marks.items()} | cleared
+
+
+def test_documents_without_a_label_count_for_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["idiot"] * (i % 4 == 0) + ["moron"] * (i % 8 == 0) + [rng.choice(["river", "stone", "paper"]) for _ in range(5)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, y int")
+    words = tox.restored_words(df, "text", tox.costs_of(tox.count_trigrams(df, "text"))).cache()
+    got = {r.w: r.weight for r in tox.lexicon(words, known).collect()}
+    assert got == lexicon_of({r.doc_id: list(r.words) for r in words.collect()}, {i: int(i % 4 == 0) for i in range(0, 400, 2)}) and got
