@@ -23,3 +23,11 @@ def tasks(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python a thousand rows at a time: ten thousand, the default, may be a hundred megabytes on either side."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to differ from the names ``taken`` in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

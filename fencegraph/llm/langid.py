@@ -197,19 +197,28 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str, lang: str, order: Column, *, per_language: int = 400, chars: int = 1500, pieces: int = 3, texts: int = 25_600, **how: int) -> Network:
-    """Train on a bounded sample of every label: the first ``per_language`` texts in the order of a hash (16 at least, fewer
-    than ``per_language`` where all labels together would have more than ``texts``), of longer texts ``pieces`` at hashed places
-    of the whole text, ``chars`` characters together. Rows with null text or label take no part."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    names = sorted(r[0] for r in rows.select(lang).distinct().collect())
+    """Train on a bounded sample of every label: the first ``per_language`` different texts in the order of a hash (16 at least,
+    fewer than ``per_language`` where all labels together would have more than ``texts``), of longer texts ``pieces`` at hashed
+    places of the whole text, ``chars`` characters together. Rows with null text or label take no part; without any label
+    there is nothing to tell apart, and the network knows no language.
+
+    A label's texts are first thinned by a bound on the hash, set from the label's count, so what is sorted for a label does
+    not grow with the table or its number of tasks.
+    """
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), order.alias("o"), F.col(text).alias("t"))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # the network has an output for each label anyway
+    names = sorted(counts)
     if not names:
-        raise ValueError("no labelled text to learn languages from")
-    n, size = F.length(text), chars // pieces
-    places = [(F.pmod(F.xxhash64(order, n, F.lit(i)), n - size + 1) + 1).cast("int") for i in range(pieces)]
-    piece = F.when(n <= chars, F.col(text)).otherwise(F.concat_ws("\n", *[F.substring(F.col(text), at, F.lit(size)) for at in places]))
-    short = rows.select(F.col(lang).alias("l"), order.alias("o"), piece.alias("t"))
+        return Network((), (), (), np.zeros((2, 0, 0)), np.zeros(0))
     per_language = min(per_language, max(16, texts // len(names)))
-    sample = sorted((r["l"], r["o"], r["t"]) for r in top_rows(short, ["l"], [F.col("o"), F.col("t")], per_language).collect())
+    mark = F.xxhash64("o", "t")
+    bounds = docs.sparkSession.createDataFrame([(x, (1 << 63) - 1 if counts[x] <= 8 * per_language else int((1 << 64) * 4 * per_language / counts[x]) - (1 << 63)) for x in names], "l string, bound long")
+    thin = rows.withColumn("m", mark).join(F.broadcast(bounds), "l").where("m <= bound")  # a row per label
+    n, size = F.length("t"), chars // pieces
+    places = [(F.pmod(F.xxhash64("o", n, F.lit(i)), n - size + 1) + 1).cast("int") for i in range(pieces)]
+    piece = F.when(n <= chars, F.col("t")).otherwise(F.concat_ws("\n", *[F.substring(F.col("t"), at, F.lit(size)) for at in places]))
+    short = thin.select("l", "m", piece.alias("t")).distinct()
+    sample = sorted((r["l"], r["m"], r["t"]) for r in top_rows(short, ["l"], [F.col("m"), F.col("t")], per_language).collect())
     number = {x: i for i, x in enumerate(names)}
     return train([t.encode() for _, _, t in sample], [number[x] for x, _, _ in sample], tuple(names), **how)
 
@@ -217,9 +226,12 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, *, per_language: i
 def predict(docs: DataFrame, text: str, net: Network, *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` with the predicted language and its probability.
 
-    Null texts and texts without a letter get ``und`` and score 0. Ties go to the language that sorts first. Repeated rows
-    are answered alike; columns of the same names as the two new ones are replaced.
+    Null texts and texts without a letter get ``und`` and score 0, and so do all where the network knows no language. Ties go to
+    the language that sorts first. Repeated rows are answered alike; columns of the same names as the two new ones are
+    replaced. An empty table stays empty.
     """
+    if not net.languages:
+        return docs.drop(lang_col, score_col).withColumn(lang_col, F.lit(UNKNOWN)).withColumn(score_col, F.lit(0.0))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,8 @@ def language_model(spark: SparkSession, sf_dir: str) -> langid.Network:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = langid.predict(docs, "text", language_model(spark, sf_dir))
-    return labelled.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 @R.add("op3_simhash_groups")

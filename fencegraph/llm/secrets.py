@@ -5,8 +5,8 @@ Its encoding is inferred from its characters, and three tests ask whether it loo
 chi-squared of the symbol counts against equal shares, the runs of the lower and upper half of the alphabet, and the serial
 correlation of neighbouring symbols. Fisher's method makes one p-value of the three. Short words pass such tests more
 easily than long ones, so the bar is set for each encoding and length class by false-discovery control over all candidates
-of the corpus: random strings have even p-values, so twice the share above one half estimates their number, and the lowest
-bar is taken at which no more than ``FALSE_SHARE`` of those above it are in excess of that.
+of the corpus: random strings have even p-values, so their share above one half is known, and the lowest bar is taken at which
+it is not shown that more than ``FALSE_SHARE`` of those above the bar are others. Small classes borrow from the nearest lengths.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ ENCODINGS = {  # name: (pattern, alphabet), tried in this order
 }
 BARS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.5)
 FALSE_SHARE = 0.05
+SMALL, SURE = 50, 1.645
 
 
 def _upper_tail(z: Column) -> Column:
@@ -130,13 +131,16 @@ def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
 
-def scan(docs: DataFrame, text: str) -> DataFrame:
+def scan(docs: DataFrame, text: str, base: str = "base", added: str = "added") -> DataFrame:
     """``docs`` with ``base`` and ``added``: arrays of (start, kind, stop), kind a place in ``KINDS``, ``base`` in order of
     start and kind, ``added`` without spans that touch one of ``base``. The text stays.
 
-    Null texts are read as empty and stay null. Repeated rows are scanned each. Columns of the new names are replaced.
+    Null texts are read as empty and stay null. Repeated rows are scanned each. Columns of the two new names are replaced, all
+    others stay, whatever their names; an empty table stays empty.
     """
-    plain = docs.drop("base", "added", "cand").withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    kept = docs.drop(base, added)
+    names = [f"c{i}" for i in range(len(kept.columns))]
+    plain = kept.toDF(*names).withColumn("__t", F.coalesce(F.col(names[kept.columns.index(text)]), F.lit("")))
     plain = _found(plain, "__t", ASSIGN, "__assign", 2)
     plain = _found(plain, "__t", ACCESS, "__access")
     plain = _found(plain, "__t", r"[0-9a-f]{24,}", "__hex")  # runs of hex digits that are long enough: same matches as HEX, filtered
@@ -149,8 +153,8 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
     plain = plain.withColumn("__live", live).withColumn("cand", F.when(F.size("__live") > 0, _battery(F.col("__live"))).otherwise(F.array().cast("array<struct<start:int,stop:int,enc:string,len2:int,p:double>>")))
     seen = cut(plain.drop("__t", "__assign", "__access", "__hex", "__cand", "__live"), "scanned")
     bars = thresholds(seen.select(F.explode("cand").alias("c")).select("c.*"))
-    added = F.filter("cand", lambda s: s["p"] >= _bar_of(s, bars))
-    return seen.withColumn("added", _spans(added, 3)).drop("cand")
+    found = F.filter("cand", lambda s: s["p"] >= _bar_of(s, bars))
+    return seen.select(*names, "base", _spans(found, 3)).toDF(*kept.columns, base, added)
 
 
 def _bar_of(s: Column, bars: dict[tuple[str, int], float]) -> Column:
@@ -161,16 +165,35 @@ def _bar_of(s: Column, bars: dict[tuple[str, int], float]) -> Column:
 
 
 def thresholds(candidates: DataFrame) -> dict[tuple[str, int], float]:
-    """The bar of each (encoding, length class); a class of none that passes is absent. Counts cover all candidates; what is
-    collected are as many rows as there are classes (9 encodings by 31 lengths at most)."""
+    """The bar of each (encoding, length class). Counts cover all candidates; what is collected are as many rows as there are
+    classes (9 encodings by 31 lengths at most)."""
     counts = [F.count(F.when(F.col("p") >= t, 1)).alias(f"c{i}") for i, t in enumerate(BARS)]
+    rows = candidates.groupBy("enc", "len2").agg(F.count(F.when(F.col("p") > 0.5, 1)).alias("high"), *counts).collect()
+    return bars_of({(r["enc"], r["len2"]): (r["high"], *[r[f"c{i}"] for i in range(len(BARS))]) for r in rows})
+
+
+def bars_of(classes: dict[tuple[str, int], tuple[int, ...]]) -> dict[tuple[str, int], float]:
+    """From the counts of each class: p-values above one half, and at each bar or above.
+
+    A random string that reaches bar t has a p-value above one half with probability 1 / (2 - 2 t). A bar is refused only where
+    fewer of those that reach it do than chance allows (``SURE`` standard deviations) with ``FALSE_SHARE`` of others among
+    them. A class with fewer than ``SMALL`` strings is judged together with the nearest lengths of its encoding; if there are
+    none, nothing speaks against its strings and the lowest bar holds.
+    """
     out: dict[tuple[str, int], float] = {}
-    for r in candidates.groupBy("enc", "len2").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") > 0.5, 1)).alias("high"), *counts).collect():
-        random = min(r["n"], 2 * r["high"])
-        for i, t in enumerate(BARS):
-            above = r[f"c{i}"]
-            if above and above - random * (1 - t) <= FALSE_SHARE * above:
-                out[(r["enc"], r["len2"])] = t
+    for enc, length in classes:
+        pooled, done = [0] * (len(BARS) + 1), 0
+        for distance in range(64):
+            for other in {length - distance, length + distance}:
+                if (enc, other) in classes:
+                    pooled = [a + b for a, b in zip(pooled, classes[enc, other])]
+                    done += 1
+            if pooled[1] >= SMALL or done == sum(e == enc for e, _ in classes):
+                break
+        for t, reached in zip(BARS, pooled[1:]):
+            q = 0.5 / (1 - t)
+            if pooled[0] >= (1 - FALSE_SHARE) * reached * q - SURE * math.sqrt(reached * q * (1 - q)):
+                out[enc, length] = t
                 break
     return out
 
@@ -181,9 +204,12 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, text: str, mask: str = "[SECRET]", piece: int = 4096) -> DataFrame:
+def redact(scanned: DataFrame, text: str, mask: str = "[SECRET]", piece: int = 4096, base: str = "base", added: str = "added") -> DataFrame:
     """``scanned`` with its spans masked in the text; touching spans share a mask. Texts are cut from pieces of bounded
     length, so many spans in a long text cost no more than the text."""
+    outer = scanned.columns
+    inner = [{text: "text", base: "base", added: "added"}.get(c, f"c{i}") for i, c in enumerate(outer)]
+    scanned, text = scanned.toDF(*inner), "text"
     spans = F.array_sort(F.concat("base", "added"))
     merged = F.aggregate(
         spans, F.array().cast("array<struct<start:int,stop:int>>"),
@@ -202,4 +228,4 @@ def redact(scanned: DataFrame, text: str, mask: str = "[SECRET]", piece: int = 4
 
     n = F.size("__spans")
     gaps = F.transform(F.sequence(F.lit(0), n), lambda i: between(F.coalesce(F.get("__spans", i - 1)["stop"], F.lit(0)), F.coalesce(F.get("__spans", i)["start"], F.length(text))))
-    return cut_up.withColumn(text, F.when(some, F.array_join(gaps, mask)).otherwise(F.col(text))).drop("__spans", "__parts")
+    return cut_up.withColumn(text, F.when(some, F.array_join(gaps, mask)).otherwise(F.col(text))).select(*inner).toDF(*outer)

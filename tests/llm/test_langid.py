@@ -16,3 +16,18 @@ def test_every_label_is_learnt_from_whole_texts(spark):
     seen = spark.createDataFrame([(lang, say(lang, 120)) for lang in words], "lang string, text string")
     got = langid.predict(seen, "text", net).collect()
     assert sum(r.lang_pred == r.lang and r.score >= 0.4 for r in got) >= 68
+
+
+def test_a_sample_does_not_grow_with_the_copies_of_a_row(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda texts, y, names, **how: taken.append((len(texts), names)))
+    rows = spark.range(40_000).select(F.when(F.col("id") < 20_000, 0).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 4 == 0, "bb").otherwise("aa").alias("lang"), F.when(F.col("id") < 20_000, "copy").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    langid.fit(rows, "text", "lang", F.xxhash64("id"), per_language=100)
+    assert taken == [(200, ("aa", "bb"))]
+
+
+def test_without_labels_no_language_is_known(spark):
+    df = spark.createDataFrame([(1, "text", None), (None, None, "en"), (3, "12", "en")], "doc_id long, text string, lang string")
+    for docs in (df, df.where("false")):
+        net = langid.fit(docs, "text", "lang", F.xxhash64("doc_id"))
+        assert net.languages == () and {(r.lang_pred, r.score) for r in langid.predict(docs, "text", net).collect()} <= {("und", 0.0)}

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fencegraph.llm import bpe, langid
+from fencegraph.llm import bpe, langid, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,5 +93,37 @@ def test_languages_are_told_and_windows_meet(spark, folder, monkeypatch):
     assert abs(langid.document_probabilities(net, long) - whole).max() < 1e-4
     monkeypatch.setattr(langid, "CORE", 100)
     assert abs(langid.document_probabilities(net, long) - whole).max() < 0.02
-    with pytest.raises(ValueError):
-        langid.fit(spark.createDataFrame([], COLUMNS), "text", "lang", F.lit(1))
+
+
+CLASHING = "fp base added cand __text __kept __n __t __spans __parts __lang_pred __lang_score __leaks lang_pred lang_score leaks mark id kept nth words score c0 c1 node component_id component first text_ __bytes m bound l o t y row n_words item_id stop ids".split()
+
+
+def test_further_columns_of_any_name_stay(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id > 280 OR doc_id IS NULL OR doc_id < 4")
+    wide = docs.select(F.create_map(F.lit("a"), F.lit(1)).alias("a_map"), *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHING)], *docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, path)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert all(r["a_map"] == {"a": 1} and [r[c] for c in CLASHING] == [f"x{i}" for i in range(len(CLASHING))] for r in rows), name
+        key = lambda r: tuple(str(r[c]) for c in docs.columns)
+        assert sorted(map(key, rows)) == sorted(map(key, stage(spark, docs, path).collect())), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in last(spark, wide, path).collect()) == sorted((str(r.doc_id), r.n_tokens) for r in last(spark, docs, path).collect())
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "some text", None, "s", 9), (None, None, None, None, None), (2, None, "en", None, 0)]])
+def test_empty_tables_and_tables_without_labels(spark, tmp_path, rows):
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    got = {tuple(r) for r in queries.QUERIES["op10_language_id"](spark, str(tmp_path)).collect()}
+    assert got == {(r[0], bool(r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0), "und", 0.0) for r in rows}
+
+
+def test_of_rows_with_one_id_the_same_one_stays(spark, folder):
+    path, docs = folder
+    rows = [(7, docs[1][1], lang, source, n) for lang, source, n in [("aa", "s", 1), ("aa", "s", 2), ("bb", None, 1), (None, "s", 1)]] * 3
+    one = lambda rs: [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rs, COLUMNS), path).collect()]
+    assert one(rows) == one(rows[::-1]) and len(one(rows)) == 1

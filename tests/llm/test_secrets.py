@@ -1,5 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from fencegraph.llm import secrets
 
@@ -46,3 +50,57 @@ def test_masked_text_and_empty_table(spark):
     got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df, "text"), "text").collect()}
     assert got == {1: "é" * 5000 + " [SECRET] and [SECRET]. " + "z " * 3000 + "[SECRET]", 2: "clean", 3: None, 4: "[SECRET]"}
     assert secrets.scan(df.where("false"), "text").collect() == []
+
+
+def p_value(body, alphabet):
+    """The battery of a string, one by one."""
+    n, k = len(body), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi, spread = k / n * sum(c * c for c in Counter(body).values()) - n, 2 / (9 * (k - 1))
+    z = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
+    v = [alphabet.index(c) + 1 for c in body]
+    high = [x > k // 2 for x in v]
+    ones, runs, mean = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:])), sum(v) / n
+    mu = 2 * ones * (n - ones) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    r = abs(runs - mu) / math.sqrt(var) if var > 0 else 9
+    power = sum((x - mean) ** 2 for x in v)
+    s = abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / power * math.sqrt(n)) if power > 1e-9 else 9
+    h = -sum(math.log(max(p, 1e-300)) for p in (tail(z), 2 * tail(r), 2 * tail(s)))
+    return min(1, math.exp(-h) * (1 + h + h * h / 2))
+
+
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_p_values_equal_the_formulas(spark):
+    rng = random.Random(2)
+    keys = ["".join(rng.choice(B62) for _ in range(rng.randrange(20, 90))) + "aZ9" for _ in range(60)]
+    df = spark.createDataFrame([(k,) for k in keys], "body string").select(F.array(F.struct(F.lit(0).alias("start"), F.length("body").alias("stop"), "body")).alias("c"))
+    got = df.select(secrets._battery(F.col("c"))[0].alias("c")).select("c.enc", "c.p").collect()
+    order = secrets.ENCODINGS["base62"][1]
+    assert {r.enc for r in got} == {"base62"}
+    assert all(abs(r.p - p_value(k, order)) < 2e-5 for r, k in zip(got, keys))
+
+
+def test_lone_keys_are_found_and_false_ones_kept_out():
+    rng = random.Random(5)
+    trials = 400
+
+    def share_found(keys, others=0):
+        found = false = 0
+        for _ in range(trials):
+            good, bad = [rng.random() for _ in range(keys)], [0.4 * rng.random() for _ in range(others)]
+            ps = good + bad
+            row = (sum(p > 0.5 for p in ps), *[sum(p >= t for p in ps) for t in secrets.BARS])
+            bar = secrets.bars_of({("base62", 5): row})[("base62", 5)]
+            found, false = found + sum(p >= bar for p in good), false + sum(p >= bar for p in bad)
+        return found / trials / max(keys, 1), false / max(1, false + found)
+
+    for keys in (1, 2, 5, 20, 1000):
+        assert share_found(keys)[0] >= 0.95
+    assert share_found(300, 300)[1] < 0.1  # as many others that pass the lowest bars: the bar rises
+    lone, crowd = (0, 1, 1, 1, 1, 0, 0), (5, 900, 700, 300, 100, 20, 5)
+    assert secrets.bars_of({("hex", 5): lone})[("hex", 5)] == 0.001
+    assert secrets.bars_of({("hex", 5): lone, ("hex", 6): crowd})[("hex", 5)] > 0.05  # a small class borrows from the next length
+    assert secrets.bars_of({("hex", 5): lone, ("lower", 5): crowd})[("hex", 5)] == 0.001
