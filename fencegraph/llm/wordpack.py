@@ -14,7 +14,8 @@ from __future__ import annotations
 import os
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,7 +37,9 @@ ESCAPE = 1
 BLOCK = 8192
 SEGMENT = 1 << 20  # ids after which a segment is closed
 REMEMBERED = 400_000  # words in either half
-CHUNK = 4 << 20  # bytes of text taken at once
+CHUNK = 8 << 20  # bytes of text taken at once
+_STOP = np.array([c in b".," for c in range(256)])
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 _HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
@@ -49,44 +52,52 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low)
 
 
-def _block_words(ids: np.ndarray) -> np.ndarray:
-    """Greedy packing of one block."""
+def _selectors(ids: np.ndarray) -> np.ndarray:
+    """The selector of the fullest word that may begin at each id and ends within its block."""
     n = len(ids)
-    reach = np.full(n, ESCAPE, np.int8)
-    need = _bits(ids)
+    chosen = np.full(n, ESCAPE, np.int8)
+    most = {1: _bits(ids).astype(np.int8)}  # by count: bits of the widest of so many ids
+
+    def widest(count: int) -> np.ndarray:
+        if count not in most:
+            half = count // 2
+            a, b = widest(half), widest(count - half)
+            most[count] = np.maximum(a[: n - count + 1], b[half:])
+        return most[count]
+
+    left = BLOCK - np.arange(n, dtype=np.int32) % BLOCK
     for s in range(15, -1, -1):  # rising counts: the largest that fits is written last
-        good = need <= WIDTHS[s]
-        if s == ESCAPE or np.count_nonzero(good) < COUNTS[s]:
-            continue
-        misfits = np.zeros(n + 1, np.int32)
-        np.cumsum(~good, out=misfits[1:])
-        reach[: n + 1 - COUNTS[s]][misfits[COUNTS[s] :] == misfits[: -COUNTS[s]]] = s
-    step, starts, at = np.asarray(COUNTS)[reach].tolist(), [], 0
+        if s != ESCAPE and COUNTS[s] <= n and np.count_nonzero(most[1] <= WIDTHS[s]) >= COUNTS[s]:
+            fits = (widest(COUNTS[s]) <= WIDTHS[s]) & (left[: n - COUNTS[s] + 1] >= COUNTS[s])
+            chosen[: len(fits)][fits] = s
+    return chosen
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Unsigned 64-bit ids as one segment."""
+    ids = np.ascontiguousarray(ids, np.uint64)
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
+    selectors = _selectors(ids)
+    step, starts, at = np.asarray(COUNTS)[selectors].tolist(), [], 0
     keep = starts.append
     while at < n:
         keep(at)
         at += step[at]
     first = np.array(starts, np.int64)
-    chosen = reach[first]
+    chosen = selectors[first]
     place = np.concatenate([[0], np.cumsum(1 + (chosen == ESCAPE))])
     words = np.zeros(place[-1], np.uint64)
     for s in np.unique(chosen):
         here = np.flatnonzero(chosen == s)
-        words[place[here]] = np.uint64(int(s) << 60)
+        word = np.full(len(here), int(s) << 60, np.uint64)
         if s == ESCAPE:
             words[place[here] + 1] = ids[first[here]]
         elif WIDTHS[s]:
-            shifts = np.arange(COUNTS[s], dtype=np.int64)
-            words[place[here]] |= np.bitwise_or.reduce(ids[first[here][:, None] + shifts] << (shifts * WIDTHS[s]).astype(np.uint64), axis=1)
-    return words
-
-
-def pack(ids: np.ndarray) -> bytes:
-    """Unsigned 64-bit ids as one segment."""
-    ids = np.ascontiguousarray(ids, np.uint64)
-    blocks = [_block_words(ids[lo : lo + BLOCK]) for lo in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
-    return _HEAD.pack(b"S8B1", len(blocks), len(ids)) + offsets.tobytes() + b"".join(b.astype("<u8").tobytes() for b in blocks)
+            for slot in range(COUNTS[s]):
+                word |= ids[first[here] + slot] << np.uint64(slot * WIDTHS[s])
+        words[place[here]] = word
+    offsets = place[np.searchsorted(first, np.arange(blocks + 1) * BLOCK)].astype("<u8")
+    return _HEAD.pack(b"S8B1", blocks, n) + offsets.tobytes() + words.astype("<u8").tobytes()
 
 
 def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -164,7 +175,7 @@ class Coder:
             text = text.lower()
         return text.encode().replace(b"\n", b" ")
 
-    def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text with ``end`` behind."""
         held: list[bytes] = []
         size = 0
@@ -198,6 +209,10 @@ class Coder:
         flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         stop = flat == 10
         start, last = words_between(stop | (flat == 32))
+        part = np.flatnonzero(_STOP[flat[last - 1]] & (last - start > 1) & _ALNUM[flat[last - 2]])  # words before a full stop or comma
+        ends = last[part]
+        last[part] -= 1
+        start, last = np.insert(start, part + 1, ends - 1), np.insert(last, part + 1, ends)
         packed = Bytes(flat)
         keys, lead, group = np.unique(packed.hashes(start, last, 0), return_index=True, return_inverse=True)
         raw, lead = flat.tobytes(), lead.tolist()
@@ -222,12 +237,17 @@ class Coder:
         if len(self.known) + len(words) > REMEMBERED:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        unknown = [w for w in words if w not in known]
-        for w in unknown:
-            if w in before:
-                known[w] = before[w]
-        self._learn({w for w in unknown if w not in known} if before else set(unknown))
-        return list(map(known.__getitem__, words))
+        got = list(map(known.get, words))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if before:
+            for i in missing:
+                if (old := before.get(words[i])) is not None:
+                    got[i] = known[words[i]] = old
+            missing = [i for i in missing if got[i] is None]
+        self._learn({words[i] for i in missing})
+        for i in missing:
+            got[i] = known[words[i]]
+        return got
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
@@ -286,14 +306,20 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
             columns = [[shard], [number], [names], [sizes], [before], [held], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()))], names=_FIELDS)
 
-        for batch in batches:
-            for name, x in zip(batch.column(0).to_pylist(), c.encode([t or "" for t in batch.column(1).to_pylist()], end), strict=True):
-                ids.append(x)
-                names.append(name)
-                held += len(x)
-                if held >= SEGMENT:
-                    yield segment()
-                    ids, names, held, before, number = [], [], 0, before + held, number + 1
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                names_ahead.extend(batch.column(0).to_pylist())
+                for t in batch.column(1):
+                    yield t.as_py() or ""
+
+        names_ahead: deque[int | None] = deque()  # of texts that are read and not yet encoded
+        for x in c.encode(texts(), end):
+            ids.append(x)
+            names.append(names_ahead.popleft())
+            held += len(x)
+            if held >= SEGMENT:
+                yield segment()
+                ids, names, held, before, number = [], [], 0, before + held, number + 1
         if ids:
             yield segment()
 
