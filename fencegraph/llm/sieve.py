@@ -21,9 +21,9 @@ class Sieve:
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def sieve(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> Sieve:
-    """Of a column of (signed) keys. Only the bitmap comes to the driver: two bytes a key, and never more than 2^most_bits bits."""
-    bits = min(most_bits, max(LEAST_BITS, (BITS_PER_KEY * max(1, keys.count()) - 1).bit_length()))
+def sieve(keys: DataFrame, key: str, most_bits: int = MOST_BITS, bits_per_key: int = BITS_PER_KEY) -> Sieve:
+    """Of a column of (signed) keys. Only the bitmap comes to the driver: never more than 2^most_bits bits."""
+    bits = min(most_bits, max(LEAST_BITS, (bits_per_key * max(1, keys.count()) - 1).bit_length()))
     place = F.shiftrightunsigned(F.col(key), 64 - bits).bitwiseXOR(F.col(key).bitwiseAND(F.lit((1 << bits) - 1))) + 1  # the bitmap functions count from one
     maps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     data = bytearray(1 << bits - 3)

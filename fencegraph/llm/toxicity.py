@@ -254,34 +254,68 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
+def _own_keys(lists: pa.ListArray, among: Sieve | None, by_stem: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words and, once a document, stems that pass ``among``, or with ``by_stem`` the words whose stem passes; and the document of each."""
+    keys, doc = _flat(lists)
+    stems = keys & STEM_BITS
+    if by_stem:
+        some = among.holds(stems.view(np.uint64))
+        return keys[some], doc[some]
+    own = np.unique(doc << 32 | (stems >> 32) + (1 << 31))
+    keys, doc = np.concatenate([keys, (own & 0xFFFFFFFF) - (1 << 31) << 32]), np.concatenate([doc, own >> 32])
+    some = among.holds(keys.view(np.uint64)) if among is not None else slice(None)
+    return keys[some], doc[some]
+
+
 def _counted(words: DataFrame, ids: DataFrame, out: str, among: Sieve | None = None, by_stem: bool = False) -> DataFrame:
     """(w, ``out``): in how many of the documents ``ids`` each word and stem occurs; of those that pass ``among`` or, with
-    ``by_stem``, of the words whose stem passes. A document and its words leave their task where a bitmap of the ids lets them
-    pass; an exact join follows."""
-    sent = words.sparkSession.sparkContext.broadcast((sieve(ids.select(F.xxhash64("doc_id").alias("k")), "k"), among))  # bounded bitmaps
+    ``by_stem``, of the words whose stem passes.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Documents whose id passes a bitmap of ``ids`` are added up where they lie. Those that passed and are not among ``ids`` are few;
+    an exact join of ids finds them, and what they added is taken off again. So no document's words are shuffled but theirs.
+    """
+    spark, named = words.sparkSession, words.where("doc_id IS NOT NULL").withColumn("k", F.xxhash64("doc_id"))
+    sent = spark.sparkContext.broadcast((sieve(ids.select(F.xxhash64("doc_id").alias("k")), "k", bits_per_key=128), among))  # bounded bitmaps
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, among = sent.value
+        held: list[np.ndarray] = []
+
+        def added() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["w", "n"])
+
         for batch in batches:
             batch = batch.filter(pa.array(wanted.holds(batch.column("k").to_numpy().view(np.uint64))))
-            keys, doc = _flat(batch.column("words"))
-            stems = keys & STEM_BITS
-            if by_stem:
-                some = among.holds(stems.view(np.uint64))
-                keys, doc = keys[some], doc[some]
-            else:
-                own = np.unique(doc << 32 | (stems >> 32) + (1 << 31))  # each stem once a document
-                keys, doc = np.concatenate([keys, (own & 0xFFFFFFFF) - (1 << 31) << 32]), np.concatenate([doc, own >> 32])
-                if among is not None:
-                    some = among.holds(keys.view(np.uint64))
-                    keys, doc = keys[some], doc[some]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(doc, kind="stable")]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "words"])
+            held.append(_own_keys(batch.column("words"), among, by_stem)[0])
+            if sum(map(len, held)) > 1 << 21:
+                yield added()
+                held = []
+        if held:
+            yield added()
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value[0].holds(batch.column("k").to_numpy().view(np.uint64))))
 
+    counts = named.select("k", "words").mapInArrow(add, "w long, n long")
     id_type = words.schema["doc_id"].dataType.simpleString()
-    few = words.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("k"), "doc_id", "words").mapInArrow(work, f"doc_id {id_type}, words array<long>")
-    return few.join(ids.hint("shuffle_hash"), "doc_id").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias(out))
+    passed = named.select("k", "row", "doc_id").mapInArrow(passing, f"k long, row long, doc_id {id_type}")
+    wrong = cut(passed.join(ids, "doc_id", "left_anti").select("row", F.xxhash64("row").alias("h")), "wrong")
+    if not wrong.isEmpty():
+        few = spark.sparkContext.broadcast(sieve(wrong, "h"))
+
+        def off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, among = sent.value
+            for batch in batches:
+                some = wanted.holds(batch.column("k").to_numpy().view(np.uint64)) & few.value.holds(batch.column("h").to_numpy().view(np.uint64))
+                batch = batch.filter(pa.array(some))
+                keys, doc = _own_keys(batch.column("words"), among, by_stem)
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc)), pa.array(keys)], names=["row", "w"])
+
+        extra = named.select("k", "row", F.xxhash64("row").alias("h"), "words").mapInArrow(off, "row long, w long").join(wrong, "row", "left_semi")
+        counts = counts.unionAll(extra.select("w", F.lit(-1).cast("long").alias("n")))
+    return counts.groupBy("w").agg(F.sum("n").alias(out)).where(F.col(out) > 0)
 
 
 def lexicon(words: DataFrame, known: DataFrame, *, least: int = 5, z: float = 6.0, ratio: float = 4.0) -> DataFrame:

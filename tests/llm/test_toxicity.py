@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fencegraph.llm import sieve
 from fencegraph.llm import toxicity as tox
 
 
@@ -119,7 +120,7 @@ def test_words_are_judged_whole_and_by_stem(spark):
         docs.append((i, " ".join(words), int(i % 5 == 0)))
     df = spark.createDataFrame(docs, "doc_id long, text string, y int")
     costs = tox.costs_of(tox.count_trigrams(df, "text"))
-    words = tox.restored_words(df, "text", costs).cache()
+    words = tox.restored_words(df, "text", costs).withColumn("row", F.monotonically_increasing_id()).cache()
     marks = tox.lexicon(words, df.select("doc_id", "y"))
     weight = {r.w: r.weight for r in marks.collect()}
     assert weight == lexicon_of({r.doc_id: list(r.words) for r in words.collect()}, {i: y for i, _, y in docs})
@@ -147,11 +148,13 @@ def lexicon_of(words, y, least=5, z=6.0, ratio=4.0):
     return {k: pytest.approx(w) for k, w in marks.items()} | cleared
 
 
-def test_documents_without_a_label_count_for_nothing(spark):
+@pytest.mark.parametrize("bits", [128, 1])
+def test_documents_without_a_label_count_for_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(tox, "sieve", lambda keys, key, **how: sieve.sieve(keys, key, 15, **how) if bits > 1 else sieve.Sieve(15, b"\xff" * 4096))
     rng = random.Random(9)
     rows = [(i, " ".join(["idiot"] * (i % 4 == 0) + ["moron"] * (i % 8 == 0) + [rng.choice(["river", "stone", "paper"]) for _ in range(5)])) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, y int")
-    words = tox.restored_words(df, "text", tox.costs_of(tox.count_trigrams(df, "text"))).cache()
+    words = tox.restored_words(df, "text", tox.costs_of(tox.count_trigrams(df, "text"))).withColumn("row", F.monotonically_increasing_id()).cache()
     got = {r.w: r.weight for r in tox.lexicon(words, known).collect()}
     assert got == lexicon_of({r.doc_id: list(r.words) for r in words.collect()}, {i: int(i % 4 == 0) for i in range(0, 400, 2)}) and got
