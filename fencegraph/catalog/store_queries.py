@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fencegraph import config
-from fencegraph.catalog.base import DOCS, ENTITY_CTES, STAR_CTES, STAR_PROPS, query
+from fencegraph.catalog.base import DOCS, ENTITY_CTES, STAR_CTES, STAR_PROPS, query, snippet
 from fencegraph.catalog.entity_queries import chapters, doc_nodes, linked
 from fencegraph.catalog.fence_queries import star_edges, star_nodes, star_properties
 from fencegraph.catalog.prep_queries import CHUNKS
@@ -14,7 +14,9 @@ from fencegraph.catalog.registry import Registry
 from fencegraph.functions import text as X
 from fencegraph.functions.lineage import scratch
 from fencegraph.functions.ranking import number_by_range
+from fencegraph.operators import entities as E
 from fencegraph.operators import prep as P
+from fencegraph.plans import build
 from fencegraph.sources import adaptors as A
 from fencegraph.sources import files
 from fencegraph.sources.store import GraphStore, get_or_create_works
@@ -230,4 +232,56 @@ def rebuilt_nodes(spark: SparkSession, d: str) -> DataFrame:
     return s.counts("nodes")
 
 
+# ------------------------------------------------------------------ rebuild of changed works
+
+EARLIER = DOCS.replace("\nch AS (", "\nch AS (SELECT * FROM (", 1) + " WHERE NOT (work_id % 2 = 1 AND ordinal % 4 = 0))"
+
+
+def rebuilt(spark: SparkSession, d: str) -> tuple[GraphStore, int]:
+    """A store built without every fourth chapter of odd works, into which all chapters then arrive; and its first snapshot."""
+    s = new_store(spark)
+    spans = lambda ch, _chunks, _tagger: E.keep_scored(E.map_labels(A.word_spans(ch))).drop("label")
+    now = chapters(spark, d).select("work_id", "ordinal", F.lit(None).cast("string").alias("title"), "clean_text", "content_hash", F.lit(None).cast("string").alias("source_path"))
+    build.build(s, now.filter("NOT (work_id % 2 = 1 AND ordinal % 4 = 0)"), E.tag_gazetteer, spans=spans)
+    before = s.snapshots()[-1]
+    build.rebuild(s, now, E.tag_gazetteer, spans=spans)
+    return s, before
+
+
+@R.add("b20_rebuilt_entities", query(ENTITY_CTES, f"SELECT n.work_id, n.type, n.name, n.importance, n.first_seen_chapter, md5({snippet('c.clean_text', 'ev_s', 'ev_e', 40)}) AS evidence_hash FROM nodes n JOIN ch c ON c.work_id = n.work_id AND c.ordinal = n.ev_ch"))
+def rebuilt_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities after an incremental rebuild are those of a build from nothing."""
+    s, _ = rebuilt(spark, d)
+    return s.rows("nodes").select("work_id", "type", "name", "importance", "first_seen_chapter", F.md5(F.col("evidence").cast("binary")).alias("evidence_hash"))
+
+
+@R.add(
+    "b20_kept_ids",
+    query(ENTITY_CTES, "SELECT n.work_id, count(*) AS entities, count(o.host) AS kept FROM nodes n LEFT JOIN (WITH " + ",".join([EARLIER, *ENTITY_CTES[1:]]) + "\nSELECT work_id, type, host FROM nodes) o ON o.work_id = n.work_id AND o.type = n.type AND o.host = n.host GROUP BY ALL"),
+)
+def kept_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Entities found again in a rebuild, under the id they had."""
+    s, before = rebuilt(spark, d)
+    named = lambda n: s.rows("nodes", n).select("work_id", "node_id").join(s.rows("node_ids", n).select("node_id", "type", "norm"), "node_id")
+    old = named(before).withColumn("had", F.lit(True))
+    both = named(None).join(old, ["work_id", "node_id", "type", "norm"], "left")
+    return both.groupBy("work_id").agg(F.count(F.lit(1)).alias("entities"), F.count("had").alias("kept"))
+
+
+@R.add(
+    "e2_restamped_edges",
+    query(
+        STAR_CTES,
+        """SELECT e.work_id, e.tier, count(*) AS edges FROM sedges e JOIN snodes s ON s.node_id = e.source_id JOIN snodes t ON t.node_id = e.target_id
+        WHERE greatest(e.revealed_chapter, s.revealed_chapter + CASE WHEN s.node_id % 3 = 0 THEN 5 ELSE 0 END, t.revealed_chapter + CASE WHEN t.node_id % 3 = 0 THEN 5 ELSE 0 END) <= 24 GROUP BY ALL""",
+    ),
+)
+def restamped_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every third node is revealed five chapters later by a write of nodes alone: the stored edges follow."""
+    s = star_store(spark, d)
+    later = F.col("revealed_chapter") + F.when(F.col("node_id") % 3 == 0, 5).otherwise(0)
+    s.write("nodes", star_nodes(spark, d).withColumn("revealed_chapter", later))
+    return s.visible_edges(24).groupBy("work_id", "tier").agg(F.count(F.lit(1)).alias("edges"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -12,7 +12,7 @@ from fencegraph.functions import keys
 from fencegraph.functions import text as X
 from fencegraph.functions.arrays import running_starts
 from fencegraph.functions.lineage import cut
-from fencegraph.functions.ranking import number_rows
+from fencegraph.functions.ranking import number_by_position, number_rows
 
 DEFAULT_THRESHOLD = 0.4
 EVIDENCE_PAD = 40
@@ -227,10 +227,24 @@ def link_mentions(mentions: DataFrame, folds: DataFrame, nodes: DataFrame) -> Da
     return m.join(to_node, ["work_id", "norm"], "left").drop("norm")
 
 
-def resolve(mentions: DataFrame, chapters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Mentions -> (nodes, mentions with node_id). The name tables are written once: each is read many times."""
+def keep_ids(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes under the ids that ``known`` (work_id, type, norm, node_id) has for them; others get the numbers after the work's last
+    one, in the order of the nodes."""
+    kept = known.select("work_id", "type", "norm", F.col("node_id").alias("__kept"))
+    last = known.groupBy("work_id").agg((F.max("node_id") - F.col("work_id") * keys.NODES).alias("__last"))
+    met = nodes.join(kept, ["work_id", "type", "norm"], "left")
+    new = number_by_position(met.filter(F.col("__kept").isNull()).withColumn("__no", F.col("node_id") - F.col("work_id") * keys.NODES), ["work_id"], "__no", "__nth")
+    new = new.join(last, "work_id", "left").withColumn("node_id", keys.node_id(F.col("work_id"), F.coalesce("__last", F.lit(0)) + F.col("__nth")))
+    return met.filter(F.col("__kept").isNotNull()).withColumn("node_id", F.col("__kept")).select(*nodes.columns).unionByName(new.select(*nodes.columns))
+
+
+def resolve(mentions: DataFrame, chapters: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mentions -> (nodes, mentions with node_id). The name tables are written once: each is read many times. Nodes keep the
+    ids of ``known``."""
     folds = cut(fold_names(cut(names(mentions), "names")), "folds")
     nodes = cut(build_nodes(cut(entity_clusters(mentions, folds), "clusters"), chapters), "nodes")
+    if known is not None:
+        nodes = cut(keep_ids(nodes, known), "nodes")
     return nodes, link_mentions(mentions, folds, nodes)
 
 

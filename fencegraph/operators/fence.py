@@ -28,13 +28,14 @@ def with_effective_reveal(edges: DataFrame, nodes: DataFrame, *, dangling: bool
     """Add ``effective_reveal``: the first position at which the edge and both its ends are revealed.
 
     Stored once per graph build, it turns every later edge fence into one pushed-down comparison. Edges without an end
-    among the nodes go, or with ``dangling`` stay with what else is known.
+    among the nodes go, or with ``dangling`` stay with no position, and so show at none.
     """
     how = "left" if dangling else "inner"
     ends = nodes.select(F.col("node_id").alias("__n"), F.col("revealed_chapter").alias("__r"))
     s = edges.join(ends.withColumnRenamed("__r", "__s"), F.col("source_id") == F.col("__n"), how).drop("__n")
     st = s.join(ends.withColumnRenamed("__r", "__t"), F.col("target_id") == F.col("__n"), how).drop("__n")
-    return st.withColumn("effective_reveal", F.greatest("revealed_chapter", "__s", "__t")).drop("__s", "__t")
+    whole = F.col("__s").isNotNull() & F.col("__t").isNotNull()
+    return st.withColumn("effective_reveal", F.when(whole, F.greatest("revealed_chapter", "__s", "__t"))).drop("__s", "__t")
 
 
 def visible_edges(edges: DataFrame, nodes: DataFrame, n: int | Column) -> DataFrame:

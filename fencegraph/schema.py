@@ -26,3 +26,6 @@ TABLES: dict[str, str] = {
         "revealed_chapter int, method string, evidence string"
     ),
 }
+
+# Tables that only the store and the build use: the ids that entities keep over rebuilds.
+INTERNAL: dict[str, str] = {"node_ids": "work_id long, type string, norm string, node_id long"}

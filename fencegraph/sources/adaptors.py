@@ -99,8 +99,13 @@ def tokens(chapters: DataFrame, text: str = "clean_text") -> DataFrame:
 
 
 def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate spans over ``documents``: capitalised words, alone and with a lower-case successor."""
-    ch = tokens(doc_chapters(spark, sf_dir).select("work_id", "ordinal", "clean_text"))
+    """Candidate spans over ``documents``."""
+    return word_spans(doc_chapters(spark, sf_dir))
+
+
+def word_spans(chapters: DataFrame) -> DataFrame:
+    """Candidate spans of chapters: capitalised words, alone and with a lower-case successor."""
+    ch = tokens(chapters.select("work_id", "ordinal", "clean_text"))
     named = ch.select(
         "work_id", F.col("ordinal").alias("chapter_ordinal"),
         F.explode(F.filter("tokens", lambda t: t["tok"].rlike("^[A-Z][a-z]{3,}$"))).alias("t"),

@@ -24,17 +24,17 @@ def drain(query: StreamingQuery) -> None:
 def upsert_chapters(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
     """Chapter arrivals into the chapters table: same hash skipped, other hash replaced, new ones added.
 
-    Only the partitions of arriving works are read, and those of changed works rewritten. A batch that is run again finds its own
-    hashes and changes nothing, so a restart after a lost driver is safe.
+    Only the folders of arriving works are read, and what is written are the changed chapters and their keys. A batch that is run
+    again finds its own hashes and changes nothing, so a restart after a lost driver is safe.
     """
 
     def apply(batch: DataFrame, _id: int) -> None:
         arriving = cut(prep.first_per_ordinal(batch)[0].drop("src_pos"), "arriving")
-        now = store.read_works("chapters", arriving)
-        diff = prep.diff_chapters(arriving, now)
-        touched = cut(diff.filter("action IN ('added', 'updated')").select(store.bucket().alias("work_bucket")).distinct(), "touched")
-        merged = prep.upsert_chapters(arriving, now.drop("work_bucket")).withColumn("work_bucket", store.bucket())
-        store.rewrite("chapters", merged, touched)
+        diff = prep.diff_chapters(arriving, store.read_works("chapters", arriving)).filter("action IN ('added', 'updated')")
+        changed = cut(arriving.join(diff.select("work_id", "ordinal"), ["work_id", "ordinal"], "left_semi"), "changed")
+        if not changed.isEmpty():
+            store.replace("chapters", changed.select("work_id", "ordinal"), changed)
+            store.compact("chapters")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

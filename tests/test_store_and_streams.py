@@ -1,6 +1,7 @@
 """The store, the file sources, the streams and the whole build."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,99 @@ def test_a_store_knows_its_buckets(spark, store):
     assert works(again, "chapters") == [1, 2]
 
 
+def test_a_crash_leaves_the_snapshot_before(spark, store, monkeypatch):
+    seen = lambda: {t: sorted(tuple(r) for r in GraphStore(spark, store.root).rows(t).collect()) for t in TABLES}
+    before, gone = seen(), spark.createDataFrame([(1,)], "work_id long")
+    writes = [0]
+    whole = GraphStore._new
+
+    def count(self, *a, **k):
+        writes[0] += 1
+        if writes[0] == stop:
+            raise OSError("lost")
+        return whole(self, *a, **k)
+
+    for stop in range(1, 9):  # before each of its writes, of which a cascade over eight tables has eight
+        writes[0] = 0
+        monkeypatch.setattr(GraphStore, "_new", count)
+        with pytest.raises(OSError):
+            store.delete_works(gone)
+        monkeypatch.setattr(GraphStore, "_new", whole)
+        assert seen() == before
+        if stop == 4:
+            break
+    (number := store.snapshots()[-1])
+    torn = f"{store.root}/_snapshots/{number + 1:09d}.json"
+    with open(torn, "w") as f:
+        f.write('{"seq": 99, "tab')  # a writer died over it
+    assert seen() == before
+    store.delete_works(gone)
+    assert store.snapshots()[-1] == number + 2 and works(store, "nodes") == [2, 5]
+    assert sorted({r.work_id for r in store.rows("nodes", number).collect()}) == [1, 2, 5]  # an older snapshot is still there
+
+
+def test_a_change_writes_rows_in_proportion_to_itself(spark, store):
+    def files():
+        return {str(p) for p in pathlib.Path(store.root).rglob("*.parquet") if p.is_file()}
+
+    before = files()
+    new = spark.createDataFrame([(2, 1, None, "other", "h2", None)], TABLES["chapters"])
+    store.replace("chapters", new.select("work_id", "ordinal"), new)
+    added = files() - before
+    assert sum(spark.read.parquet(f).count() for f in added) == 2  # a row and its key
+    assert sorted((r.work_id, r.ordinal, r.clean_text) for r in store.rows("chapters").collect()) == [(1, 1, "text 1 1"), (1, 2, "text 1 2"), (2, 1, "other"), (2, 2, "text 2 2"), (5, 1, "text 5 1"), (5, 2, "text 5 2")]
+    assert [r.clean_text for r in store.scan("chapters", 2, ["ordinal"]).collect()] == ["other", "text 2 2"]
+
+
+def test_parts_are_merged_and_removed(spark, store):
+    for i in range(9):
+        row = spark.createDataFrame([(1, 1, None, f"v{i}", "h", None), (9, i, None, "x", "h", None)], TABLES["chapters"])
+        store.replace("chapters", row.select("work_id", "ordinal"), row)
+    want = sorted((r.work_id, r.ordinal, r.clean_text) for r in store.rows("chapters").collect())
+    assert (1, 1, "v8") in want and len(want) == 15
+    parts = len(store._parts("chapters"))
+    assert not store.compact("chapters", parts) and store.compact("chapters", 6)
+    assert len(store._parts("chapters")) < parts
+    got = lambda: sorted((r.work_id, r.ordinal, r.clean_text) for r in store.rows("chapters").collect())
+    assert got() == want
+    extra = spark.createDataFrame([(11, i, None, "y", "h", None) for i in range(40)], TABLES["chapters"])
+    for lo in (0, 30, 36):
+        store.append("chapters", extra.filter(f"ordinal >= {lo} AND ordinal < {({0: 30, 30: 36, 36: 40})[lo]}"))
+    assert store.compact("chapters", 2) and len(got()) == 55 and [r.ordinal for r in store.scan("chapters", 9, ["ordinal"]).collect()] == list(range(9))
+    store.vacuum(1)
+    assert len(got()) == 55 and len(store.snapshots()) == 1 and works(store, "edges") == [1, 2, 5]
+
+
+def test_one_writer_at_a_time(spark, store):
+    other = GraphStore(spark, store.root)
+    with pytest.raises(Exception, match="exist"):
+        with store.change():
+            store.delete_rows("nodes", spark.createDataFrame([(1,)], "work_id long"))
+            number = max(store.snapshots()) + 1
+            other.delete_rows("nodes", spark.createDataFrame([(2,)], "work_id long"))
+            store.snapshots = lambda: [number - 1]
+    assert works(other, "nodes") == [1, 5]
+
+
+def test_nodes_written_again_leak_no_edge(spark, store):
+    reveal = lambda n: sorted(r.edge_id for r in store.visible_edges(n).collect())
+    assert reveal(3) == [11, 12, 21, 22, 51, 52]
+    later = store.rows("nodes").withColumn("revealed_chapter", F.when(F.col("node_id") == 12, 9).otherwise(F.col("revealed_chapter")))
+    store.write("nodes", later)
+    assert reveal(3) == [21, 22, 51, 52] and reveal(9) == [11, 12, 21, 22, 51, 52]
+    before = store._parts("edges")
+    store.write("nodes", store.rows("nodes"))
+    assert store._parts("edges") == before  # no end changed: no edge is written
+    one = spark.createDataFrame([(21,)], "node_id long")
+    moved = store.rows("nodes").filter("node_id = 21").withColumn("revealed_chapter", F.lit(5))
+    store.replace("nodes", one, moved)
+    assert reveal(4) == [51, 52] and reveal(5) == [21, 22, 51, 52]
+    store.delete_rows("nodes", spark.createDataFrame([(52,)], "node_id long"))  # an end is gone, its edges stay but show nowhere
+    assert reveal(100) == [11, 12, 21, 22] and store.rows("edges").count() == 6
+    store.append("nodes", spark.createDataFrame([(5, 52, "Character", "n2", None, 1.0, 1, 7, "gliner", None)], TABLES["nodes"]))
+    assert reveal(6) == [21, 22] and reveal(7) == [21, 22, 51, 52]
+
+
 def test_get_or_create(spark):
     have = spark.createDataFrame([(4, "b", "B")], "work_id long, slug string, title string")
     want = spark.createDataFrame([("c", "C"), ("b", "other"), ("a", "A"), ("a", "A")], "slug string, title string")
@@ -142,6 +236,48 @@ def test_whole_build(spark, tmp_path):
     assert all(vocab.RELATION_TIER[r] == t for _, r, _, t, _ in edges)
 
 
+def graph_of(store):
+    """Entities by name with their ids, and everything else by name."""
+    names = {r.node_id: (r.work_id, r.type, r.name) for r in store.rows("nodes").collect()}
+    rest = {
+        "nodes": sorted((r.work_id, r.type, r.name, r.importance, r.first_seen_chapter, r.revealed_chapter, r.evidence) for r in store.rows("nodes").collect()),
+        "mentions": sorted((r.work_id, r.chapter_ordinal, r.ordinal, r.mention_id, r.surface, names.get(r.node_id, ())) for r in store.rows("mentions").collect()),
+        "edges": sorted((names[r.source_id], r.relation, names[r.target_id], r.tier, r.first_seen_chapter, r.revealed_chapter, r.effective_reveal) for r in store.rows("edges").collect()),
+        "chunks": sorted((r.work_id, r.chapter_ordinal, r.ordinal, r.text) for r in store.rows("chunks").collect()),
+        "works": sorted(r.work_id for r in store.rows("works").collect()),
+    }
+    return {v: k for k, v in names.items()}, rest
+
+
+def test_rebuild_of_changed_works(spark, tmp_path):
+    def chapters(rows):
+        return spark.createDataFrame([(w, o, None, t, str(hash(t)), None) for w, o, t in rows], TABLES["chapters"])
+
+    first = [(w, o, t) for w in (7, 8, 9) for o, t in STORY[:2]]
+    arriving = [(7, 1, STORY[0][1]), (7, 3, STORY[2][1]), (8, 2, "Mara and the Guild left Ashford. Prince Oren stayed."), (10, 1, STORY[0][1])]
+    last = [r for r in first if (r[0], r[1]) != (8, 2)] + arriving[1:]
+    how = {"relation_model": lambda k, m: social.cue_spans(m, k), "coref_knobs": spark.createDataFrame([(7, True, "Mara", None)], "work_id long, merge_on boolean, pov string, surfaces array<string>")}
+    s, full = GraphStore(spark, str(tmp_path / "graph"), 4), GraphStore(spark, str(tmp_path / "full"), 4)
+    build.build(s, chapters(first), lexicon_tagger, **how)
+    ids_before, _ = graph_of(s)
+    untouched = {t: sorted(tuple(r) for r in s.rows(t).filter("work_id = 9").collect()) for t in TABLES}
+    tagged = []
+    report = build.rebuild(s, chapters(arriving), lambda k: tagged.extend((r.work_id, r.chapter_ordinal) for r in k.collect()) or lexicon_tagger(k), **how)
+    assert sorted((r.work_id, r.action, r.chapters) for r in report["ingest"].collect() if r.action != "kept") == [(7, "added", 1), (7, "unchanged", 1), (8, "updated", 1), (10, "added", 1)]
+    assert {(7, 3), (8, 2), (10, 1)} == set(tagged)  # no other chapter is tagged again
+    build.build(full, chapters(last), lexicon_tagger, **how)
+    (ids, got), (_, want) = graph_of(s), graph_of(full)
+    assert got == want
+    assert untouched == {t: sorted(tuple(r) for r in s.rows(t).filter("work_id = 9").collect()) for t in TABLES}
+    stay = {k: v for k, v in ids_before.items() if k in ids}
+    assert len(stay) >= 10 and all(ids[k] == v for k, v in stay.items()) and len(set(ids.values())) == len(ids)
+    number = s.snapshots()[-1]
+    again = build.rebuild(s, chapters(arriving), lexicon_tagger, **how)
+    assert set(again) == {"ingest"} and s.snapshots()[-1] == number  # nothing new changes nothing
+    build.build(s, chapters(last), lexicon_tagger, **how)
+    assert graph_of(s) == (ids, want)  # a whole build keeps the ids too
+
+
 def test_failed_model_leaves_lower_tiers(spark, tmp_path):
     s = GraphStore(spark, str(tmp_path / "graph"), 4)
     src = spark.createDataFrame([(7, f"Chapter {r[0]}\n{r[1]}") for r in STORY], "work_id long, raw_text string")
