@@ -1,73 +1,109 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare 2-gram seeds join passages to items, then Smith-Waterman alignment of words.
 
-Every 3-gram of an item is a seed, however often it occurs. A seed in a passage puts item and passage side by side; their local
-alignment (match 1, mismatch and gap -1) over a window around the seed's diagonal scores copies with words changed, dropped or
-added. The score is the alignment's share of the item's words. Before aligning, item and passage are dropped only where too few
-of the item's words are there for the bar to be reached.
+The local alignment of an item and a passage (match 1, mismatch and gap -1) scores copies with words changed, dropped or added;
+its share of the item's words is the score. A leak reaches the item's bar b (``bar_of``, rounded up).
 
-An alignment that reaches the bar with e edits between its first and last match has more than 2 (e + 1) matches, so three in a
-row, whenever e + 2 is less than the bar: always if words were only changed or dropped. Words added after every second or third
-word of an item (about half as many as it has) may leave no seed, and such a copy is not found.
+Which seeds lose nothing: an alignment of M matches and E edits scores M - E >= b. Between neighbouring matches lie M - 1 gaps, and
+an edit spoils one of them at most, so b - 1 pairs of neighbouring words of the item stand side by side in the passage too,
+wherever words were changed, dropped or added. Of the n - 1 pairs of an item the n - b + t that are rarest in the corpus are
+seeds; t of them at least are in every leak (t = 3, or b - 1 where that is less; items of one word have that word as seed).
 
-Texts are read where they lie, once per block of items, and nothing is shuffled. Items are broadcast in blocks of at most
-``BLOCK_BYTES``, so the size of a broadcast is bounded for any benchmark.
+Passages are scanned where they lie: once to count the items' pairs over all documents, once for the places of seeds, through
+bitmaps of bounded size. What passes is joined with the seeds; documents in which t seeds of an item meet are aligned with it,
+once for each different text, in windows that hold any alignment through a seed. So a benchmark may be of any size: it is never
+collected or broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fencegraph.llm.common import small_batches
+from fencegraph.functions.lineage import cut
+from fencegraph.llm.bytewords import Bytes, mix, words_between
+from fencegraph.llm.sieve import Sieve, sieve
 
-
-N = 3
 LEAST_SCORE, LEAST_WORDS, LEAST_SHORT = 0.5, 8, 0.75
-BLOCK_BYTES = 8 << 20
+SEEDS_MET = 3
+CHUNK = 4 << 20  # bytes of text scanned at once
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _ODD = re.compile("[ -¿ -⁯　-〿]")
 # Scripts without blanks (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han): every letter or mark is a word.
 _UNPARTED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words: runs of letters and digits (and whatever else is neither ASCII nor common punctuation); single
-    characters in scripts that put no blanks between words."""
+def plain(text: str) -> bytes:
+    """Lower-cased words, parted by blanks: runs of letters and digits (and whatever else is neither ASCII nor common
+    punctuation); single characters in scripts that put no blanks between words."""
     text = text.lower()
     if not text.isascii():
         text = _UNPARTED.sub(r" \g<0> ", _ODD.sub(" ", text))
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
-def grams_of(words: list[bytes]) -> Iterator[tuple[bytes, ...]]:
-    return zip(*(words[i:] for i in range(N))) if len(words) >= N else iter([tuple(words)] if words else [])
+def words_of(text: str) -> list[bytes]:
+    return plain(text).split()
+
+
+@lru_cache(maxsize=4096)
+def _item_words(text: str) -> list[bytes]:
+    return words_of(text)
+
+
+def grams(texts: list[bytes], singles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of all pairs of neighbouring words of plain texts and, with ``singles``, of all words."""
+    b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    line = b == 10
+    start, end = words_between(line | (b == 32))
+    word = Bytes(b).hashes(start, end, 0)
+    lines = np.flatnonzero(line)
+    doc = np.searchsorted(lines, start)
+    place = np.arange(len(start)) - np.searchsorted(start, np.concatenate([[0], lines[:-1] + 1]))[doc] if len(start) else doc
+    both = np.flatnonzero(doc[1:] == doc[:-1])
+    pair = mix(word[both] * np.uint64(0x9E3779B97F4A7C15) + word[both + 1])
+    if not singles:
+        return doc[both], place[both], pair
+    return np.concatenate([doc[both], doc]), np.concatenate([place[both], place]), np.concatenate([pair, mix(~word)])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of a batch with their plain texts, about ``CHUNK`` bytes at a time."""
+    for batch in batches:
+        lo, held = 0, []
+        for i, x in enumerate(batch.column(at)):
+            held.append(plain(x.as_py() or ""))
+            if sum(map(len, held[-64:])) > CHUNK // 64 and sum(map(len, held)) >= CHUNK:
+                yield batch.slice(lo, len(held)), held
+                lo, held = i + 1, []
+        if held:
+            yield batch.slice(lo, len(held)), held
 
 
-Item = tuple[int, list[bytes]]
+def bar_of(n: int) -> float:
+    """The least score that makes a leak of an item of ``n`` words: half of them; 8 for 11 to 15, three quarters for 9 and 10
+    (one word changed), all for fewer."""
+    return float(n) if n <= LEAST_WORDS else max(LEAST_SCORE * n, min(LEAST_WORDS, LEAST_SHORT * n))
 
 
-Seeds = dict[tuple[bytes, ...], list[tuple[int, int]]]
+def _seeds_met(n: Column) -> Column:
+    """So many seeds of an item of ``n`` words meet in every leak of it, at least."""
+    return F.least(F.lit(SEEDS_MET), F.greatest(F.lit(1), _whole_bar(n) - 1))
 
 
-def seeds_of(items: list[Item]) -> Seeds:
-    """All n-grams of the items with the (place of the item, position in it) they occur at."""
-    seeds: Seeds = defaultdict(list)
-    for at, (_, words) in enumerate(items):
-        for i, g in enumerate(grams_of(words)):
-            seeds[g].append((at, i))
-    return dict(seeds)
+def _seeds_needed(n: Column) -> Column:
+    """So many of its rarest pairs are an item's seeds."""
+    return F.least(F.greatest(F.lit(1), n - 1), n - _whole_bar(n) + _seeds_met(n))
 
 
-def bar_of(n: int) -> float:
-    """The least score that makes a leak of an item of ``n`` words: half of them; 8 for 11 to 15, three quarters for 9 and 10
-    (one word changed), all for fewer."""
-    return float(n) if n <= LEAST_WORDS else max(LEAST_SCORE * n, min(LEAST_WORDS, LEAST_SHORT * n))
+def _whole_bar(n: Column) -> Column:
+    """``bar_of``, rounded up."""
+    return F.ceil(F.when(n <= LEAST_WORDS, n.cast("double")).otherwise(F.greatest(n * LEAST_SCORE, F.least(F.lit(float(LEAST_WORDS)), n * LEAST_SHORT))))
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,85 +138,148 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best // unit, w + 1 - best % unit, end
 
 
-def leaks_of(words: list[bytes], items: list[Item], seeds: Seeds) -> list[tuple[int, float, int, int]]:
-    """(item id, score, first word, word after the last) of the best alignment of each item that leaked into the words."""
-    spots: dict[int, set[int]] = defaultdict(set)
-    short = {len(g) for g in seeds} - {N}
-    runs = [grams_of(words)] if len(words) >= N else []
-    runs += [zip(*(words[i:] for i in range(n))) for n in short]
-    for run in runs:
-        for place, gram in enumerate(run):
-            if gram in seeds:
-                for at, position in seeds[gram]:
-                    spots[at].add((place - position) // max(len(items[at][1]), LEAST_WORDS))
-    out, here = [], set(words) if spots else set()
-    for at in sorted(spots):
-        name, item = items[at]
-        distinct, bar = set(item), bar_of(len(item))
-        repeats = len(item) - len(distinct)
-        if repeats + len(distinct & here) < bar:
-            continue  # a score is at most the number of the item's words that are there
-        size, slack = max(len(item), LEAST_WORDS), len(item) // 2 + 4
-        number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-        wide = 2 * size + 2 * slack
-        best = (-1, 0, 0)
-        spans = [s for s in sorted(spots[at]) if repeats + len(distinct.intersection(words[max(0, s * size - slack) : max(0, s * size - slack) + wide])) >= bar]
-        for lo in range(0, len(spans), 256):
-            windows = np.full((len(spans[lo : lo + 256]), wide), -1, np.int32)
-            begins = []
-            for row, s in enumerate(spans[lo : lo + 256]):
-                begin = max(0, s * size - slack)
-                begins.append(begin)
-                piece = words[begin : begin + wide]
-                windows[row, : len(piece)] = [number.get(w, -1) for w in piece]
-            score, first, last = align(np.array([number[w] for w in item]), windows)
-            for s, f, e, begin in zip(score.tolist(), first.tolist(), last.tolist(), begins):
-                best = max(best, (s, -(begin + f), -(begin + e)))
-        score, first, last = best[0], -best[1], -best[2]
-        if score >= bar:
-            out.append((name, score / len(item), first, last))
-    return out
-
-
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[Item]]:
-    """Items in blocks of bounded size (a single item may be larger)."""
-    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    total = sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-2 * total // BLOCK_BYTES))
-    for k in range(n):
-        rows = sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        block = [(r["i"], words_of(r["t"])) for r in sorted(rows, key=lambda r: (r["i"], r["t"]))]
-        if block := [(i, w) for i, w in block if w]:
-            yield block
+def leak_of(words: list[bytes], item: list[bytes], spots: list[int], here: set[bytes] | None = None) -> tuple[float, int, int] | None:
+    """(score, first word, word after the last) of the best alignment of an item with the words, in windows at ``spots`` (place in
+    the words less place in the item, in steps of the item's length); None below the bar."""
+    distinct, bar = set(item), bar_of(len(item))
+    repeats = len(item) - len(distinct)
+    if repeats + len(distinct & (set(words) if here is None else here)) < bar:
+        return None  # a score is at most the number of the item's words that are there
+    size, slack = step_of(len(item)), len(item) // 2 + 4  # no leak has more edits than half of the item's words
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    wide = 2 * size + 2 * slack
+    best = (-1, 0, 0)
+    spans = [s for s in sorted(spots) if repeats + len(distinct.intersection(words[max(0, s * size - slack) : max(0, s * size - slack) + wide])) >= bar]
+    for lo in range(0, len(spans), 256):
+        windows = np.full((len(spans[lo : lo + 256]), wide), -1, np.int32)
+        begins = []
+        for row, s in enumerate(spans[lo : lo + 256]):
+            begin = max(0, s * size - slack)
+            begins.append(begin)
+            piece = words[begin : begin + wide]
+            windows[row, : len(piece)] = [number.get(w, -1) for w in piece]
+        score, first, last = align(np.array([number[w] for w in item]), windows)
+        for s, f, e, begin in zip(score.tolist(), first.tolist(), last.tolist(), begins):
+            best = max(best, (s, -(begin + f), -(begin + e)))
+    return (best[0] / len(item), -best[1], -best[2]) if best[0] >= bar else None
+
+
+def step_of(n: int) -> int:
+    return max(n, LEAST_WORDS)
+
+
+_LEAKS = "array<struct<item_id:bigint,score:double,first:int,stop:int>>"
+_KEY = ["k1", "k2"]  # 128 bits of a text
+
+
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(ikey, i, t, n, grams): different items with a word, their number of words and the hashes of their pairs in order."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _chunks(batches, "t"):
+            doc, _, h = grams(texts, singles=False)
+            n = np.array([len(t.split()) for t in texts])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+            lists = [h[ends[j] : ends[j + 1]] if n[j] != 1 else grams([t], singles=True)[2] for j, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array([x.view(np.int64).tolist() for x in lists], pa.list_(pa.int64()))], names=["i", "t", "n", "grams"])
+
+    return items.mapInArrow(work, "i long, t string, n long, grams array<long>").where("n > 0").withColumn("ikey", F.monotonically_increasing_id())
+
+
+def _seeds(texts: DataFrame, items: DataFrame, singles: bool) -> DataFrame:
+    """(h, ikey, n, places): the seeds of the items by hash. Pairs are counted over all documents first."""
+    every = items.select("ikey", "n", F.posexplode("grams").alias("p", "h"))
+    sent = texts.sparkSession.sparkContext.broadcast(sieve(every.select("h").distinct(), "h"))  # a bounded bitmap
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def added() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "c"])
+
+        for _, plain_texts in _chunks(batches, "text"):
+            h = grams(plain_texts, singles)[2]
+            held.append(h[sent.value.holds(h)])
+            if sum(map(len, held)) > 1 << 21:
+                yield added()
+                held = []
+        if held:
+            yield added()
+
+    counts = texts.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rarest = Window.partitionBy("ikey").orderBy(F.coalesce("c", F.lit(0)), "p")  # pairs of one item
+    ranked = every.join(counts, "h", "left").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= _seeds_needed(F.col("n")))
+    return ranked.groupBy("h", "ikey", "n").agg(F.sort_array(F.collect_list("p")).alias("places"))
+
+
+def _places(texts: DataFrame, seeds: Sieve, singles: bool) -> DataFrame:
+    """(k1, k2, q, h): the places of seeds in texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(seeds)  # a bounded bitmap
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, plain_texts in _chunks(batches, "text"):
+            doc, place, h = grams(plain_texts, singles)
+            some = np.flatnonzero(sent.value.holds(h))
+            key = [batch.column(k).take(pa.array(doc[some])) for k in _KEY]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(place[some]), pa.array(h[some].view(np.int64))], names=[*_KEY, "q", "h"])
+
+    return texts.select(*_KEY, "text").mapInArrow(work, "k1 long, k2 long, q long, h long")
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaks of texts (text, met: array of item id, item text, spots)."""
+    for batch in batches:
+        out = []
+        for text, met in zip(batch.column("text"), batch.column("met"), strict=True):
+            words = words_of(text.as_py())
+            here, best = set(words), {}
+            for m in met.as_py():
+                if leak := leak_of(words, _item_words(m["t"]), m["spots"], here):
+                    best[m["i"]] = max(best.get(m["i"], (0.0, 0, 0)), (leak[0], -leak[1], -leak[2]))
+            out.append([{"item_id": i, "score": s, "first": -f, "stop": -e} for i, (s, f, e) in sorted(best.items())])
+        leaks = pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first", pa.int32()), ("stop", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in _KEY], leaks], names=[*_KEY, "leaks"])
+
+
+def leaks_by_text(texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(k1, k2, leaks) of the texts into which an item leaked; ``texts``: k1, k2, text."""
+    spark = texts.sparkSession
+    items = cut(_items(benchmark, item_id, item_text), "items")
+    nothing = spark.createDataFrame([], f"k1 long, k2 long, leaks {_LEAKS}")
+    if items.isEmpty():
+        return nothing
+    singles = not items.where("n = 1").isEmpty()
+    seeds = cut(_seeds(texts, items, singles), "seeds")
+    places = _places(texts, sieve(seeds.select("h").distinct(), "h", bits_per_key=128), singles).distinct()
+    met = places.join(seeds, "h").withColumn("step", F.greatest(F.col("n"), F.lit(LEAST_WORDS)))
+    met = met.select(*_KEY, "ikey", _seeds_met(F.col("n")).alias("least"), "h", F.size("places").alias("held"), F.explode(F.array_distinct(F.transform("places", lambda p: F.floor((F.col("q") - p) / F.col("step")).cast("int")))).alias("spot")).distinct()
+    cand = met.groupBy(*_KEY, "ikey").agg(F.collect_set("spot").alias("spots"), F.collect_set(F.struct("h", "held")).alias("hs"), F.first("least").alias("least"))
+    cand = cand.where(F.aggregate("hs", F.lit(0), lambda a, x: a + x["held"]) >= F.col("least")).select(*_KEY, "ikey", F.array_sort("spots").alias("spots"))
+    cand = cut(cand.join(items.select("ikey", "i", "t"), "ikey").groupBy(*_KEY).agg(F.collect_list(F.struct("i", "t", "spots")).alias("met")), "candidates")
+    once = texts.join(cand.select(*_KEY), _KEY, "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
+    found = once.join(cand, _KEY).mapInArrow(_aligned, f"k1 long, k2 long, leaks {_LEAKS}")
+    return cut(found.where(F.size("leaks") > 0), "leaks")
 
 
 def find(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, *, out: str = "leaks") -> DataFrame:
     """All columns of ``docs`` with ``out``: array<struct<item_id, score, first, stop>> in order of item id, empty for clean
-    documents (``first`` and ``stop`` count words of the document).
+    documents (``first`` and ``stop`` count words of the document; of equal alignments the one that begins first counts).
 
     Null and empty texts are clean; items without a word are in no document; items of up to eight words must be there in
-    full, longer ones by ``bar_of``. Repeated rows are answered each; an item id with several texts is found by any of them. No items, no leaks.
+    full, longer ones by ``bar_of``. Repeated rows are answered each, their text is aligned once; an item id with several texts is
+    found by any of them. No items, no leaks; an empty table stays empty. Columns of any other name stay.
     """
-    small_batches(docs.sparkSession)
     kept = docs.drop(out)
     names = [f"c{i}" for i in range(len(kept.columns))]
-    at = kept.columns.index(text)
-    done = kept.toDF(*names).withColumn("leaks", F.array().cast(_LEAKS))
-    for block in _blocks(benchmark, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast((block, seeds_of(block)))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, seeds = sent.value
-            for batch in batches:
-                rows = [[{"item_id": i, "score": s, "first": a, "stop": b} for i, s, a, b in leaks_of(words_of(x.as_py() or ""), items, seeds)] for x in batch.column(0)]
-                leaks = pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first", pa.int32()), ("stop", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], leaks], names=[*batch.schema.names[1:], "more"])
-
-        types = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip([*names, "leaks"], done.schema)] + [f"more {_LEAKS}"])
-        scanned = done.select(F.col(names[at]).alias("__t"), *names, "leaks").mapInArrow(work, types)
-        done = scanned.select(*names, F.concat("leaks", "more").alias("leaks"))
-    best = F.filter("leaks", lambda a: ~F.exists("leaks", lambda b: (b["item_id"] == a["item_id"]) & ((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["first"] < a["first"])))))
-    return done.withColumn("leaks", F.array_sort(F.array_distinct(best))).toDF(*kept.columns, out)
-
-
-_LEAKS = "array<struct<item_id:bigint,score:double,first:int,stop:int>>"
+    body = F.col(names[kept.columns.index(text)])
+    keyed = kept.toDF(*names).select(*names, *_key(body))
+    texts = kept.toDF(*names).select(*_key(body), body.alias("text")).where("text <> ''")
+    leaks = leaks_by_text(texts, benchmark, item_id, item_text)
+    none = F.array().cast(_LEAKS)
+    return keyed.join(leaks, _KEY, "left").select(*names, F.coalesce("leaks", none).alias("leaks")).toDF(*kept.columns, out)

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fencegraph.llm import decontaminate as dec
 
@@ -61,10 +63,9 @@ def test_a_passage_in_every_document_is_still_found(spark):
     assert set(find(spark, docs, [(7, passage), (8, "other words that are nowhere in any of these texts")])) == {(i, 7) for i in range(61)}
 
 
-def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
+def test_many_items_and_empty_tables(spark):
     items = [(i, " ".join(f"i{i}x{k}" for k in range(12))) for i in range(9)]
     docs = [(i, "before " + items[i][1] + " after", 0) for i in range(9)]
-    monkeypatch.setattr(dec, "BLOCK_BYTES", 400)
     assert set(find(spark, docs, items)) == {(i, i) for i in range(9)}
     assert find(spark, docs, []) == {} and find(spark, [], items) == {}
 
@@ -90,15 +91,66 @@ def test_edited_and_half_copies_without_a_verbatim_one(spark):
 
 def test_what_is_dropped_before_aligning_is_below_the_bar(monkeypatch):
     rng = random.Random(5)
-    items = [(i, [b"%d" % rng.randrange(30) for _ in range(rng.randrange(3, 30))]) for i in range(20)]
-    seeds, full = dec.seeds_of(items), dec.bar_of
+    items = [[b"%d" % rng.randrange(30) for _ in range(rng.randrange(3, 30))] for _ in range(20)]
+    full = dec.bar_of
     for _ in range(40):
         words = [b"%d" % rng.randrange(30) for _ in range(60)]
-        words[20:20] = [w for w in items[rng.randrange(20)][1] if rng.random() < 0.85]
-        monkeypatch.setattr(dec, "bar_of", lambda n: -1)
-        every = {x[0]: x for x in dec.leaks_of(words, items, seeds)}
-        monkeypatch.setattr(dec, "bar_of", full)
-        assert dec.leaks_of(words, items, seeds) == [x for i, x in sorted(every.items()) if round(x[1] * len(items[i][1])) >= full(len(items[i][1]))]
+        words[20:20] = [w for w in items[rng.randrange(20)] if rng.random() < 0.85]
+        for item in items:
+            spots = list(range(-2, len(words) // dec.step_of(len(item)) + 1))
+            monkeypatch.setattr(dec, "bar_of", lambda n: -1)
+            every = dec.leak_of(words, item, spots)
+            monkeypatch.setattr(dec, "bar_of", full)
+            assert dec.leak_of(words, item, spots) == (every if round(every[0] * len(item)) >= full(len(item)) else None)
+
+
+def edited(words, rng, how):
+    """Words changed, dropped or added, alone or after every second one."""
+    if how == "every second":
+        return [x for k, w in enumerate(words) for x in ([w, f"added{k}"] if k % 2 else [w])]
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [w] if x > how else [f"c{rng.randrange(9)}"] if x > 0.6 * how else [] if x > 0.3 * how else [w, f"c{rng.randrange(9)}"]
+    return out
+
+
+def test_every_pair_that_reaches_the_bar_is_found(spark):
+    rng = random.Random(12)
+    common = [f"w{i}" for i in range(14)]  # so that pairs of words recur in all items and texts
+    items = [[rng.choice(common) if rng.random() < 0.6 else f"i{i}x{k}" for k in range(n)] for i, n in enumerate([1, 2, 3, 5, 8, 9, 10, 11, 13, 15, 16, 20, 25, 30, 50])]
+    items += [["same"] * 12, ["a", "b"] * 10]
+    docs = []
+    for item in items:
+        for how in (0.0, 0.15, 0.25, 0.35, 0.5, "every second"):
+            docs.append([rng.choice(common) for _ in range(rng.randrange(30))] + edited(item, rng, how) + [rng.choice(common) for _ in range(rng.randrange(30))])
+    docs += [["same"] * 400, ["b", "a"] * 300, common * 3]
+    want = {}
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            number = {w: j for j, w in enumerate(dict.fromkeys(item))}
+            score = int(dec.align(np.array([number[w] for w in item]), np.array([[number.get(w, -1) for w in words]]))[0][0])
+            if score >= dec.bar_of(len(item)):
+                want[d, i] = score / len(item)
+    got = find(spark, [(d, " ".join(w), 0) for d, w in enumerate(docs)], [(i, " ".join(w)) for i, w in enumerate(items)])
+    assert {k: v[0] for k, v in got.items()} == want
+    second = [6 * i + 5 for i, item in enumerate(items) if len(item) >= 16]
+    assert all((d, d // 6) in got for d in second)  # a word added after every second one leaves no three in a row
+
+
+def test_leaks_hold_the_seeds_that_must_meet(spark):
+    rng = random.Random(3)
+    for n in range(1, 70):
+        row = spark.range(1).select(dec._seeds_needed(F.lit(n)).alias("needed"), dec._seeds_met(F.lit(n)).alias("met")).first() if n in (1, 2, 8, 9, 10, 11, 15, 16, 17, 40, 69) else None
+        if row is None:
+            continue
+        bar = math.ceil(dec.bar_of(n))
+        assert 1 <= row.met <= max(1, bar - 1) and row.met <= row.needed <= max(1, n - 1)
+        for _ in range(20 if n > 1 else 0):
+            matches = rng.randrange(bar, n + 1)
+            spoiled = rng.sample(range(matches - 1), min(matches - bar, matches - 1))  # one edit in each of these gaps
+            whole = matches - 1 - len(spoiled) - 0
+            assert whole >= bar - 1 and whole - ((n - 1) - row.needed) >= row.met
 
 
 def test_short_items_and_scripts_without_blanks(spark):
