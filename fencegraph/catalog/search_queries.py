@@ -11,13 +11,15 @@ from fencegraph.catalog.entity_queries import chapters
 from fencegraph.catalog.prep_queries import CHUNKS
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions import text as X
-from fencegraph.functions.lineage import stored
+from fencegraph.functions.lineage import scratch, stored
 from fencegraph.operators import entities as E
 from fencegraph.operators import fence
 from fencegraph.operators import prep as P
 from fencegraph.operators import search as S
 from fencegraph.plans import build
 from fencegraph.sources import adaptors as A
+from fencegraph.sources.store import GraphStore
+from fencegraph.sources.vector_index import VectorIndex
 
 R = Registry()
 COS = "CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0 THEN list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) ELSE 0 END"
@@ -93,6 +95,49 @@ def replaced_works(spark: SparkSession, d: str) -> DataFrame:
     return S.replace_works(v, v.filter("work_id % 2 = 0 AND chapter_ordinal <= 10")).groupBy("work_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+# ------------------------------------------------------------------ stored index
+
+
+def stored_index(spark: SparkSession, d: str) -> VectorIndex:
+    index = VectorIndex(GraphStore(spark, scratch(spark, "index"), 8))
+    index.build(as_chunks(A.vector_chunks(spark, d)))
+    return index
+
+
+def as_chunks(v: DataFrame) -> DataFrame:
+    return v.select("work_id", "chunk_id", "chapter_ordinal", F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), F.lit("stored").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@R.add(
+    "f7_changed_index",
+    query([VECTORS], """SELECT work_id, count(*) AS chunks, count(*) FILTER (chunk_id % 7 = 0) AS fresh, CAST(sum(chunk_id) AS BIGINT) AS id_sum FROM vec
+    WHERE work_id % 4 <> 0 AND chapter_ordinal % 5 <> 0 AND (work_id % 4 <> 1 OR chapter_ordinal <= 10 OR chunk_id % 7 = 0) GROUP BY ALL"""),
+)
+def changed_index(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index after works were replaced by their first chapters, chunks upserted, works and chapters deleted."""
+    v = as_chunks(A.vector_chunks(spark, d))
+    index = stored_index(spark, d)
+    some = v.filter("work_id % 4 = 1")
+    index.replace_works(some.filter("chapter_ordinal <= 10"), some.select("work_id").distinct())
+    index.upsert(v.filter("chunk_id % 7 = 0").withColumn("text", F.lit("fresh")))
+    index.store.delete_works(v.filter("work_id % 4 = 0").select("work_id"))
+    index.store.delete_chapters(v.filter("chapter_ordinal % 5 = 0").select("work_id", F.col("chapter_ordinal").alias("ordinal")))
+    rows = index.store.rows("vectors")
+    return rows.groupBy("work_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("text") == "fresh").alias("fresh"), F.sum("chunk_id").alias("id_sum"))
+
+
+@R.add("f6_index_recall", query([VECTORS, RANKED], "SELECT q.work_id, count(DISTINCT q.chunk_id) AS queries, count(t.chunk_id) AS sought, true AS recall_reached FROM vec q LEFT JOIN tp t ON t.q_id = q.chunk_id GROUP BY ALL"))
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the stored index against exact ones, work by work: nine tenths of them are found."""
+    v = as_chunks(A.vector_chunks(spark, d))
+    asked = vector_queries(v)
+    exact = S.top_k(asked, v, 5).select("work_id", "q_id", "chunk_id")
+    met = stored_index(spark, d).top_k(asked, 5).select("work_id", "q_id", "chunk_id", F.lit(1).alias("met"))
+    per = exact.join(met, ["work_id", "q_id", "chunk_id"], "left").groupBy("work_id").agg(F.count(F.lit(1)).alias("sought"), F.count("met").alias("found"))
+    every = asked.groupBy("work_id").agg(F.count(F.lit(1)).alias("queries"))
+    return every.join(per, "work_id").select("work_id", "queries", "sought", (F.col("found") >= 0.9 * F.col("sought")).alias("recall_reached"))
+
+
 # ------------------------------------------------------------------ text chunks
 
 SLOTS = """

@@ -115,6 +115,11 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str], block:
     return flat
 
 
+def best_in_blocks(queries: DataFrame, chunks: DataFrame, k: int, on: list[str]) -> DataFrame:
+    """(q_id, work_id, chunk_id, score): the ``k`` best of each query and block among fenced chunks that agree on ``on``."""
+    return _search(queries, chunks, k, on, None)
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, block: Column | None = None) -> DataFrame:
     """Exact fenced top-k of many queries: (q_id, work_id, chunk_id, score, rank).
 

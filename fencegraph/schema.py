@@ -27,5 +27,9 @@ TABLES: dict[str, str] = {
     ),
 }
 
-# Tables that only the store and the build use: the ids that entities keep over rebuilds.
-INTERNAL: dict[str, str] = {"node_ids": "work_id long, type string, norm string, node_id long"}
+# Tables beside the model: the ids that entities keep over rebuilds, and the vector index.
+INTERNAL: dict[str, str] = {
+    "node_ids": "work_id long, type string, norm string, node_id long",
+    "vectors": "work_id long, chunk_id long, chapter_ordinal int, char_start int, char_end int, text string, embedding array<double>, cell int",
+    "centroids": "work_id long, cell int, visits int, centroid array<double>",
+}

@@ -26,7 +26,8 @@ from fencegraph.functions.lineage import cut
 from fencegraph.operators.fence import visible_edges, with_effective_reveal
 from fencegraph.schema import INTERNAL, STORED, TABLES
 
-CHAPTER_DEPENDENTS = ["chunks", "mentions"]
+CHAPTER_DEPENDENTS = ["chunks", "mentions", "vectors"]
+LAYOUT = {"edges": ["tier", "work_bucket"], "vectors": ["cell"]}  # folders by what is read or rewritten together; else by bucket
 ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 4096
 PARTS = 12  # of a table, above which ``compact`` merges
 
@@ -105,7 +106,7 @@ class GraphStore:
         return ", ".join([(TABLES | INTERNAL)[table], *([STORED[table]] if table in STORED else [])])
 
     def _layout(self, table: str) -> list[str]:
-        return ["tier", "work_bucket"] if table == "edges" else ["work_bucket"]
+        return LAYOUT.get(table, ["work_bucket"])
 
     def _new(self, table: str, **more: object) -> Part:
         self._open["seq"] += 1  # parts of one change follow each other too
@@ -118,6 +119,8 @@ class GraphStore:
         placed = typed.withColumn("work_bucket", F.pmod("work_id", F.lit(buckets)).cast("int"))
         # rebalance: one writer per folder, and a bucket that is too large is split over several
         placed = placed.hint("rebalance", *self._layout(table))
+        if "work_bucket" not in self._layout(table):
+            placed = placed.sortWithinPartitions(*self._layout(table), "work_id")
         if table in STORED:  # row groups then cover few positions each, which a fence skips by their statistics
             placed = placed.sortWithinPartitions(*self._layout(table), "effective_reveal")
         part = self._new(table, buckets=buckets)
