@@ -58,24 +58,40 @@ def streamed_chapters(spark: SparkSession, d: str) -> DataFrame:
 def running_entities(spark: SparkSession, d: str) -> DataFrame:
     """Late days arrive first, so earlier days lower what was emitted."""
     e = A.table(spark, d, "events").select(F.col("user_id").alias("work_id"), F.col("event_type").alias("entity"), F.dayofmonth("ts").alias("chapter"))
-    inbox, offsets, out = scratch(spark, "inbox"), scratch(spark, "offsets"), scratch(spark, "entities")
+    inbox, offsets, store = scratch(spark, "inbox"), scratch(spark, "offsets"), GraphStore(spark, scratch(spark, "store"), 8)
     for part in (e.filter("chapter > 15"), e.filter("chapter <= 15")):
         part.write.mode("append").parquet(inbox)
-        ST.drain(ST.running_entities(ST.file_stream(spark, inbox, "work_id long, entity string, chapter int"), out, offsets))
-    return ST.latest_entities(spark, out)
+        ST.drain(ST.running_entities(ST.file_stream(spark, inbox, "work_id long, entity string, chapter int"), store, offsets))
+    return store.rows("running_entities")
+
+
+def streamed_mentions(spark: SparkSession, d: str) -> GraphStore:
+    """Linked mentions as a stream of three deliveries: of each chapter every other mention, with an older version of every third
+    chapter beside it; then the others, and some for the second time; then every fourth chapter whole in a newer version, which
+    at first had come with its offsets shifted, together with what an outdated version says."""
+    m = linked(spark, d).select("work_id", "chapter_ordinal", F.lit(1).cast("long").alias("version"), "mention_id", "node_id", "node_type", "char_start", "char_end")
+    old = m.filter("chapter_ordinal % 3 = 0").withColumn("version", F.lit(0).cast("long")).withColumn("char_start", F.col("char_start") * 2).withColumn("char_end", F.col("char_end") * 2)
+    again = m.filter("chapter_ordinal % 4 = 0")
+    wrong = again.withColumn("node_id", F.col("node_id") + F.col("mention_id") % 7).withColumn("char_start", F.col("char_start") + 5)
+    right = again.withColumn("version", F.lit(2).cast("long"))
+    plain = m.filter("chapter_ordinal % 4 <> 0")
+    inbox, offsets, store = scratch(spark, "inbox"), scratch(spark, "offsets"), GraphStore(spark, scratch(spark, "store"), 8)
+    for part in (plain.filter("mention_id % 2 = 0").unionByName(old).unionByName(wrong), plain.filter("mention_id % 2 = 1 OR mention_id % 5 = 0"), right.unionByName(old)):
+        part.write.mode("append").parquet(inbox)
+        ST.drain(ST.chapter_statistics(ST.file_stream(spark, inbox, ST.ARRIVING), store, offsets))
+    return store
 
 
 @R.add("s3_streamed_pairs", query([*ENTITY_CTES, PAIRS, ACC], "SELECT work_id, lo, hi, cooccurrences, chapter FROM ac"))
 def streamed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    m = linked(spark, d)
-    inbox, offsets, out = scratch(spark, "inbox"), scratch(spark, "offsets"), scratch(spark, "deltas")
-    schema = "work_id long, chapter_ordinal int, mention_id long, node_id long, node_type string, char_start int, char_end int"
-    cols = [c.split()[0] for c in schema.split(", ")]
-    for part in (m.filter("chapter_ordinal % 2 = 0"), m.filter("chapter_ordinal % 2 = 1")):
-        part.select(*cols).write.mode("append").parquet(inbox)
-        ST.drain(ST.pair_deltas(ST.file_stream(spark, inbox, schema), out, offsets))
-    deltas = spark.read.schema("work_id long, lo long, hi long, cooccurrences long, chapter int, batch int").parquet(out)
-    return ST.pair_totals(deltas)
+    """Chapters in parts, delivered twice and replaced: the pairs are those of one batch."""
+    return ST.pair_totals(streamed_mentions(spark, d).rows("chapter_pairs"))
+
+
+@R.add("s2_retracted_entities", query(ENTITY_CTES, "SELECT work_id, node_id, count(*) AS mentions, min(chapter_ordinal) AS first_seen_chapter FROM lm WHERE node_id IS NOT NULL GROUP BY ALL"))
+def retracted_entities(spark: SparkSession, d: str) -> DataFrame:
+    """First chapters and counts after chapters were replaced; what the replaced versions had counted is taken back."""
+    return ST.entity_totals(streamed_mentions(spark, d).rows("chapter_entities"))
 
 
 @R.add("s4_without_repeats", "SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(DISTINCT 1) AS deliveries FROM events GROUP BY ALL")

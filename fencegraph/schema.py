@@ -27,9 +27,12 @@ TABLES: dict[str, str] = {
     ),
 }
 
-# Tables beside the model: the ids that entities keep over rebuilds, and the vector index.
+# Tables beside the model: the ids that entities keep over rebuilds, the vector index, and what streams keep up to date.
 INTERNAL: dict[str, str] = {
     "node_ids": "work_id long, type string, norm string, node_id long",
     "vectors": "work_id long, chunk_id long, chapter_ordinal int, char_start int, char_end int, text string, embedding array<double>, cell int",
+    "running_entities": "work_id long, entity string, first_seen_chapter int, mentions long",
+    "chapter_entities": "work_id long, chapter_ordinal int, node_id long, mentions long",
+    "chapter_pairs": "work_id long, chapter_ordinal int, lo long, hi long, cooccurrences long",
     "centroids": "work_id long, cell int, visits int, centroid array<double>",
 }

@@ -26,7 +26,7 @@ from fencegraph.functions.lineage import cut
 from fencegraph.operators.fence import visible_edges, with_effective_reveal
 from fencegraph.schema import INTERNAL, STORED, TABLES
 
-CHAPTER_DEPENDENTS = ["chunks", "mentions", "vectors"]
+CHAPTER_DEPENDENTS = ["chunks", "mentions", "vectors", "chapter_entities", "chapter_pairs"]
 LAYOUT = {"edges": ["tier", "work_bucket"], "vectors": ["cell"]}  # folders by what is read or rewritten together; else by bucket
 ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 4096
 PARTS = 12  # of a table, above which ``compact`` merges

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fencegraph.functions.lineage import cut
 from fencegraph.operators import prep
@@ -39,37 +45,92 @@ def upsert_chapters(stream: DataFrame, store: GraphStore, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_entities(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """First chapter and mention count per (work, entity) in update mode; a late earlier chapter lowers the first."""
+def running_entities(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
+    """First chapter and mention count per (work, entity) in update mode; a late earlier chapter lowers the first. The rows that
+    a batch changed replace those of before in the table ``running_entities``, so neither table nor reads grow with batches."""
     stats = stream.groupBy("work_id", "entity").agg(F.min("chapter").alias("first_seen_chapter"), F.count(F.lit(1)).alias("mentions"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def write(batch: DataFrame, _id: int) -> None:
+        now = cut(batch, "entities")
+        store.replace("running_entities", now.select("work_id", "entity"), now)
+        store.compact("running_entities")
 
     return stats.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_entities(spark: SparkSession, out: str) -> DataFrame:
-    """The last emitted row per key."""
-    rows = spark.read.schema("work_id long, entity string, first_seen_chapter int, mentions long, batch int").parquet(out)
-    last = F.max_by(F.struct("first_seen_chapter", "mentions"), "batch")
-    return rows.groupBy("work_id", "entity").agg(last.alias("v")).select("work_id", "entity", "v.*")
+ARRIVING = "work_id long, chapter_ordinal int, version long, mention_id long, node_id long, node_type string, char_start int, char_end int"
+_HELD = ["mention_id", "node_id", "node_type", "char_start", "char_end"]
+
 
+def whole_chapters(stream: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """Linked mentions (``ARRIVING``) in any order and number -> all mentions of each chapter that changed.
 
-def pair_deltas(stream: DataFrame, out: str, checkpoint: str, window: int = T1.WINDOW) -> StreamingQuery:
-    """Co-occurrence totals of each batch of linked mentions; chapters arrive whole, and pairs never leave a chapter.
+    The state of a chapter are its newest version and the mentions delivered of it. A chapter may come in parts over many
+    batches; a mention delivered again changes nothing; a higher version takes the place of all mentions of lower ones, which are
+    ignored from then on. A version without mentions comes, and is answered, as one row without a mention id. With
+    ``keep`` the state of a chapter that brings nothing for so long is dropped, and what comes after that is a chapter of its own;
+    such a stream needs a trigger by time, as Spark runs it on for the sake of its clock.
+    """
 
-    The folder of a batch is overwritten when the batch is run again.
+    def merge(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        version, text = state.get if state.exists else (None, "[]")
+        held = {row[0]: row for row in json.loads(text)}
+        before = (version, dict(held))
+        for part in parts:
+            newest = int(part["version"].max())
+            if version is None or newest > version:
+                version, held = newest, {}
+            now = part[part["version"] == version]
+            for row in now[now["mention_id"].notna()][_HELD].astype(object).where(lambda x: x.notna(), None).values.tolist():
+                row = [x if x is None or isinstance(x, str) else int(x) for x in row]
+                held[row[0]] = row
+        state.update((version, json.dumps(list(held.values()))))
+        if keep is not None:
+            state.setTimeoutDuration(int(keep.total_seconds() * 1000))
+        if (version, held) != before:
+            rows = list(held.values()) or [[None] * len(_HELD)]
+            out = pd.DataFrame(rows, columns=_HELD).astype({c: "Int64" for c in _HELD if c != "node_type"})
+            out.insert(0, "version", version)
+            out.insert(0, "chapter_ordinal", _key[1])
+            out.insert(0, "work_id", _key[0])
+            yield out
+
+    return stream.groupBy("work_id", "chapter_ordinal").applyInPandasWithState(merge, ARRIVING, "version long, mentions string", "update", GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def chapter_statistics(stream: DataFrame, store: GraphStore, checkpoint: str, window: int = T1.WINDOW) -> StreamingQuery:
+    """Mentions per entity and co-occurrences per pair of each chapter, kept in ``chapter_entities`` and ``chapter_pairs``.
+
+    Pairs never leave a chapter, so a chapter that changed takes back all that it had counted: its rows are replaced, in one step
+    for both tables. A batch that is run again replaces them by the same.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        T1.accumulate_pairs(T1.band_pairs(batch, window)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def write(batch: DataFrame, _id: int) -> None:
+        now = cut(batch, "chapters")
+        if now.isEmpty():
+            return
+        keys = now.select("work_id", "chapter_ordinal").distinct()
+        linked = now.filter("node_id IS NOT NULL")
+        counted = linked.groupBy("work_id", "chapter_ordinal", "node_id").agg(F.count(F.lit(1)).alias("mentions"))
+        pairs = T1.band_pairs(linked, window).groupBy("work_id", "chapter_ordinal", F.least("a_node_id", "b_node_id").alias("lo"), F.greatest("a_node_id", "b_node_id").alias("hi"))
+        with store.change():
+            store.replace("chapter_entities", keys, counted)
+            store.replace("chapter_pairs", keys, pairs.agg(F.count(F.lit(1)).alias("cooccurrences")))
+        for table in ("chapter_entities", "chapter_pairs"):
+            store.compact(table)
+
+    return whole_chapters(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def pair_totals(per_chapter: DataFrame) -> DataFrame:
+    return per_chapter.groupBy("work_id", "lo", "hi").agg(F.sum("cooccurrences").alias("cooccurrences"), F.min("chapter_ordinal").alias("chapter"))
 
 
-def pair_totals(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("work_id", "lo", "hi").agg(F.sum("cooccurrences").alias("cooccurrences"), F.min("chapter").alias("chapter"))
+def entity_totals(per_chapter: DataFrame) -> DataFrame:
+    return per_chapter.groupBy("work_id", "node_id").agg(F.sum("mentions").alias("mentions"), F.min("chapter_ordinal").alias("first_seen_chapter"))
 
 
 def without_repeats(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from fencegraph import config, vocab
 from fencegraph.catalog import stream_queries
 from fencegraph.operators import prep as P
+from fencegraph.operators import relations as T1
 from fencegraph.operators import social
 from fencegraph.plans import build
 from fencegraph.schema import TABLES
@@ -199,6 +201,38 @@ def test_streamed_chapters_are_idempotent(spark, tmp_path):
     assert sorted((r.work_id, r.ordinal, r.clean_text) for r in s.rows("chapters").collect()) == [(1, 1, "new"), (1, 2, "y"), (2, 1, "x")]
 
 
+def test_chapters_in_parts_repeated_and_replaced(spark, tmp_path):
+    """Against counting the newest versions in one batch, after every delivery."""
+    rng = random.Random(6)
+    store, inbox, offsets = GraphStore(spark, str(tmp_path / "store"), 2), str(tmp_path / "inbox"), str(tmp_path / "offsets")
+    newest, sizes = {}, []
+    for batch in range(4):
+        rows = []
+        for w in (1, 2):
+            for c in (1, 2, 3):
+                version = rng.choice([batch // 2, batch // 2, max(0, batch - 3)])
+                part = [(i, rng.choice([10, 11, 12, None]) if i % 3 else 10 + i % 4, "Character", 40 * i, 40 * i + 9) for i in rng.sample(range(30), rng.randrange(0, 9))]
+                rows += [(w, c, version, *p) for p in part] * rng.choice([1, 2])
+                if not part and version == 1:
+                    rows.append((w, c, version, None, None, None, None, None))
+                have = newest.get((w, c))
+                if (part or version == 1) and (have is None or version > have[0]):
+                    have = newest[w, c] = (version, {})
+                if have is not None and version == have[0]:
+                    have[1].update({p[0]: p for p in part})
+        spark.createDataFrame(rows, ST.ARRIVING).coalesce(1).write.mode("append").parquet(inbox)
+        ST.drain(ST.chapter_statistics(ST.file_stream(spark, inbox, ST.ARRIVING), store, offsets))
+        whole = spark.createDataFrame([(w, c, v, *p) for (w, c), (v, held) in newest.items() for p in held.values()], ST.ARRIVING)
+        want = T1.accumulate_pairs(T1.band_pairs(whole)).select("work_id", "lo", "hi", "cooccurrences", "chapter")
+        got = ST.pair_totals(store.rows("chapter_pairs"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        counted = ST.entity_totals(store.rows("chapter_entities"))
+        expected = whole.filter("node_id IS NOT NULL").groupBy("work_id", "node_id").agg(F.count("*").alias("mentions"), F.min("chapter_ordinal").alias("first"))
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, expected.collect()))
+        sizes.append(store.rows("chapter_pairs").count())
+    assert max(sizes) <= 6 * 6  # pairs of four entities in six chapters, however many batches
+
+
 STORY = [
     (1, "Mara moved through Ashford. Mara hated the heron banners of Ashford.", ),
     (2, "Mara serves the Guild in Ashford. Then Mara found Prince Oren drowned."),
