@@ -23,7 +23,7 @@ from fencegraph.functions.ranking import top_rows
 from fencegraph.llm.common import small_batches
 
 UNKNOWN = "und"
-CORE, WARM, LANES = 992, 16, 512
+CORE, WARM, LANES = 992, 16, 256
 PAD = 256  # symbol beside the 256 byte values: before and after a text
 
 
