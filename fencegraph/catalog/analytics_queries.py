@@ -77,7 +77,7 @@ def view_counts(spark: SparkSession, d: str) -> DataFrame:
     "g5_neighbourhoods",
     query(
         CTES,
-        """, f AS (SELECT work_id, node_id FROM vn WHERE type = 'Organization'),
+        """, f AS (SELECT work_id, node_id FROM vn),
         a AS (SELECT source_id AS u, target_id AS v, edge_id FROM col UNION ALL SELECT target_id, source_id, edge_id FROM col),
         h AS (SELECT DISTINCT f.work_id, f.node_id AS focus_id, 'node' AS kind, a.v AS id FROM f JOIN a ON a.u = f.node_id
           UNION SELECT f.work_id, f.node_id, 'edge', a.edge_id FROM f JOIN a ON a.u = f.node_id UNION SELECT work_id, node_id, 'node', node_id FROM f)
@@ -86,7 +86,7 @@ def view_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
     vn, ve = payload(spark, d)
-    hood = G.neighbourhood(vn.filter("type = 'Organization'"), ve)
+    hood = G.neighbourhood(vn, ve)
     return hood.groupBy("work_id", "focus_id", "kind").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -147,9 +147,9 @@ cx AS (SELECT work_id, source_id AS node_id, target_id AS neighbor_id, edge_id,
   UNION ALL SELECT work_id, target_id, source_id, edge_id, relation, tier, revealed_chapter, false FROM col WHERE source_id <> target_id)"""
 
 
-@R.add("g8_connections", query([*CTES, CONN], "SELECT c.work_id, c.node_id, c.edge_id, c.neighbor_id, n.name AS label, n.type AS neighbor_type, relation, tier, chapter, outgoing FROM cx c JOIN vn n ON n.node_id = c.neighbor_id"))
+@R.add("g8_connections", query([*CTES, CONN], "SELECT c.work_id, c.node_id, c.edge_id, c.neighbor_id, n.name AS label, n.type AS neighbor_type, relation, tier, chapter, outgoing, row_number() OVER (PARTITION BY c.work_id, c.node_id ORDER BY tier DESC, chapter, n.name, c.edge_id) AS place FROM cx c JOIN vn n ON n.node_id = c.neighbor_id"))
 def connections(spark: SparkSession, d: str) -> DataFrame:
-    return G.connections(*payload(spark, d)).drop("relation_label", "step_label")
+    return G.in_list_order(G.connections(*payload(spark, d))).drop("relation_label", "step_label")
 
 
 @R.add("g9_last_links", query([*CTES, CONN], "SELECT work_id, node_id, max(chapter) AS last_link FROM cx GROUP BY ALL"))

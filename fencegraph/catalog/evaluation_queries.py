@@ -56,13 +56,13 @@ def scores_by_kind(spark: SparkSession, d: str) -> DataFrame:
     query(
         [LABELLED],
         f""", t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold),
-        c AS (SELECT threshold, count(*) FILTER (g AND s >= threshold) AS tp, count(*) FILTER (NOT g AND s >= threshold) AS fp, count(*) FILTER (g AND s < threshold) AS fn FROM lb, t WHERE kind = 'quality' GROUP BY ALL)
+        c AS (SELECT kind, threshold, count(*) FILTER (g AND s >= threshold) AS tp, count(*) FILTER (NOT g AND s >= threshold) AS fp, count(*) FILTER (g AND s < threshold) AS fn FROM lb, t GROUP BY ALL)
         SELECT *, {SCORES} FROM c""",
     ),
 )
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    x = labelled(spark, d).filter("kind = 'quality'")
-    return H.threshold_sweep(x.filter("g"), x, ["doc_id"], "s")
+    x = labelled(spark, d)
+    return H.threshold_sweep(x.filter("g"), x, ["doc_id", "kind"], "s", by=["kind"])
 
 
 # ------------------------------------------------------------------ triples of the document graph
@@ -242,9 +242,12 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_keys(A.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@R.add("h11_dangling_references", query(STAR_CTES, "SELECT work_id, edge_id, source_id FROM sedges WHERE source_id NOT IN (SELECT node_id FROM snodes WHERE node_id % 11 <> 0)"))
+@R.add("h11_dangling_references", query(STAR_CTES, ", k AS (SELECT node_id FROM snodes WHERE node_id % 11 <> 0) SELECT work_id, edge_id, 'source' AS which, source_id AS node_id FROM sedges WHERE source_id NOT IN (FROM k) UNION ALL SELECT work_id, edge_id, 'target', target_id FROM sedges WHERE target_id NOT IN (FROM k)"))
 def dangling(spark: SparkSession, d: str) -> DataFrame:
-    return quality.dangling(star_edges(spark, d), "source_id", star_nodes(spark, d).filter("node_id % 11 <> 0"), "node_id").select("work_id", "edge_id", "source_id")
+    """Both ends of every edge."""
+    kept = star_nodes(spark, d).filter("node_id % 11 <> 0")
+    end = lambda which: quality.dangling(star_edges(spark, d), f"{which}_id", kept, "node_id").select("work_id", "edge_id", F.lit(which).alias("which"), F.col(f"{which}_id").alias("node_id"))
+    return end("source").unionByName(end("target"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -74,15 +74,15 @@ def visible_properties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detail_requests(nodes: DataFrame) -> DataFrame:
-    """One request per character, at a position that depends on the character."""
-    return nodes.filter("type = 'Character'").select("work_id", "node_id", (F.col("node_id") % 80).cast("int").alias("n"))
+    """One request per entity, at a position that depends on the entity."""
+    return nodes.select("work_id", "node_id", (F.col("node_id") % 80).cast("int").alias("n"))
 
 
 @R.add(
     "e5_entity_details",
     query(
         [*STAR_CTES, STAR_PROPS],
-        """, req AS (SELECT work_id, node_id, CAST(node_id % 80 AS INTEGER) AS n, revealed_chapter FROM snodes WHERE type = 'Character'),
+        """, req AS (SELECT work_id, node_id, CAST(node_id % 80 AS INTEGER) AS n, revealed_chapter FROM snodes),
         rq AS (SELECT work_id, node_id, n FROM req WHERE revealed_chapter <= n),
         parts AS (SELECT work_id, node_id, n, 'node' AS part, node_id AS id FROM rq
           UNION ALL SELECT r.work_id, r.node_id, r.n, 'edge', e.edge_id FROM rq r JOIN seff e ON (e.source_id = r.node_id OR e.target_id = r.node_id) AND e.effective_reveal <= r.n

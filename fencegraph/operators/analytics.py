@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fencegraph import vocab
 from fencegraph.functions.lineage import cut
+from fencegraph.functions.ranking import number_rows
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def isolate_type(nodes: DataFrame, edges: DataFrame, node_type: str) -> tuple[Da
 
 
 def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connection list of every node, with its place in the list order (tier desc, chapter, label)."""
+    """Connection list of every node, in no order (see ``in_list_order``)."""
     both = F.array(
         F.struct(F.col("source_id").alias("node_id"), F.col("target_id").alias("neighbor_id"), F.lit(True).alias("outgoing")),
         F.struct(F.col("target_id").alias("node_id"), F.col("source_id").alias("neighbor_id"), F.lit(False).alias("outgoing")),
@@ -78,6 +79,12 @@ def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def in_list_order(conns: DataFrame) -> DataFrame:
+    """Add ``place``, from 1, in the list of the node: highest tier first, then by chapter, label and edge. A hub's list is numbered by
+    tier and chapter, never sorted whole."""
+    return number_rows(conns, ["work_id", "node_id"], (F.lit(9) - F.col("tier")) * F.lit(1 << 32) + F.col("chapter"), [F.col("label"), F.col("edge_id")], "place")
+
+
 def last_links(conns: DataFrame) -> DataFrame:
     return conns.groupBy("work_id", "node_id").agg(F.max("chapter").alias("last_link"))
 

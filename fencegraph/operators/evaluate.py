@@ -72,14 +72,15 @@ def pair_coverage(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ()) ->
     return g.join(p, [*keys, "lo", "hi"], "left").agg(F.count(F.lit(1)).alias("gold_pairs"), F.count_if(F.col("__c").isNotNull()).alias("covered"))
 
 
-def threshold_sweep(gold: DataFrame, scored: DataFrame, keys: Sequence[str], score: str = "score", thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """Scores at every threshold from one scored table: a candidate's best score decides where it counts."""
+def threshold_sweep(gold: DataFrame, scored: DataFrame, keys: Sequence[str], score: str = "score", thresholds: Sequence[float] = THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
+    """Scores at every threshold, of the whole or of each value of the keys ``by``, from one scored table: a candidate's best score
+    decides where it counts."""
     best = scored.groupBy(*keys).agg(F.max(score).alias("s"))
     m = gold.select(*keys).distinct().withColumn("g", F.lit(True)).join(best, list(keys), "full_outer")
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    x = m.select(F.coalesce("g", F.lit(False)).alias("g"), "s", F.explode(levels).alias("threshold"))
+    x = m.select(*by, F.coalesce("g", F.lit(False)).alias("g"), "s", F.explode(levels).alias("threshold"))
     x = x.withColumn("p", F.coalesce(F.col("s") >= F.col("threshold"), F.lit(False)))
-    return with_scores(x.groupBy("threshold").agg(*_counts()))
+    return with_scores(x.groupBy(*by, "threshold").agg(*_counts()))
 
 
 def timing_verdict(first_yes: Column, gold: Column) -> Column:

@@ -12,9 +12,9 @@ from fencegraph.functions.ranking import running_total
 
 
 def position(n: int | Column) -> Column:
-    """A reading position is mandatory and an integer >= 0; checked before a plan exists."""
+    """A reading position is mandatory and an integer >= 0: a number is checked before a plan exists, a column row by row."""
     if isinstance(n, Column):
-        return n
+        return F.when(n >= 0, n.cast("long")).otherwise(F.raise_error(F.lit("reading position must be an integer >= 0")).cast("long"))
     if isinstance(n, bool) or not isinstance(n, int) or n < 0:
         raise ValueError(f"reading position must be an integer >= 0, got {n!r}")
     return F.lit(n)
@@ -123,7 +123,7 @@ def entity_details(requests: DataFrame, nodes: DataFrame, edges: DataFrame, prop
     properties. An entity that is unrevealed at N gives no row. Edges need ``effective_reveal``.
     """
     seen = requests.join(nodes.select("work_id", "node_id", "revealed_chapter"), ["work_id", "node_id"]).filter(
-        F.col("revealed_chapter") <= F.col("n")
+        F.col("revealed_chapter") <= position(F.col("n"))
     ).drop("revealed_chapter")
     cols = ["work_id", "node_id", "n"]
     own = seen.select(*cols, F.lit("node").alias("part"), F.col("node_id").alias("id"))

@@ -53,16 +53,16 @@ def offset_violations(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def merge_stamps(before: DataFrame, after: DataFrame, canon: DataFrame) -> DataFrame:
-    """Per work: edges after a merge, and those whose reveal is not the minimum of their sources."""
+    """Per work: edges after a merge, and those one of whose stamps (reveal, first seen) is not the minimum of their sources."""
     to = canon.select(F.col("node_id").alias("__j"), F.col("pov_id").alias("__p"))
     m = before.join(to.select(F.col("__j").alias("source_id"), F.col("__p").alias("__s")), "source_id", "left")
     m = m.join(to.select(F.col("__j").alias("target_id"), F.col("__p").alias("__t")), "target_id", "left")
     key = ["work_id", "source_id", "target_id", "relation", "tier"]
     low = m.withColumn("source_id", F.coalesce("__s", "source_id")).withColumn("target_id", F.coalesce("__t", "target_id")).groupBy(*key).agg(
-        F.min("revealed_chapter").alias("lowest")
+        F.min("revealed_chapter").alias("lowest"), F.min("first_seen_chapter").alias("__first")
     )
     return after.join(low, key, "left").groupBy("work_id").agg(
-        F.count(F.lit(1)).alias("merged_edges"), F.count_if(~F.col("lowest").eqNullSafe(F.col("revealed_chapter"))).alias("violations")
+        F.count(F.lit(1)).alias("merged_edges"), F.count_if(~F.col("lowest").eqNullSafe(F.col("revealed_chapter")) | ~F.col("__first").eqNullSafe(F.col("first_seen_chapter"))).alias("violations")
     )
 
 

@@ -261,3 +261,21 @@ def test_numbering_of_a_hot_key(spark):
         assert len(got) == 900 and all(r.no == want[(r.k, r.v)] for r in got)
     total = running_total(df.filter("k = 1"), ["k"], "v", "v", "t", block=16).collect()
     assert all(r.t == sum(v for k, v in rows if k == 1 and v <= r.v) for r in total)
+
+
+def test_position_columns_are_checked(spark):
+    nodes = spark.createDataFrame([(1, 10, 2)], "work_id long, node_id long, revealed_chapter int")
+    asked = lambda n: fence.visible_nodes(nodes.withColumn("n", F.lit(n).cast("int")), F.col("n")).collect()
+    assert len(asked(2)) == 1 and asked(1) == []
+    for wrong in (-1, None):
+        with pytest.raises(Exception, match="reading position"):
+            asked(wrong)
+
+
+def test_connections_in_list_order(spark):
+    conns = spark.createDataFrame(
+        [(1, 5, 1, 1, 3, "b"), (1, 5, 2, 3, 9, "z"), (1, 5, 3, 3, 2, "y"), (1, 5, 4, 1, 3, "a"), (1, 5, 6, 1, 3, "a"), (1, 6, 5, 2, 1, "c")],
+        "work_id long, node_id long, edge_id long, tier int, chapter int, label string",
+    )
+    got = {(r.node_id, r.place): r.edge_id for r in G.in_list_order(conns).collect()}
+    assert got == {(5, 1): 3, (5, 2): 2, (5, 3): 4, (5, 4): 6, (5, 5): 1, (6, 1): 5}
