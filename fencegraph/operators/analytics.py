@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph import vocab
+from fencegraph.functions.components import connected
 from fencegraph.functions.lineage import cut
 from fencegraph.functions.ranking import number_rows
 
@@ -96,43 +97,55 @@ def node_size(degree: Column) -> Column:
 def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest undirected path of every request (request_id, start_id, end_id) over payload edges.
 
-    Breadth first, level by level, for all requests at once; requests with the same start share one
-    search. Of several shortest paths it gives the one a queue-based search would: the smallest sequence
-    of edge places, an edge's place being (source, first edge id of its ordered pair). Each level is
-    written out, and the loop ends when no request is open or no node is new, however far that is. ``hops``
-    is null when the ends are not connected.
+    Requests between different components are answered at once. For the others distances are counted breadth first, level by level,
+    from the ends that are asked for, until all their starts are met; then every request walks down from its start, at each
+    node along the smallest edge place that brings it a step closer. What is kept of a node met is its distance alone. Of
+    several shortest paths that is the one a queue-based search gives: the smallest sequence of edge places, an edge's
+    place being (source, first edge id of its ordered pair). Each level is written out. ``hops`` is null when the ends are
+    not connected.
     """
-    place = F.struct("source_id", F.col("first_edge_id").alias("at"), "edge_id", "target_id") if "first_edge_id" in edges.columns else F.struct(
-        "source_id", F.col("edge_id").alias("at"), "edge_id", "target_id"
-    )
+    place = F.struct("source_id", F.col("first_edge_id" if "first_edge_id" in edges.columns else "edge_id").alias("at"), "edge_id", "target_id")
     both = F.array(F.struct(F.col("source_id").alias("u"), F.col("target_id").alias("v")), F.struct(F.col("target_id").alias("u"), F.col("source_id").alias("v")))
-    adj = cut(edges.select(place.alias("place"), F.explode(both).alias("x")).select("x.u", "x.v", "place"), "adjacency")
-    level = requests.select(F.col("start_id").alias("root"), F.col("start_id").alias("node")).distinct()
-    level = level.withColumn("path", F.array().cast("array<struct<source_id:bigint,at:bigint,edge_id:bigint,target_id:bigint>>"))
-    seen = cut(level, "level")
-    frontier = seen
-    open_requests = requests.filter("start_id <> end_id").select(F.col("start_id").alias("root"), F.col("end_id").alias("node")).distinct()
+    adj = cut(edges.select(place.alias("place"), F.explode(both).alias("x")).select("x.u", "x.v", "place").filter("u <> v"), "adjacency")
+    part = cut(connected(adj, "u", "v"), "components")
+    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))
+    asked = requests.select("start_id", "end_id").distinct()
+    linked = asked.join(of("start_id"), "start_id").join(of("end_id"), "end_id").filter("__start_id = __end_id AND start_id <> end_id").select("start_id", "end_id")
+    linked = cut(linked, "linked")
+    # distances to each end, until its starts are met
+    frontier = cut(linked.select(F.col("end_id").alias("goal"), F.col("end_id").alias("node")).distinct().withColumn("far", F.lit(0)), "level")
+    seen, far = frontier, 0
+    waiting = linked.select(F.col("end_id").alias("goal"), F.col("start_id").alias("node"))
     while True:
-        open_requests = cut(open_requests.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "open")
-        if open_requests.isEmpty():
-            break
-        live = frontier.join(open_requests.select("root").distinct(), "root", "left_semi")
-        step = live.join(adj, live.node == adj.u).select("root", F.col("v").alias("node"), "path", "place")
-        step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        nxt = step.groupBy("root", "node").agg(F.min(F.struct("path", "place")).alias("b")).select(
-            "root", "node", F.array_append("b.path", F.col("b.place")).alias("path")
-        )
-        frontier = cut(nxt, "level")
-        if frontier.isEmpty():
+        waiting = cut(waiting.join(frontier.select("goal", "node"), ["goal", "node"], "left_anti"), "waiting")
+        if waiting.isEmpty():
             break
+        far += 1
+        live = frontier.join(waiting.select("goal").distinct(), "goal", "left_semi")
+        step = live.join(adj, live.node == adj.u).select("goal", F.col("v").alias("node")).distinct()
+        # a node next to the last level lies on it, on the one before, or is new
+        recent = seen.filter(F.col("far") >= far - 2).select("goal", "node")
+        frontier = cut(step.join(recent, ["goal", "node"], "left_anti").withColumn("far", F.lit(far)), "level")
         seen = seen.unionByName(frontier)
-    found = seen.select(F.col("root").alias("start_id"), F.col("node").alias("end_id"), "path")
-    at = requests.join(found, ["start_id", "end_id"], "left")
-    walk = F.aggregate(
-        "path", F.array("start_id"),
-        lambda acc, e: F.array_append(acc, F.when(e["source_id"] == F.element_at(acc, -1), e["target_id"]).otherwise(e["source_id"])),
+    # every request walks down, a step a round
+    distance = seen.select("goal", F.col("node").alias("next"), F.col("far").alias("left"))
+    at = linked.join(seen, (F.col("end_id") == F.col("goal")) & (F.col("start_id") == F.col("node"))).select("start_id", "end_id", "node", F.col("far").alias("hops"), F.col("far").alias("togo"))
+    at, steps = cut(at, "walk"), None
+    for i in range(far):
+        now = at.filter(F.col("togo") > 0)
+        choice = now.join(adj, F.col("node") == F.col("u")).join(distance, (F.col("goal") == F.col("end_id")) & (F.col("next") == F.col("v")) & (F.col("left") == F.col("togo") - 1))
+        best = choice.groupBy("start_id", "end_id").agg(F.min(F.struct("place", "v")).alias("b"), F.first("togo").alias("togo"))
+        taken = cut(best.select("start_id", "end_id", F.lit(i).alias("i"), F.col("b.place.edge_id").alias("edge_id"), F.col("b.v").alias("node"), (F.col("togo") - 1).alias("togo")), "step")
+        steps = taken if steps is None else steps.unionByName(taken)
+        at = taken
+    path = at.select("start_id", "end_id").limit(0).withColumn("p", F.array().cast("array<struct<i:int,edge_id:bigint,node:bigint>>")) if steps is None else steps.groupBy("start_id", "end_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "edge_id", "node"))).alias("p")
     )
-    return at.select(
-        *requests.columns, F.when(F.col("path").isNotNull(), F.size("path")).alias("hops"),
-        F.when(F.col("path").isNotNull(), walk).alias("node_ids"), F.transform("path", lambda e: e["edge_id"]).alias("edge_ids"),
+    here = requests.join(path, ["start_id", "end_id"], "left")
+    same = F.col("start_id") == F.col("end_id")
+    known = F.when(same, F.array().cast("array<struct<i:int,edge_id:bigint,node:bigint>>")).otherwise(F.col("p"))
+    return here.withColumn("p", known).select(
+        *requests.columns, F.when(F.col("p").isNotNull(), F.size("p")).alias("hops"),
+        F.when(F.col("p").isNotNull(), F.concat(F.array("start_id"), F.transform("p", lambda x: x["node"]))).alias("node_ids"),
+        F.transform("p", lambda x: x["edge_id"]).alias("edge_ids"),
     )
