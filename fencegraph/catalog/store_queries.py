@@ -74,11 +74,14 @@ kb AS (SELECT DISTINCT work_id, CASE WHEN work_id % 3 = 0 THEN 300 + work_id ELS
 def work_knobs(spark: SparkSession, d: str) -> DataFrame:
     """Knobs as JSON documents: a third of the works sets one, a third two others, a third has none."""
     w = chapters(spark, d).select("work_id").distinct()
+    return config.with_knobs(w, knob_table(w)).select("work_id", "max_chars", "overlap_sentences", "threshold", "chapter_mode")
+
+
+def knob_table(w: DataFrame) -> DataFrame:
     raw = F.when(F.col("work_id") % 3 == 0, F.concat(F.lit('{"max_chars": '), (F.col("work_id") + 300).cast("string"), F.lit("}"))).when(
         F.col("work_id") % 3 == 1, F.lit('{"overlap_sentences": 0, "threshold": 0.6}')
     )
-    knobs = config.parse_knobs(w.withColumn("knobs", raw).filter("knobs IS NOT NULL"))
-    return config.with_knobs(w, knobs).select("work_id", "max_chars", "overlap_sentences", "threshold", "chapter_mode")
+    return config.parse_knobs(w.withColumn("knobs", raw).filter("knobs IS NOT NULL"))
 
 
 @R.add(
@@ -248,6 +251,19 @@ def rebuilt(spark: SparkSession, d: str) -> tuple[GraphStore, int]:
     return s, before
 
 
+@R.add(
+    "a3_knobbed_build",
+    query([c.replace("score >= 0.4", "score >= CASE WHEN work_id % 3 = 1 THEN 0.6 ELSE 0.4 END") for c in ENTITY_CTES], "SELECT work_id, type, count(*) AS entities, sum(importance) AS mentions FROM nodes GROUP BY ALL"),
+)
+def knobbed_build(spark: SparkSession, d: str) -> DataFrame:
+    """A whole build in which a third of the works asks for a higher score, another for longer chunks."""
+    s = new_store(spark)
+    now = chapters(spark, d).select("work_id", "ordinal", F.lit(None).cast("string").alias("title"), "clean_text", "content_hash", F.lit(None).cast("string").alias("source_path"))
+    spans = lambda ch, _chunks, _tagger: E.map_labels(A.word_spans(ch)).drop("label")
+    build.build(s, now, E.tag_gazetteer, spans=spans, knobs=knob_table(now.select("work_id").distinct()))
+    return s.rows("nodes").groupBy("work_id", "type").agg(F.count(F.lit(1)).alias("entities"), F.sum("importance").alias("mentions"))
+
+
 @R.add("b20_rebuilt_entities", query(ENTITY_CTES, f"SELECT n.work_id, n.type, n.name, n.importance, n.first_seen_chapter, md5({snippet('c.clean_text', 'ev_s', 'ev_e', 40)}) AS evidence_hash FROM nodes n JOIN ch c ON c.work_id = n.work_id AND c.ordinal = n.ev_ch"))
 def rebuilt_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities after an incremental rebuild are those of a build from nothing."""

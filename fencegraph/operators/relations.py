@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencegraph import vocab
+from fencegraph.config import with_knobs
 from fencegraph.functions import keys
 from fencegraph.functions import text as X
 from fencegraph.functions.ranking import number_rows
@@ -14,30 +15,31 @@ WINDOW = 250
 EVIDENCE_PAD = 30
 
 
-def band_pairs(mentions: DataFrame, window: int = WINDOW, scope: tuple[str, ...] = ("work_id", "chapter_ordinal")) -> DataFrame:
+def band_pairs(mentions: DataFrame, window: int | Column = WINDOW, scope: tuple[str, ...] = ("work_id", "chapter_ordinal")) -> DataFrame:
     """Ordered mention pairs of different nodes with ``b.start - a.end <= window`` inside a scope.
 
     A range join as an equi-join: positions fall into buckets one window wide, ``b`` has one bucket and
     ``a`` the few it can reach. A long or crowded chapter is thereby split over many keys, and only
-    mentions within reach of each other ever meet. ``window`` may be 0.
+    mentions within reach of each other ever meet. ``window`` may be 0, or a column that says how far each mention reaches.
     """
-    width = max(window, 1)
+    width = max(window, 1) if isinstance(window, int) else WINDOW
+    reach = F.lit(window) if isinstance(window, int) else window
     keys = list(scope)
-    cols = ["mention_id", "node_id", "node_type", "char_start", "char_end"]
-    placed = mentions.filter(F.col("node_id").isNotNull())
+    cols = ["mention_id", "node_id", "node_type", "char_start", "char_end", "__reach"]
+    placed = mentions.filter(F.col("node_id").isNotNull()).withColumn("__reach", reach)
 
     def side(p: str) -> DataFrame:
         return placed.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in cols])
 
     a = side("a").withColumn(
-        "bucket", F.explode(F.sequence(F.floor(F.col("a_char_start") / width), F.floor((F.col("a_char_end") + window) / width)))
+        "bucket", F.explode(F.sequence(F.floor(F.col("a_char_start") / width), F.floor((F.col("a_char_end") + F.col("a___reach")) / width)))
     )
-    b = side("b").withColumn("bucket", F.floor(F.col("b_char_start") / width))
+    b = side("b").drop("b___reach").withColumn("bucket", F.floor(F.col("b_char_start") / width))
     later = (F.col("b_char_start") > F.col("a_char_start")) | (
         (F.col("b_char_start") == F.col("a_char_start")) & (F.col("b_mention_id") > F.col("a_mention_id"))
     )
-    near = F.col("b_char_start") - F.col("a_char_end") <= window
-    return a.join(b, [*keys, "bucket"]).filter(later & near & (F.col("a_node_id") != F.col("b_node_id"))).drop("bucket")
+    near = F.col("b_char_start") - F.col("a_char_end") <= F.col("a___reach")
+    return a.join(b, [*keys, "bucket"]).filter(later & near & (F.col("a_node_id") != F.col("b_node_id"))).drop("bucket", "a___reach")
 
 
 def accumulate_pairs(pairs: DataFrame) -> DataFrame:
@@ -92,9 +94,13 @@ def edge_ids(edges: DataFrame, tier: int, order: list[Column]) -> DataFrame:
     return n.withColumn("edge_id", keys.edge_id(F.col("work_id"), tier, F.col("no"))).drop("no")
 
 
-def build_structural(linked: DataFrame, chapters: DataFrame, *, window: int = WINDOW, min_cooccurrences: int = 1) -> DataFrame:
-    """Tier 1 edges of linked mentions (they carry node_id and node_type)."""
-    pairs = accumulate_pairs(band_pairs(linked, window)).filter(F.col("cooccurrences") >= min_cooccurrences)
+def build_structural(linked: DataFrame, chapters: DataFrame, *, window: int = WINDOW, min_cooccurrences: int = 1, knobs: DataFrame | None = None) -> DataFrame:
+    """Tier 1 edges of linked mentions (they carry node_id and node_type). ``knobs``: window and least count of each work."""
+    if knobs is None:
+        pairs = accumulate_pairs(band_pairs(linked, window)).filter(F.col("cooccurrences") >= min_cooccurrences)
+    else:
+        pairs = accumulate_pairs(band_pairs(with_knobs(linked, knobs), F.col("window_chars")))
+        pairs = with_knobs(pairs, knobs).filter(F.col("cooccurrences") >= F.col("min_cooccurrences")).select(*pairs.columns)
     e = classify(pair_evidence(pairs, chapters)).withColumn("first_seen_chapter", F.col("chapter"))
     e = edge_ids(e, 1, [F.col(c) for c in ("a_start", "a_id", "b_start", "b_id")])
     return e.select(
