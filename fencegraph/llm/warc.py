@@ -129,7 +129,7 @@ def write(pages: DataFrame, page_id: str, url: str, html: str, path: str, *, lea
 
     Of rows with equal payloads of ``least_bytes`` or more, that with the largest id is the response, which the others
     revisit; rows that repeat id and payload of the response are responses as well, and a null id revisits any other. Null
-    html is an empty payload, a null url an empty one.
+    html is an empty payload, a null url an empty one. Other columns are ignored; an empty table writes no archive.
     """
     small_batches(pages.sparkSession)
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.col(html).alias("html"))

@@ -291,7 +291,7 @@ def write(docs: DataFrame, doc_id: str, text: str, tokenizer: str, path: str, en
     """Encode whole texts and write the segments to ``path`` in ascending order of ``doc_id``.
 
     Null and empty texts hold the end id alone. Rows of a repeated id follow each other, ordered by their text; null ids come
-    first. Ranges of ids are dealt over tasks, each of which writes its segments in order.
+    first. Other columns are ignored; an empty table writes no segment. Ranges of ids are dealt over tasks, each of which writes its segments in order.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
