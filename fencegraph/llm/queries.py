@@ -75,7 +75,7 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    count = [secrets.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     every = F.array_sort(F.concat("base", "added"))
     return seen.select("doc_id", *count, F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(every).alias("spans"))
 

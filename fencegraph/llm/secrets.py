@@ -198,6 +198,11 @@ def bars_of(classes: dict[tuple[str, int], tuple[int, ...]]) -> dict[tuple[str,
     return out
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind. (A second parameter of the lambda, even one with a default, would be the place in the array.)"""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:stop`` in order, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
