@@ -31,7 +31,8 @@ def payload(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The collapsed payload at N, as a reader gets it."""
     nodes, edges, _ = graph(spark, d)
     vn = fence.visible_nodes(nodes, N)
-    ve = stored(spark, ("star_payload", d), lambda: fence.collapse_parallel(fence.visible_edges(edges, nodes, N)))
+    shown = lambda: fence.collapse_parallel(fence.visible_edges(edges, nodes, N).drop("method", "evidence"))  # noqa: E731 - no view asks for them
+    ve = stored(spark, ("star_payload", d), shown)
     return vn, ve
 
 
