@@ -96,18 +96,25 @@ def _pack(df: DataFrame, keys: list[str], id_col: str, at: str, prefix: str) ->
     )
 
 
-def _blocked(chunks: DataFrame, on: list[str]) -> DataFrame:
-    """``block`` of each chunk: as many of equal size as the chunks of its key fill, whatever their ids look like."""
+def _blocked(chunks: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Chunks with their ``block``: as many of equal size as the chunks of its key fill, whatever their ids look like; and the
+    number of blocks of each key."""
     sizes = chunks.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("__blocks"))
-    return chunks.join(sizes, on).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("__blocks"))).drop("__blocks")
+    return chunks.join(sizes, on).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("__blocks"))).drop("__blocks"), sizes
 
 
 def _search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str], block: Column | None) -> DataFrame:
-    c = _blocked(chunks, on) if block is None else chunks.withColumn("block", block)
-    c = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    """Blocks of queries are repeated as often as their key has blocks, ``SALTS`` times at most."""
     q = queries.withColumn("q_block", F.floor(F.col("q_id") / BLOCK_ROWS))
+    qb = _pack(q, [*on, "q_block"], "q_id", "n", "q")
+    if block is None:
+        c, sizes = _blocked(chunks, on)
+        c = c.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int"))
+        qb = qb.join(sizes, on).withColumn("salt", F.explode(F.sequence(F.lit(0), F.least("__blocks", F.lit(SALTS)).cast("int") - 1))).drop("__blocks")
+    else:
+        c = chunks.withColumn("block", block).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+        qb = qb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cb = _pack(c, [*on, "block", "salt"], "chunk_id", "chapter_ordinal", "c")
-    qb = _pack(q, [*on, "q_block"], "q_id", "n", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = cb.join(qb, [*on, "salt"]).select(
         "work_id", _block_scorer(k)(F.col("q_id"), F.col("q_at"), F.col("q_vec"), F.col("c_id"), F.col("c_at"), F.col("c_vec")).alias("h")
     )

@@ -22,6 +22,7 @@ from fencegraph.operators import search
 from fencegraph.sources.store import GraphStore
 
 SAMPLE, MOST_CELLS, RECALL, NEIGHBOURS = 8192, 1024, 0.97, 5
+AT_ONCE = 128  # rows of a product of matrices that the driver holds
 NOWHERE = -1  # the work id of rows that belong to no work
 
 
@@ -35,30 +36,41 @@ def train(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
     """Unit centroids by spherical k-means; a cell that runs empty takes the vector that fits its own worst."""
     centroids = x[np.linspace(0, len(x) - 1, cells).astype(int)].copy()
     for _ in range(rounds):
-        near = x @ centroids.T
-        home = near.argmax(axis=1)
+        home, fit = nearest(x, centroids)
         for c in range(cells):
             mine = x[home == c]
-            centroids[c] = mine.sum(axis=0) if len(mine) else x[near.max(axis=1).argmin()]
+            centroids[c] = mine.sum(axis=0) if len(mine) else x[fit.argmin()]
         centroids = unit(centroids)
     return centroids
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row and its cosine, some rows at a time."""
+    home, fit = np.empty(len(x), np.int64), np.empty(len(x))
+    for lo in range(0, len(x), AT_ONCE):
+        near = x[lo : lo + AT_ONCE] @ centroids.T
+        home[lo : lo + AT_ONCE], fit[lo : lo + AT_ONCE] = near.argmax(axis=1), near.max(axis=1)
+    return home, fit
+
+
 def visits_for(x: np.ndarray, centroids: np.ndarray, recall: float = RECALL, queries: int = 1024) -> int:
     """How many nearest cells of a vector hold ``recall`` of its nearest others, on average over some of ``x``."""
-    asked = x[:queries]
-    near = asked @ x.T
-    near[np.arange(len(asked)), np.arange(len(asked))] = -2
     k = min(NEIGHBOURS, len(x) - 1)
     if k < 1:
         return 1
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(centroids))[None, :].repeat(len(asked), 0), axis=1)
-    home = (x @ centroids.T).argmax(axis=1)
-    needed = np.sort(np.take_along_axis(place, home[top], 1).ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+    home, _ = nearest(x, centroids)
+    needed = []
+    for lo in range(0, min(queries, len(x)), AT_ONCE):
+        asked = x[lo : min(lo + AT_ONCE, queries)]
+        near = asked @ x.T
+        near[np.arange(len(asked)), lo + np.arange(len(asked))] = -2
+        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(centroids))[None, :].repeat(len(asked), 0), axis=1)
+        needed.append(np.take_along_axis(place, home[top], 1).ravel())
+    every = np.sort(np.concatenate(needed))
+    return int(every[min(len(every) - 1, int(np.ceil(recall * len(every))))]) + 1
 
 
 class VectorIndex:

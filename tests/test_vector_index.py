@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fencegraph.operators import search
 from fencegraph.sources.store import GraphStore
-from fencegraph.sources.vector_index import VectorIndex, train, unit, visits_for
+from fencegraph.sources.vector_index import RECALL, SAMPLE, VectorIndex, train, unit, visits_for
 
 SHAPE = "work_id long, chunk_id long, chapter_ordinal int, char_start int, char_end int, text string, embedding array<double>"
 
@@ -89,3 +89,21 @@ def test_visits_are_measured():
     x = unit(clustered(900, seed=3))
     c = train(x, 20)
     assert np.allclose(np.linalg.norm(c, axis=1), 1) and visits_for(x, c, 0.5) <= visits_for(x, c, 0.99) <= 20
+
+
+def test_driver_holds_no_matrix_of_all_queries_and_the_sample():
+    """Cells and visits are measured some rows at a time; whole products took 200 MB of the driver."""
+    import tracemalloc
+
+    x = unit(np.random.default_rng(3).normal(size=(SAMPLE, 16)))
+    tracemalloc.start()
+    centroids = train(x, 64, rounds=1)
+    visits = visits_for(x, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    near = x[:1024] @ x.T
+    near[np.arange(1024), np.arange(1024)] = -2
+    home, order = (x @ centroids.T).argmax(axis=1), np.argsort(-(x[:1024] @ centroids.T), axis=1, kind="stable").argsort(axis=1)
+    needed = np.sort(np.take_along_axis(order, home[np.argsort(-near, axis=1)[:, :5]], 1).ravel())
+    assert visits == needed[int(np.ceil(RECALL * len(needed)))] + 1
