@@ -31,7 +31,7 @@ from fencegraph.llm.sieve import Sieve, sieve
 
 LEAST_SCORE, LEAST_WORDS, LEAST_SHORT = 0.5, 8, 0.75
 SEEDS_MET = 3
-CHUNK = 4 << 20  # bytes of text scanned at once
+CHUNK = 1 << 20  # bytes of text scanned at once
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _ODD = re.compile("[ -¿ -⁯　-〿]")
 # Scripts without blanks (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han): every letter or mark is a word.
@@ -206,7 +206,7 @@ def _seeds(texts: DataFrame, items: DataFrame, singles: bool) -> DataFrame:
         for _, plain_texts in _chunks(batches, "text"):
             h = grams(plain_texts, singles)[2]
             held.append(h[sent.value.holds(h)])
-            if sum(map(len, held)) > 1 << 21:
+            if sum(map(len, held)) > 1 << 19:
                 yield added()
                 held = []
         if held:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fencegraph.llm import decontaminate as dec
@@ -160,3 +161,16 @@ def test_short_items_and_scripts_without_blanks(spark):
     docs += [(3, "これは長い文の中にある東京は日本の首都である。そして続く", 0), (4, "東京は大きい", 0), (5, "คำตอบกรุงเทพเป็นเมืองหลวงของไทยครับ", 0)]
     got = find(spark, docs, [(9, " ".join(nine)), (10, "東京は日本の首都である"), (11, "กรุงเทพเป็นเมืองหลวงของไทย")])
     assert set(got) == {(1, 9), (3, 10), (5, 11)} and got[3, 10][0] == 1.0 and got[1, 9][0] == 7 / 9
+
+
+def test_scan_of_a_large_batch_stays_small():
+    """Word arrays of four megabytes of text at once took eighty megabytes of a worker."""
+    import tracemalloc
+
+    batch = pa.record_batch([pa.array(["some words of a text " * 500] * 400)], names=["text"])
+    tracemalloc.start()
+    found = sum(len(dec.grams(texts, False)[2]) for _, texts in dec._chunks(iter([batch]), "text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 400 * (2500 - 1)
+    assert peak < 48 << 20
