@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from fencegraph import vocab
 from fencegraph.catalog.base import STAR_CTES, query, sql_case
-from fencegraph.catalog.fence_queries import COLLAPSED, N, graph
+from fencegraph.catalog.fence_queries import COLLAPSED, N
 from fencegraph.catalog.registry import Registry
 from fencegraph.functions.lineage import stored
 from fencegraph.operators import analytics as G
 from fencegraph.operators import fence
+from fencegraph.sources import adaptors as A
 
 R = Registry()
 VIEW = f"""
@@ -27,13 +28,24 @@ hd AS (SELECT d.*, (type = 'Character' AND name = lower(name)) AS background,
 sh AS (SELECT * FROM col WHERE source_id NOT IN (SELECT node_id FROM hd WHERE hidden) AND target_id NOT IN (SELECT node_id FROM hd WHERE hidden))"""
 
 
+def early(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, nodes) up to chapter N: the fence taken to the lines. Edges and nodes are revealed at their first chapter or later, so a line after N
+    shows nothing at N and alters no first chapter up to N. What counts all lines of a node, its importance, is left out."""
+    lines = stored(spark, ("star_early_lines", d), lambda: A.star_lines(spark, d, N))
+    cols = ["work_id", "node_id", "type", "name", "first_seen_chapter", "revealed_chapter"]
+    return lines, stored(spark, ("star_early_nodes", d), lambda: A.star_nodes(spark, d, lines).select(*cols))
+
+
 def payload(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The collapsed payload at N, as a reader gets it."""
-    nodes, edges, _ = graph(spark, d)
+    lines, nodes = early(spark, d)
     vn = fence.visible_nodes(nodes, N)
-    shown = lambda: fence.collapse_parallel(fence.visible_edges(edges, nodes, N).drop("method", "evidence"))  # noqa: E731 - no view asks for them
-    ve = stored(spark, ("star_payload", d), shown)
-    return vn, ve
+
+    def shown() -> DataFrame:
+        told, others = [fence.visible_edges(e.drop("method", "evidence"), nodes, N) for e in A.star_edge_kinds(spark, d, lines, nodes)]  # no view asks for these
+        return fence.collapse_parallel(told, ("o_custkey",)).unionByName(fence.collapse_parallel(others))
+
+    return vn, stored(spark, ("star_payload", d), shown)
 
 
 @R.add("g1_degrees", query(CTES, "SELECT work_id, node_id, degree FROM dg"))
@@ -150,7 +162,8 @@ cx AS (SELECT work_id, source_id AS node_id, target_id AS neighbor_id, edge_id,
 
 @R.add("g8_connections", query([*CTES, CONN], "SELECT c.work_id, c.node_id, c.edge_id, c.neighbor_id, n.name AS label, n.type AS neighbor_type, relation, tier, chapter, outgoing, row_number() OVER (PARTITION BY c.work_id, c.node_id ORDER BY tier DESC, chapter, n.name, c.edge_id) AS place FROM cx c JOIN vn n ON n.node_id = c.neighbor_id"))
 def connections(spark: SparkSession, d: str) -> DataFrame:
-    return G.in_list_order(G.connections(*payload(spark, d))).drop("relation_label", "step_label")
+    vn, ve = payload(spark, d)
+    return G.in_list_order(G.connections(vn, ve), G.list_ends(ve)).drop("relation_label", "step_label")
 
 
 @R.add("g9_last_links", query([*CTES, CONN], "SELECT work_id, node_id, max(chapter) AS last_link FROM cx GROUP BY ALL"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fencegraph import vocab
 from fencegraph.functions.components import connected
 from fencegraph.functions.lineage import cut
-from fencegraph.functions.ranking import number_rows
+from fencegraph.functions.ranking import number_lists
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,26 +64,31 @@ def isolate_type(nodes: DataFrame, edges: DataFrame, node_type: str) -> tuple[Da
     return lit, inside
 
 
-def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connection list of every node, in no order (see ``in_list_order``)."""
+def list_ends(edges: DataFrame) -> DataFrame:
+    """Both ends of every edge as entries of their connection lists, without labels; a loop is one entry."""
     both = F.array(
         F.struct(F.col("source_id").alias("node_id"), F.col("target_id").alias("neighbor_id"), F.lit(True).alias("outgoing")),
         F.struct(F.col("target_id").alias("node_id"), F.col("source_id").alias("neighbor_id"), F.lit(False).alias("outgoing")),
     )
     c = edges.select("work_id", "edge_id", "relation", "tier", F.col("revealed_chapter").alias("chapter"), F.explode(both).alias("x"))
-    c = c.select("work_id", "edge_id", "relation", "tier", "chapter", "x.*").filter((F.col("node_id") != F.col("neighbor_id")) | F.col("outgoing"))
+    return c.select("work_id", "edge_id", "relation", "tier", "chapter", "x.*").filter((F.col("node_id") != F.col("neighbor_id")) | F.col("outgoing"))
+
+
+def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Connection list of every node, in no order (see ``in_list_order``)."""
     label = nodes.select(F.col("node_id").alias("neighbor_id"), F.col("name").alias("label"), F.col("type").alias("neighbor_type"))
-    return c.join(label, "neighbor_id", "left").select(
+    return list_ends(edges).join(label, "neighbor_id", "left").select(
         "work_id", "node_id", "edge_id", "neighbor_id", F.coalesce("label", F.col("neighbor_id").cast("string")).alias("label"),
         F.coalesce("neighbor_type", F.lit("")).alias("neighbor_type"), "relation", "tier", "chapter", "outgoing",
         vocab.relation_label(F.col("relation")).alias("relation_label"), vocab.relation_step_label(F.col("relation")).alias("step_label"),
     )
 
 
-def in_list_order(conns: DataFrame) -> DataFrame:
+def in_list_order(conns: DataFrame, ends: DataFrame | None = None, **how: int) -> DataFrame:
     """Add ``place``, from 1, in the list of the node: highest tier first, then by chapter, label and edge. A hub's list is numbered by
-    tier and chapter, never sorted whole."""
-    return number_rows(conns, ["work_id", "node_id"], (F.lit(9) - F.col("tier")) * F.lit(1 << 32) + F.col("chapter"), [F.col("label"), F.col("edge_id")], "place")
+    tier and chapter, never sorted whole. ``ends``: the entries without labels (``list_ends``), so that counting hubs joins none."""
+    level = (F.lit(9) - F.col("tier")) * F.lit(1 << 32) + F.col("chapter")
+    return number_lists(conns, ["work_id", "node_id"], level, [F.col("label"), F.col("edge_id")], "place", F.col("edge_id"), among=ends, **how)
 
 
 def last_links(conns: DataFrame) -> DataFrame:

@@ -321,3 +321,43 @@ def test_audit_meets_the_nodes_once(spark):
     assert met.collect() == fence.audit(edges, nodes).collect()
     assert [(r.edges, r.violations, r.last_position) for r in met.collect()] == [(2, 3, 6)]
     assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+
+
+def test_long_lists_are_numbered_in_parts_and_short_ones_whole(spark):
+    rnd = random.Random(5)
+    pairs = [(1, rnd.randint(2, 60)) for _ in range(200)] + [(rnd.randint(2, 60), rnd.randint(2, 60)) for _ in range(150)]
+    e = edges_df(spark, [(i, s, t, rnd.choice(["RelatedTo", "Ally", "ALIAS"]), rnd.randint(1, 6)) for i, (s, t) in enumerate(pairs, 1)])
+    n = nodes_df(spark, [(i, "Character", f"Name {i % 7}", 1, 1) for i in range(1, 55)])
+    conns, ends = G.connections(n, e), G.list_ends(e)
+    rows = sorted(conns.collect(), key=lambda r: (r.node_id, -r.tier, r.chapter, r.label, r.edge_id))
+    want, seen = [], {}
+    for r in rows:
+        seen[r.node_id] = seen.get(r.node_id, 0) + 1
+        want.append((r.node_id, r.edge_id, r.outgoing, seen[r.node_id]))
+    for long, share in ((1, 1), (60, 1), (60, 8), (1 << 16, 64)):  # every list in parts, the hub's alone, as a share tells, none
+        got = G.in_list_order(conns, ends, long=long, share=share)
+        assert got.columns == [*conns.columns, "place"]
+        assert sorted((r.node_id, r.edge_id, r.outgoing, r.place) for r in got.collect()) == sorted(want)
+
+
+def test_fence_reaches_the_lines_of_the_star_graph(spark, monkeypatch):
+    from fencegraph.catalog import analytics_queries as Q
+    from fencegraph.catalog import fence_queries as S
+
+    d = "/root/testdata/sf0.001"
+    nodes, edges, _ = S.graph(spark, d)
+    cols = ["work_id", "source_id", "target_id", "edge_id", "first_edge_id", "relation", "tier", "first_seen_chapter", "revealed_chapter", "effective_reveal"]
+    want = fence.collapse_parallel(fence.visible_edges(edges.drop("method", "evidence"), nodes, S.N)).select(*cols).collect()
+    shown = ["work_id", "node_id", "type", "name", "first_seen_chapter", "revealed_chapter"]
+    seen = fence.visible_nodes(nodes, S.N).select(*shown).collect()
+
+    def built(*_):
+        raise AssertionError("lines behind the fence")
+
+    for name in ("star_lines", "star_nodes", "star_edges", "star_properties"):
+        monkeypatch.setattr(S, name, built)
+    vn, ve = Q.payload(spark, d)
+    assert sorted(ve.select(*cols).collect()) == sorted(want)
+    assert sorted(vn.select(*shown).collect()) == sorted(seen)
+    lines, _ = Q.early(spark, d)
+    assert 0 < lines.count() and lines.filter(F.col("chapter") > S.N).isEmpty()
