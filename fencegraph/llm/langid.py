@@ -48,13 +48,12 @@ def _both_ways(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes, codes[::-1]], axis=1)
 
 
-def states(net: Network, codes: np.ndarray) -> np.ndarray:
-    """States (2, time, lanes, hidden) after each symbol, both aligned to the position of the symbol."""
+def _steps(net: Network, codes: np.ndarray) -> Iterator[np.ndarray]:
+    """States (2, lanes, hidden) of both directions after each of their symbols, in an array that the next step overwrites."""
     steps, lanes = codes.shape
     hidden = net.output.shape[1]
     tables = [t.reshape(-1, hidden) for t in net.inputs]
     symbols = _both_ways(codes).astype(np.int64) + np.array([0, PAD + 1])[:, None]
-    out = np.empty((2, steps, lanes, hidden), np.float32)
     h = np.zeros((2, lanes, hidden), np.float32)
     for t in range(steps):
         x = symbols[t]
@@ -71,16 +70,26 @@ def states(net: Network, codes: np.ndarray) -> np.ndarray:
         h -= n
         h *= z
         h += n
-        out[0, t] = h[0]
-        out[1, steps - 1 - t] = h[1]
+        yield h
+
+
+def states(net: Network, codes: np.ndarray) -> np.ndarray:
+    """States (2, time, lanes, hidden) after each symbol, both aligned to the position of the symbol."""
+    steps, lanes = codes.shape
+    out = np.empty((2, steps, lanes, net.output.shape[1]), np.float32)
+    for t, h in enumerate(_steps(net, codes)):
+        out[0, t], out[1, steps - 1 - t] = h
     return out
 
 
 def position_probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
-    """(time, lanes, languages)."""
-    h = states(net, codes)
-    logits = h[0] @ net.output[0]
-    logits += h[1] @ net.output[1]
+    """(time, lanes, languages). Each state is labelled as it is met: all of them would be several times as large as their labels."""
+    steps, lanes = codes.shape
+    logits = np.zeros((steps, lanes, net.output.shape[2]), np.float32)
+    for t, h in enumerate(_steps(net, codes)):
+        ahead, back = np.matmul(h, net.output)
+        logits[t] += ahead
+        logits[steps - 1 - t] += back
     logits += net.bias
     np.clip(logits, -30, 30, out=logits)
     np.exp(logits, out=logits)

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fencegraph.llm import langid
@@ -31,3 +33,18 @@ def test_without_labels_no_language_is_known(spark):
     for docs in (df, df.where("false")):
         net = langid.fit(docs, "text", "lang", F.xxhash64("doc_id"))
         assert net.languages == () and {(r.lang_pred, r.score) for r in langid.predict(docs, "text", net).collect()} <= {("und", 0.0)}
+
+
+def test_a_block_is_labelled_without_keeping_its_states():
+    rng = np.random.default_rng(3)
+    weights = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
+    net = langid.Network(tuple("abcd"), tuple(weights(2, 257, 8) for _ in range(3)), tuple(weights(2, 8, 8) for _ in range(3)), weights(2, 8, 4), weights(4))
+    codes = rng.integers(0, 256, (langid.CORE + 2 * langid.WARM, langid.LANES)).astype(np.int16)
+    tracemalloc.start()
+    got = langid.position_probabilities(net, codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    h = langid.states(net, codes)
+    logits = np.exp(h[0] @ net.output[0] + h[1] @ net.output[1] + net.bias)
+    np.testing.assert_allclose(got, logits / logits.sum(axis=-1, keepdims=True), atol=1e-5)
+    assert peak < h.nbytes
