@@ -58,8 +58,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the sha256 of the bytes that the ids decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", *TOKENIZER)
+    """doc_id, lang, source, n_tokens, ids, and the sha256 of the bytes that the ids decode to. The ids are written before they
+    are decoded: in one stage every task would hold a Python process for each, with all that earlier stages left in it."""
+    coded = cut(bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", *TOKENIZER), "ids")
     return bpe.decode(coded, "ids", *TOKENIZER).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -221,7 +221,8 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, *, per_language: i
         return Network((), (), (), np.zeros((2, 0, 0)), np.zeros(0))
     per_language = min(per_language, max(16, texts // len(names)))
     mark = F.xxhash64("o", "t")
-    bounds = docs.sparkSession.createDataFrame([(x, (1 << 63) - 1 if counts[x] <= 8 * per_language else int((1 << 64) * 4 * per_language / counts[x]) - (1 << 63)) for x in names], "l string, bound long")
+    bound = [(1 << 63) - 1 if counts[x] <= 8 * per_language else int((1 << 64) * 4 * per_language / counts[x]) - (1 << 63) for x in names]
+    bounds = docs.sparkSession.createDataFrame(pa.table({"l": pa.array(names, pa.string()), "bound": pa.array(bound, pa.int64())}))  # of a list, executors would start Python processes for it
     thin = rows.withColumn("m", mark).join(F.broadcast(bounds), "l").where("m <= bound")  # a row per label
     n, size = F.length("t"), chars // pieces
     places = [(F.pmod(F.xxhash64("o", n, F.lit(i)), n - size + 1) + 1).cast("int") for i in range(pieces)]

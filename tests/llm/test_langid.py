@@ -28,6 +28,15 @@ def test_a_sample_does_not_grow_with_the_copies_of_a_row(spark, monkeypatch):
     assert taken == [(200, ("aa", "bb"))]
 
 
+def test_a_sample_needs_no_python_on_executors(spark, monkeypatch):
+    plans, top_rows = [], langid.top_rows
+    monkeypatch.setattr(langid, "train", lambda texts, y, names, **how: sorted(zip(texts, y)))
+    monkeypatch.setattr(langid, "top_rows", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or top_rows(df, *a))
+    got = langid.fit(spark.createDataFrame([("b", "y"), ("a", "x"), ("'\u00e9\"", "z"), ("a", None), (None, "w")], "lang string, text string"), "text", "lang", F.xxhash64("text"))
+    assert got == [(b"x", 1), (b"y", 2), (b"z", 0)]
+    assert "bound" in plans[0] and plans[0].count("ExistingRDD") == 1  # the documents made here
+
+
 def test_without_labels_no_language_is_known(spark):
     df = spark.createDataFrame([(1, "text", None), (None, None, "en"), (3, "12", "en")], "doc_id long, text string, lang string")
     for docs in (df, df.where("false")):

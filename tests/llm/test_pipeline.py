@@ -52,6 +52,12 @@ def test_stages_return_the_columns_of_documents(spark, folder):
         assert stage(spark, docs.where("false"), path).collect() == []
 
 
+def test_ids_are_decoded_in_a_stage_of_their_own(spark, folder):
+    path, _ = folder
+    plan = corpus_pipeline.token_ids(spark, spark.read.parquet(f"{path}/documents.parquet"), path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each one more is a Python process more per core
+
+
 def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(0)
     p = [rng.normal(0, 0.2, (2, langid.PAD + 1, 3)) for _ in range(3)] + [rng.normal(0, 0.4, (2, 3, 3)) for _ in range(3)] + [rng.normal(0, 0.4, (2, 3, 2)), rng.normal(0, 0.1, 2)]
