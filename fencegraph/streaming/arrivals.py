@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -59,7 +59,51 @@ def running_entities(stream: DataFrame, store: GraphStore, checkpoint: str) -> S
 
 
 ARRIVING = "work_id long, chapter_ordinal int, version long, mention_id long, node_id long, node_type string, char_start int, char_end int"
-_HELD = ["mention_id", "node_id", "node_type", "char_start", "char_end"]
+_HELD = {"mention_id": "long", "node_id": "long", "node_type": "string", "char_start": "int", "char_end": "int"}
+SHELF = 16  # chapters of a work, next to each other, whose state is one row
+
+
+def merger(keep_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What ``whole_chapters`` does with the rows of a shelf. Its state maps a chapter to the time of its last row, its newest version and
+    the mentions of that by id. Mentions are texts that are passed on as they came."""
+
+    def merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = 0 if keep_ms is None else state.getCurrentProcessingTimeMs()
+        shelf = json.loads(state.get[0]) if state.exists else {}
+        before: dict[str, tuple] = {}
+        for part in () if state.hasTimedOut else parts:
+            known = set()
+            for chapter, version, mention_id, mention in zip(*(part[c].tolist() for c in ("chapter", "version", "mention_id", "mention")), strict=True):
+                kept = shelf.setdefault(chapter, [now, None, {}])
+                if chapter not in before:
+                    before[chapter] = (kept[1], dict(kept[2]))
+                if version is None:
+                    continue
+                known.add(chapter)
+                if kept[1] is None or int(version) > kept[1]:
+                    kept[1:] = int(version), {}
+                if int(version) == kept[1] and mention_id is not None:
+                    kept[2][mention_id] = mention
+            if set(part["chapter"]) - known:
+                raise ValueError("a chapter came without a version")
+        for chapter in before:
+            shelf[chapter][0] = now
+        if keep_ms is not None:
+            shelf = {chapter: kept for chapter, kept in shelf.items() if chapter in before or kept[0] + keep_ms > now}
+        if shelf:
+            state.update((json.dumps(shelf),))
+            if keep_ms is not None:
+                state.setTimeoutDuration(max(1, min(kept[0] for kept in shelf.values()) + keep_ms - now))
+        else:
+            state.remove()
+        changed = [chapter for chapter, was in before.items() if was != (shelf[chapter][1], shelf[chapter][2])]
+        if changed:
+            yield pd.DataFrame({
+                "work_id": [key[0]] * len(changed), "chapter": changed, "version": [str(shelf[c][1]) for c in changed],
+                "mentions": [f"[{','.join(shelf[c][2].values())}]" for c in changed],
+            })
+
+    return merge
 
 
 def whole_chapters(stream: DataFrame, keep: timedelta | None = None) -> DataFrame:
@@ -70,35 +114,22 @@ def whole_chapters(stream: DataFrame, keep: timedelta | None = None) -> DataFram
     ignored from then on. A version without mentions comes, and is answered, as one row without a mention id. With
     ``keep`` the state of a chapter that brings nothing for so long is dropped, and what comes after that is a chapter of its own;
     such a stream needs a trigger by time, as Spark runs it on for the sake of its clock.
-    """
 
-    def merge(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        version, text = state.get if state.exists else (None, "[]")
-        held = {row[0]: row for row in json.loads(text)}
-        before = (version, dict(held))
-        for part in parts:
-            newest = int(part["version"].max())
-            if version is None or newest > version:
-                version, held = newest, {}
-            now = part[part["version"] == version]
-            for row in now[now["mention_id"].notna()][_HELD].astype(object).where(lambda x: x.notna(), None).values.tolist():
-                row = [x if x is None or isinstance(x, str) else int(x) for x in row]
-                held[row[0]] = row
-        state.update((version, json.dumps(list(held.values()))))
-        if keep is not None:
-            state.setTimeoutDuration(int(keep.total_seconds() * 1000))
-        if (version, held) != before:
-            rows = list(held.values()) or [[None] * len(_HELD)]
-            out = pd.DataFrame(rows, columns=_HELD).astype({c: "Int64" for c in _HELD if c != "node_type"})
-            out.insert(0, "version", version)
-            out.insert(0, "chapter_ordinal", _key[1])
-            out.insert(0, "work_id", _key[0])
-            yield out
-
-    return stream.groupBy("work_id", "chapter_ordinal").applyInPandasWithState(merge, ARRIVING, "version long, mentions string", "update", GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout)
+    A call of Python costs some milliseconds however few rows it gets, more than the rows of a chapter do, so ``SHELF`` chapters share a
+    call and a row of state. Mentions go in and come out as JSON texts, which Spark writes and reads: numbers stay exact beside nulls.
+    """
+    text = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(_HELD)]))
+    packed = stream.select(
+        "work_id", F.floor(F.col("chapter_ordinal") / SHELF).alias("shelf"), F.coalesce(F.col("chapter_ordinal").cast("string"), F.lit("")).alias("chapter"),
+        F.col("version").cast("string").alias("version"), F.col("mention_id").cast("string").alias("mention_id"), text.alias("mention"),
+    )
+    keep_ms = None if keep is None else int(keep.total_seconds() * 1000)
+    out = packed.groupBy("work_id", "shelf").applyInPandasWithState(
+        merger(keep_ms), "work_id long, chapter string, version string, mentions string", "chapters string", "update", GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
+    mentions = F.from_json("mentions", f"array<struct<{', '.join(f'c{i}: {t}' for i, t in enumerate(_HELD.values()))}>>")
+    rows = out.select("work_id", F.nullif("chapter", F.lit("")).cast("int").alias("chapter_ordinal"), F.col("version").cast("long").alias("version"), F.explode_outer(mentions).alias("m"))
+    return rows.select("work_id", "chapter_ordinal", "version", *[F.col(f"m.c{i}").alias(c) for i, c in enumerate(_HELD)])
 
 
 def chapter_statistics(stream: DataFrame, store: GraphStore, checkpoint: str, window: int = T1.WINDOW) -> StreamingQuery:

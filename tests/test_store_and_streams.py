@@ -4,6 +4,7 @@ import json
 import pathlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,56 @@ def test_chapters_in_parts_repeated_and_replaced(spark, tmp_path):
     assert max(sizes) <= 6 * 6  # pairs of four entities in six chapters, however many batches
 
 
+def test_neighbouring_chapters_share_a_call_and_numbers_stay_exact(spark, tmp_path):
+    inbox, seen = str(tmp_path / "inbox"), []
+    big = 2**60 + 1
+    rows = [(1, c, 1, big + i, None if i == 1 else big + c, "Character", i, i + 1) for c in range(32) for i in range(3)] + [(1, None, 1, 5, 6, None, 0, 1)]
+    for part in (rows, rows[:3] + [(1, 40, 3, None, None, None, None, None)], [(1, 7, 0, 9, 9, "Place", 0, 1), (1, 2, 2, 8, big, "Place", 0, 1)]):
+        spark.createDataFrame(part, ST.ARRIVING).coalesce(1).write.mode("append").parquet(inbox)
+        q = ST.whole_chapters(ST.file_stream(spark, inbox, ST.ARRIVING)).writeStream.outputMode("update").foreachBatch(lambda b, _id: seen.append(sorted(map(tuple, b.collect()), key=str)))
+        q = q.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start()
+        ST.drain(q)
+        calls = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert max(calls) <= 4  # shelves 0 to 2, and that of no chapter
+    assert seen[0] == sorted(rows, key=str)
+    assert seen[1:] == [[(1, 40, 3, None, None, None, None, None)], [(1, 2, 2, 8, big, "Place", 0, 1)]]
+
+
+def test_chapters_of_a_shelf_time_out_one_by_one():
+    class State:
+        value, due, hasTimedOut, now = None, None, False, 0
+        exists = property(lambda s: s.value is not None)
+        get = property(lambda s: s.value)
+        getCurrentProcessingTimeMs = lambda s: s.now
+
+        def update(self, value):
+            self.value = value
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutDuration(self, ms):
+            self.due = self.now + ms
+
+    def part(*rows):
+        return iter([pd.DataFrame(rows, columns=["chapter", "version", "mention_id", "mention"])])
+
+    state, merge = State(), ST.merger(100)
+    one = lambda rows: [tuple(r) for b in merge((1, 0), rows, state) for r in b.itertuples(index=False)]
+    assert one(part(("1", "2", "7", "a"), ("2", "1", "7", "b"))) == [(1, "1", "2", "[a]"), (1, "2", "1", "[b]")] and state.due == 100
+    state.now = 60
+    assert one(part(("2", "1", "8", "c"), ("2", "0", "9", "d"))) == [(1, "2", "1", "[b,c]")] and state.due == 100
+    state.now, state.hasTimedOut = 100, True
+    assert one(iter([])) == [] and state.due == 160 and list(json.loads(state.value[0])) == ["2"]
+    state.now, state.hasTimedOut = 120, False
+    assert one(part(("1", "1", "7", "e"))) == [(1, "1", "1", "[e]")]  # a chapter of its own again
+    state.now, state.hasTimedOut = 300, True
+    assert one(iter([])) == [] and state.value is None
+    state.hasTimedOut = False
+    with pytest.raises(ValueError):
+        one(part(("1", None, "7", "a")))
+
+
 STORY = [
     (1, "Mara moved through Ashford. Mara hated the heron banners of Ashford.", ),
     (2, "Mara serves the Guild in Ashford. Then Mara found Prince Oren drowned."),
