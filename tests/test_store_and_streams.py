@@ -183,6 +183,19 @@ def test_nodes_written_again_leak_no_edge(spark, store):
     assert reveal(6) == [21, 22] and reveal(7) == [21, 22, 51, 52]
 
 
+def test_deleted_nodes_stamp_no_edge_anew(spark, store, monkeypatch):
+    stamped, calls = store._restamp, []
+    monkeypatch.setattr(store, "_restamp", lambda: (calls.append(1), stamped()))
+    store.delete_nodes(spark.createDataFrame([(12,), (22,)], "node_id long"))
+    assert calls == [] and sorted(r.edge_id for r in store.visible_edges(1).collect()) == [51, 52]
+    with store.change():  # nodes that changed beside it are still seen
+        one = store.rows("nodes").filter("node_id = 51")
+        store.replace("nodes", one.select("node_id"), one.withColumn("revealed_chapter", F.lit(4)))
+        store.delete_nodes(spark.createDataFrame([(11,)], "node_id long"))
+    assert calls == [1] and store.visible_edges(3).count() == 0 and sorted(r.edge_id for r in store.visible_edges(4).collect()) == [51, 52]
+    assert sorted(r.node_id for r in store.rows("nodes").collect()) == [21, 51, 52]
+
+
 def test_get_or_create(spark):
     have = spark.createDataFrame([(4, "b", "B")], "work_id long, slug string, title string")
     want = spark.createDataFrame([("c", "C"), ("b", "other"), ("a", "A"), ("a", "A")], "slug string, title string")
