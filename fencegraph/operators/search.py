@@ -87,12 +87,37 @@ def _block_scorer(k: int) -> Callable[..., Column]:
     return best
 
 
-def _pack(df: DataFrame, keys: list[str], id_col: str, at: str, prefix: str) -> DataFrame:
-    """Rows of a block as three flat arrays; a block holds at most ``BLOCK_ROWS`` rows."""
-    p = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(at).alias("a"), F.col("embedding").cast("array<double>").alias("v"))).alias("l"))
+def _cell_scorer(k: int) -> Callable[..., Column]:
+    @F.pandas_udf(_HITS)
+    def best(q_id: pd.Series, q_n: pd.Series, q_vec: pd.Series, q_cells: pd.Series, c_id: pd.Series, c_ch: pd.Series, c_vec: pd.Series, c_cell: pd.Series) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for qi, qn, qv, qc, ci, cc, cv, cl in zip(q_id, q_n, q_vec, q_cells, c_id, c_ch, c_vec, c_cell, strict=True):
+            by_id = np.argsort(ci, kind="stable")
+            ids, at, home, q, c, asked = ci[by_id], cc[by_id], cl[by_id], qv.reshape(len(qi), -1), cv.reshape(len(ci), -1)[by_id], qc.reshape(len(qi), -1)
+            q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+            s = np.full((len(qi), len(ci)), -np.inf)
+            for cell in np.unique(home):
+                rows, cols = np.flatnonzero((asked == cell).any(axis=1)), np.flatnonzero(home == cell)
+                size = np.outer(q_norm[rows], c_norm[cols])
+                near = np.divide(q[rows] @ c[cols].T, size, out=np.zeros_like(size), where=size > 0).round(9)
+                near[at[cols][None, :] > qn[rows][:, None]] = -np.inf
+                s[np.ix_(rows, cols)] = near
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            val = np.take_along_axis(s, top, axis=1)
+            keep = np.isfinite(val)
+            out.append((np.broadcast_to(qi[:, None], top.shape)[keep], ids[top][keep], val[keep]))
+        return pd.DataFrame({"q_id": [o[0] for o in out], "chunk_id": [o[1] for o in out], "score": [o[2] for o in out]})
+
+    return best
+
+
+def _pack(df: DataFrame, keys: list[str], id_col: str, at: str, prefix: str, cell: Column | None = None) -> DataFrame:
+    """Rows of a block as three flat arrays, or four with that of their cells; a block holds at most ``BLOCK_ROWS`` rows."""
+    row = [F.col(id_col).alias("i"), F.col(at).alias("a"), F.col("embedding").cast("array<double>").alias("v"), *([] if cell is None else [cell.alias("c")])]
+    p = df.groupBy(*keys).agg(F.collect_list(F.struct(*row)).alias("l"))
     return p.select(
         *keys, F.transform("l", lambda x: x["i"]).alias(f"{prefix}_id"), F.transform("l", lambda x: x["a"]).alias(f"{prefix}_at"),
-        F.flatten(F.transform("l", lambda x: x["v"])).alias(f"{prefix}_vec"),
+        F.flatten(F.transform("l", lambda x: x["v"])).alias(f"{prefix}_vec"), *([] if cell is None else [F.flatten(F.transform("l", lambda x: x["c"])).alias(f"{prefix}_cell")]),
     )
 
 
@@ -118,8 +143,11 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str], block:
     hits = cb.join(qb, [*on, "salt"]).select(
         "work_id", _block_scorer(k)(F.col("q_id"), F.col("q_at"), F.col("q_vec"), F.col("c_id"), F.col("c_at"), F.col("c_vec")).alias("h")
     )
-    flat = hits.select("work_id", F.explode(F.arrays_zip("h.q_id", "h.chunk_id", "h.score")).alias("z")).select("work_id", "z.q_id", "z.chunk_id", "z.score")
-    return flat
+    return _flat(hits)
+
+
+def _flat(hits: DataFrame) -> DataFrame:
+    return hits.select("work_id", F.explode(F.arrays_zip("h.q_id", "h.chunk_id", "h.score")).alias("z")).select("work_id", "z.q_id", "z.chunk_id", "z.score")
 
 
 def best_in_blocks(queries: DataFrame, chunks: DataFrame, k: int, on: list[str]) -> DataFrame:
@@ -127,6 +155,23 @@ def best_in_blocks(queries: DataFrame, chunks: DataFrame, k: int, on: list[str])
     return _search(queries, chunks, k, on, None)
 
 
+def best_in_cells(queries: DataFrame, chunks: DataFrame, k: int, groups: int) -> DataFrame:
+    """(q_id, work_id, chunk_id, score): the ``k`` best of each query and block among fenced chunks of its work that lie in one of its ``cells``
+    (the same number for each query).
+
+    Cells are dealt into ``groups``, ``SALTS`` at most, and a block of queries goes once to each group, however many cells its queries visit;
+    there each cell meets the queries that visit it.
+    """
+    groups = max(1, min(groups, SALTS))
+    qb = _pack(queries.withColumn("q_block", F.floor(F.col("q_id") / BLOCK_ROWS)), ["work_id", "q_block"], "q_id", "n", "q", F.col("cells"))
+    c, sizes = _blocked(chunks.withColumn("salt", F.pmod("cell", F.lit(groups))), ["work_id", "salt"])
+    cb = _pack(c, ["work_id", "salt", "block"], "chunk_id", "chapter_ordinal", "c", F.array("cell"))
+    met = sizes.groupBy("work_id").agg(F.collect_set("salt").alias("salts"))
+    qb = qb.join(met, "work_id").withColumn("salt", F.explode("salts")).drop("salts")
+    best = _cell_scorer(k)(*[F.col(f"q_{x}") for x in ("id", "at", "vec", "cell")], *[F.col(f"c_{x}") for x in ("id", "at", "vec", "cell")])
+    return _flat(cb.join(qb, ["work_id", "salt"]).select("work_id", best.alias("h")))
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, block: Column | None = None) -> DataFrame:
     """Exact fenced top-k of many queries: (q_id, work_id, chunk_id, score, rank).
 

@@ -126,17 +126,22 @@ class VectorIndex:
     def counts(self) -> DataFrame:
         return self.store.counts("vectors")
 
-    def probed(self, queries: DataFrame, visits: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Queries, a row for each cell that they visit, and the vectors of those cells, whose folders alone are read."""
+    def _visiting(self, queries: DataFrame, visits: int | None) -> tuple[DataFrame, DataFrame, int]:
+        """Queries with the ``cells`` that they visit, the vectors of those cells, whose folders alone are read, and how many each visits."""
         centroids, measured = self.centroids()
         asked = self._nearest(queries.select("q_id", "work_id", "n", F.col("embedding").cast("array<double>").alias("embedding")), centroids, visits or measured)
-        asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-        wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-        return asked, self.store.rows("vectors").filter(F.col("cell").isin(wanted))
+        asked = asked.withColumn("cells", F.col("cells").cast("array<smallint>" if len(centroids) <= 1 << 15 else "array<int>"))
+        wanted = [r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # MOST_CELLS at most
+        return asked, self.store.rows("vectors").filter(F.col("cell").isin(wanted)), visits or measured
+
+    def probed(self, queries: DataFrame, visits: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Queries, a row for each cell that they visit, and the vectors of those cells, whose folders alone are read."""
+        asked, vectors, _ = self._visiting(queries, visits)
+        return asked.withColumn("cell", F.explode(F.col("cells").cast("array<int>"))).drop("cells"), vectors
 
     def top_k(self, queries: DataFrame, k: int, visits: int | None = None) -> DataFrame:
         """Fenced top-k (q_id, work_id, chunk_id, score, rank) among the cells that each query visits, exactly scored; in the order
-        of ``search.top_k``."""
-        asked, vectors = self.probed(queries, visits)
-        flat = search.best_in_blocks(asked, vectors.filter("embedding IS NOT NULL"), k, ["work_id", "cell"])
+        of ``search.top_k``. A query travels with the list of its cells, not once for each."""
+        asked, vectors, each = self._visiting(queries, visits)
+        flat = search.best_in_cells(asked, vectors.filter("embedding IS NOT NULL"), k, each)
         return top_rows(flat, ["q_id", "work_id"], [F.desc("score"), F.col("chunk_id")], k)

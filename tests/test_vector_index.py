@@ -59,6 +59,20 @@ def test_a_query_reads_the_folders_of_its_cells(spark, index):
     assert read == {str(c) for c in cells} and files
 
 
+def test_a_query_travels_with_its_cells_and_not_once_for_each(spark, index, monkeypatch):
+    df = chunks(spark, clustered(1200))
+    twice = asked(df).unionByName(asked(df).filter("q_id < 50"))
+    monkeypatch.setattr(search, "BLOCK_ROWS", 64)  # several blocks of a work, and of a group
+    for visits in (1, 3, 17):
+        probed, vectors = index.probed(twice, visits)
+        flat = search.best_in_blocks(probed, vectors.filter("embedding IS NOT NULL"), 5, ["work_id", "cell"])
+        want = search.top_rows(flat, ["q_id", "work_id"], [F.desc("score"), F.col("chunk_id")], 5)
+        found = index.top_k(twice, 5, visits)
+        assert "explode(cells" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        row = lambda r: (r.q_id, r.work_id, r.rank, r.chunk_id, r.score)
+        assert sorted(map(row, found.collect())) == sorted(map(row, want.collect()))
+
+
 def test_changes_reach_the_vectors(spark, index):
     df = chunks(spark, clustered(1200))
     first = df.filter("chunk_id = 100")
